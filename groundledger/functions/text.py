@@ -239,11 +239,3 @@ def word_spans(text: Column, words: Column) -> Column:
 
     out = F.aggregate(F.transform(words, lambda w: w["w"]), zero, step)
     return F.when(out["ok"], out["spans"]).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
-
-
-def repeated_phrase(text: Column) -> Column:
-    """Some phrase of four or more words said three or more times in a row."""
-    tokens = F.array_join(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[\w']+"), F.lit(0)), " ")
-    return F.coalesce(
-        F.concat(F.lit(" "), tokens, F.lit(" ")).rlike(r" ((?:\S+ ){4,}?)\1\1"), F.lit(False)
-    )
