@@ -226,7 +226,7 @@ class Tables:
         )
         return self.given("events").select(
             F.col("user_id").alias("meeting_id"), "event_id", F.col("ts").alias("event_time"), stage.alias("stage"),
-            status.alias("status"), ((F.col("event_id") * 7) % 100).alias("within_pct"),
+            status.alias("status"), (F.col("event_id") * 7 % 50 * 2).alias("within_pct"),
         )
 
     @cached_property

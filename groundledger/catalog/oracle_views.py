@@ -96,7 +96,7 @@ VIEWS = {
     "v_progress": f"""SELECT user_id AS meeting_id, event_id, ts AS event_time,
         ({_STAGE_LIST})[event_id % 13 + 1] AS stage,
         CASE event_type WHEN 'signup' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'queued'
-             ELSE 'running' END AS status, event_id * 7 % 100 AS within_pct FROM events""",
+             ELSE 'running' END AS status, event_id * 7 % 50 * 2 AS within_pct FROM events""",
     "v_voices": """SELECT vec_id % 5 AS meeting_id, vec_id AS burst_idx, label, 0.5::DOUBLE + (vec_id * 7 % 40) / 10 AS dur_s,
         embedding FROM embeddings""",
 }

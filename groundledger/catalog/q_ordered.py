@@ -12,7 +12,7 @@ WIDX = {"v_widx": "SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY
 
 
 def stt_words(t):
-    return A.flatten_words(t.segments_words.withColumnRenamed("ord", "stt_seg"))
+    return ordered.settle(A.flatten_words(t.segments_words.withColumnRenamed("ord", "stt_seg")))
 
 
 def voiced(t):
@@ -104,7 +104,7 @@ def wn3(t):
     return R.low_confidence_spans(stt_words(t)).drop("risk")
 
 
-_SPANS = {"v_spans": """SELECT user_id AS meeting_id, epoch_ms(ts) AS start_ms, epoch_ms(ts) + 1000 * CAST(floor(value * 900) AS BIGINT) AS end_ms,
+_SPANS = {"v_spans": """SELECT user_id AS meeting_id, epoch_us(ts) // 1000 AS start_ms, epoch_us(ts) // 1000 + 1000 * CAST(floor(value * 900) AS BIGINT) AS end_ms,
     CAST(event_id % 3 AS INTEGER) AS risk FROM events""",
     "v_merged": """SELECT meeting_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, max(risk) AS risk FROM (
     SELECT *, sum(opens) OVER (PARTITION BY meeting_id ORDER BY start_ms ROWS UNBOUNDED PRECEDING) AS island FROM (
@@ -179,7 +179,7 @@ def ag6(t):
     WINDOW b AS (PARTITION BY meeting_id ORDER BY word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
            f AS (PARTITION BY meeting_id ORDER BY word_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))""", VOTES)
 def wn8(t):
-    w = A.assign_speakers(stt_words(t), t.turns, ["word_idx"])
+    w = ordered.settle(A.assign_speakers(stt_words(t), t.turns, ["word_idx"]))
     return A.fill_missing_speakers(w).select("meeting_id", "word_idx", "speaker")
 
 
@@ -211,7 +211,7 @@ def wn9(t):
 
 @query("wn10_segment_cut")
 def wn10(t):
-    w = A.fill_missing_speakers(A.assign_speakers(stt_words(t), t.turns, ["word_idx"]))
+    w = ordered.settle(A.fill_missing_speakers(ordered.settle(A.assign_speakers(stt_words(t), t.turns, ["word_idx"]))))
     return A.cut_segments(w).groupBy("meeting_id", "head").agg(F.count(F.lit(1)).alias("n_words"), F.max("end_ms").alias("end_ms"))
 
 

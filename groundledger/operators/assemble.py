@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import constants as C
 from .folds import cut_pieces
 from .intervals import forward_asof, overlap_pairs
-from .ordered import carry_in, chunk_of, dense_order, with_neighbours
+from .ordered import carry_in, chunk_of, dense_order, running_max, settle, with_neighbours
 
 KEYS = ["meeting_id"]
 WORD_CHUNK = 16384
@@ -73,11 +73,10 @@ def fill_missing_speakers(words: DataFrame) -> DataFrame:
     broke = F.when(F.col("_prev_end").isNull() | (F.col("start_ms") - F.col("_prev_end") > C.PAUSE_MS), F.col("word_idx"))
     known = F.when(F.col("speaker").isNotNull(), F.struct("word_idx", "speaker", "start_ms"))
     b = b.withColumn("_broke", broke).withColumn("_known", known)
-    b = carry_in(b, KEYS, "_bucket", {"_broke_in": F.max("_broke"), "_known_in": F.max("_known")},
-                 lambda n, w: F.max(n).over(w))
-    b = carry_in(b, KEYS, "_bucket", {"_next_in": F.min("_known")}, lambda n, w: F.min(n).over(w), reverse=True)
-    from pyspark.sql import Window
-
+    b = carry_in(
+        b, KEYS, "_bucket", {"_broke_in": F.max("_broke"), "_known_in": F.max("_known")}, lambda n, w: F.max(n).over(w),
+        {"_next_in": F.min("_known")}, lambda n, w: F.min(n).over(w),
+    )
     back = Window.partitionBy(*KEYS, "_bucket").orderBy("word_idx").rowsBetween(Window.unboundedPreceding, 0)
     # "Next" scans run as a backward order, so that the frame grows and needs no full buffer per row.
     ahead = Window.partitionBy(*KEYS, "_bucket").orderBy(F.col("word_idx").desc()).rowsBetween(Window.unboundedPreceding, 0)
@@ -108,17 +107,15 @@ def glue_pieces(words: DataFrame) -> DataFrame:
     """Split tokens ("2" ",75" ",000") become one word with the times of its first and last piece."""
     lagged = with_neighbours(words, KEYS, "word_idx", 1, 0, lambda w: {"_prev": F.lag("w").over(w)}, size=WORD_CHUNK)
     own = F.when(~_glues(F.trim("_prev"), F.trim("w")), F.col("word_idx"))
-    from .ordered import running_max
-
     headed = running_max(lagged, KEYS, ["word_idx"], chunk_of("word_idx", WORD_CHUNK), own, "_head")
     piece = F.struct("word_idx", F.trim("w").alias("w"))
     first = [c for c in words.columns if c not in ("meeting_id", "word_idx", "w", "end_ms", "conf", "disputed")]
-    glued = headed.groupBy("meeting_id", F.col("_head").alias("word_idx")).agg(
+    glued = settle(headed.groupBy("meeting_id", F.col("_head").alias("word_idx")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["w"]), "").alias("w"),
         *[F.min_by(c, "word_idx").alias(c) for c in first],
         F.max_by("end_ms", "word_idx").alias("end_ms"), F.min("conf").alias("conf"),
         F.max(F.coalesce("disputed", F.lit(False))).alias("disputed"),
-    )
+    ))
     return dense_order(glued, KEYS, ["word_idx"], chunk_of("word_idx", WORD_CHUNK), "_n").withColumn(
         "word_idx", F.col("_n") - 1
     ).select(*words.columns)
@@ -172,18 +169,18 @@ def assemble_transcript(words: DataFrame, updates: DataFrame | None, turns: Data
     if updates is not None:
         words = apply_updates(words, updates)
     if turns is not None:
-        words = fill_missing_speakers(assign_speakers(words, turns, ["word_idx"]))
+        words = settle(fill_missing_speakers(settle(assign_speakers(words, turns, ["word_idx"]))))
     elif "speaker" not in words.columns:
         words = words.withColumn("speaker", F.lit(None).cast("string"))
-    cut = cut_segments(glue_pieces(words))
+    cut = cut_segments(settle(glue_pieces(words)))
     word = F.struct(
         "word_idx", "w", "start_ms", "end_ms", "conf", F.coalesce("disputed", F.lit(False)).alias("disputed"), "alt"
     )
     # A line holds at most MAX_SEGMENT_WORDS words, so the nested array is small.
-    lines = cut.groupBy("meeting_id", "head").agg(
+    lines = settle(cut.groupBy("meeting_id", "head").agg(
         F.min("start_ms").alias("start_ms"), F.max_by("end_ms", "word_idx").alias("end_ms"),
         F.min_by("speaker", "word_idx").alias("speaker"), F.array_sort(F.collect_list(word)).alias("words"),
-    )
+    ))
     text = F.trim(F.regexp_replace(F.array_join(F.transform("words", lambda w: F.trim(w["w"])), " "), r"(?U)\s+", " "))
     return number_segments(lines).select(
         "meeting_id", "ord", "seg_id", "start_ms", "end_ms", "speaker", text.alias("text"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .ordered import TIME_CHUNK_MS, carry_in, chunk_of, last_known, running_max, running_sum
+from .ordered import TIME_CHUNK_MS, carry_in, chunk_of, last_known, running_max, running_sum, settle
 
 BUCKET_MS = 10_000
 
@@ -56,6 +56,7 @@ def island_starts(spans: DataFrame, keys: list[str], start: str, end: str) -> Da
     """Adds ``island``: the start of the first interval of the run of intervals that touch each other."""
     bucket = chunk_of(start, TIME_CHUNK_MS)
     seen = running_max(spans, keys, [start], bucket, F.col(end), "_seen", inclusive=False)
+    seen = settle(seen)
     opens = F.when(F.col("_seen").isNull() | (F.col(start) > F.col("_seen")), F.col(start))
     return running_max(seen, keys, [start], bucket, opens, "island").drop("_seen")
 

@@ -24,21 +24,37 @@ def carry_in(
     df: DataFrame,
     keys: list[str],
     chunk: str,
-    partials: dict[str, Column],
-    fold: Callable[[str, WindowSpec], Column],
-    reverse: bool = False,
+    before: dict[str, Column] | None = None,
+    fold: Callable[[str, WindowSpec], Column] | None = None,
+    after: dict[str, Column] | None = None,
+    fold_after: Callable[[str, WindowSpec], Column] | None = None,
 ) -> DataFrame:
-    """Attach to each row what the chunks before its own (after it, when ``reverse``) add up to.
+    """Attach to each row what the chunks before (``before``) and after (``after``) its own add up to.
 
-    ``partials`` are aggregates per chunk; ``fold(name, window)`` combines them over preceding chunks.
+    Both are aggregates per chunk; ``fold(name, window)`` combines them over the chunks on that side.
+    ``df`` is read twice, so callers settle it first when it is expensive.
     """
-    per_chunk = df.groupBy(*keys, chunk).agg(*[e.alias(n) for n, e in partials.items()])
-    order = F.col(chunk).desc() if reverse else F.col(chunk)
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_chunk.select(*keys, chunk, *[fold(n, w).alias(n) for n in partials])
+    before, after = before or {}, after or {}
+    per_chunk = df.groupBy(*keys, chunk).agg(*[e.alias(n) for n, e in {**before, **after}.items()])
+    w = Window.partitionBy(*keys).orderBy(F.col(chunk)).rowsBetween(Window.unboundedPreceding, -1)
+    v = Window.partitionBy(*keys).orderBy(F.col(chunk).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_chunk.select(
+        *keys, chunk, *[fold(n, w).alias(n) for n in before], *[(fold_after or fold)(n, v).alias(n) for n in after]
+    )
     return df.join(carried, [*keys, chunk])
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Materialise an intermediate result in the cluster's checkpoint folder and cut its lineage.
+
+    Used between the stages of a job whose next stage reads its input more than once.
+    """
+    from ..session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def dense_order(
     df: DataFrame, keys: list[str], order: list[Column | str], bucket: Column, name: str = "ord"
 ) -> DataFrame:
@@ -107,10 +123,9 @@ def last_known(
     b = df.withColumn("_bucket", bucket).withColumn("_value", value)
     rank = F.struct(*order)
     pick = F.min_by if following else F.max_by
-    part = pick("_value", F.when(F.col("_value").isNotNull(), rank))
-    b = carry_in(
-        b, keys, "_bucket", {"_before": part}, lambda n, w: F.last(n, ignorenulls=True).over(w), reverse=following
-    )
+    part = {"_before": pick("_value", F.when(F.col("_value").isNotNull(), rank))}
+    last = lambda n, w: F.last(n, ignorenulls=True).over(w)
+    b = carry_in(b, keys, "_bucket", *((None, None, part, last) if following else (part, last)))
     w = Window.partitionBy(*keys, "_bucket").orderBy(*[F.col(o).desc() if following else F.col(o) for o in order])
     w = w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     local = F.last("_value", ignorenulls=True).over(w)
