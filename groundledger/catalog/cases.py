@@ -1,7 +1,7 @@
 """Phrases and model-output cases laid over the given conversations.
 
 A turn gets phrase ``(conv_id * 7 + turn * 3) % 24``; the next turn therefore gets the phrase three further,
-so requests, proposals and greetings are answered.  ``N`` marks phrases that are the whole line.
+so requests, proposals and greetings are answered.
 """
 
 PHRASES = [  # (number, text, is the whole line)
@@ -16,7 +16,7 @@ PHRASES = [  # (number, text, is the whole line)
     (8, "Thanks Sara, over to Arjun.", False),
     (9, "Hello Priya, please review the Pie Torch model.", False),
     (10, "Maybe we could postpone the launch.", False),
-    (11, "This is Arjun, send it to report dot pdf.", False),
+    (11, "Hello Priya, this is Arjun, send it to report dot pdf.", False),
     (12, "We should not ship fifteen builds before Monday.", False),
     (13, "Sounds good, let's do that.", True),
     (14, "Arjun here, we cannot use see you da kernels without tests.", False),

@@ -16,8 +16,10 @@ def lit(v) -> str:
     if isinstance(v, (int, float)):
         return str(v)
     if isinstance(v, (list, tuple)):
+        if not v:
+            return "[]"
         inner = ", ".join(lit(x) for x in v)
-        kind = "VARCHAR[]" if v and isinstance(v[0], str) else "INTEGER[]"
+        kind = "VARCHAR[]" if isinstance(v[0], str) else "INTEGER[]"
         return f"[{inner}]::{kind}"
     return "'" + str(v).replace("'", "''") + "'"
 
