@@ -40,10 +40,10 @@ def src3_language(t):
     return t.given("documents").select("doc_id", A.language_code(F.coalesce(F.try_element_at(m, F.col("lang")), "lang")).alias("code"))
 
 
-@query("src4_provider_turns", "SELECT meeting_id, (ord - 1)::INTEGER AS turn_no, start_ms / 1000 AS start_s, end_ms / 1000 AS end_s, CASE WHEN ord % 4 = 1 THEN 'A' ELSE speaker END AS label FROM v_segments")
+@query("src4_provider_turns", "SELECT meeting_id, ord AS answer_no, 0 AS turn_no, start_ms / 1000 AS start_s, end_ms / 1000 AS end_s, CASE WHEN ord % 4 = 1 THEN 'A' ELSE speaker END AS label FROM v_segments")
 def src4(t):
     u = F.struct(F.col("start_ms").alias("start"), F.col("end_ms").alias("end"), F.when(F.col("ord") % 4 != 1, F.col("speaker")).alias("speaker"))
-    answers = t.segments.groupBy("meeting_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("ord", u.alias("u")))), lambda x: x["u"])).alias("body"))
+    answers = t.segments.select("meeting_id", F.col("ord").alias("answer_no"), F.to_json(F.array(u)).alias("body"))
     return R.provider_turns(answers, "body")
 
 

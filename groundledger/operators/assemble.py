@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import constants as C
@@ -125,10 +124,9 @@ def ends_sentence(word: Column) -> Column:
     return word.rlike(C.SENTENCE_CLOSE) & ~F.lower(F.trim(word)).isin(*C.ABBREVIATIONS)
 
 
-def _segment_step(pdf: pd.DataFrame):
-    start, end = pdf["start_ms"].to_numpy(), pdf["end_ms"].to_numpy()
-    hard, soft = pdf["_hard"].to_numpy(), pdf["_soft"].to_numpy()
-    n, longest, most, few = len(pdf), C.MAX_SEGMENT_MS, C.MAX_SEGMENT_WORDS, C.SOFT_SEGMENT_WORDS
+def _segment_step(rows: dict):
+    start, end, hard, soft = (rows[c].tolist() for c in ("start_ms", "end_ms", "_hard", "_soft"))
+    n, longest, most, few = len(start), C.MAX_SEGMENT_MS, C.MAX_SEGMENT_WORDS, C.SOFT_SEGMENT_WORDS
 
     def step(i: int) -> int:
         limit = start[i] + longest
@@ -188,9 +186,9 @@ def assemble_transcript(words: DataFrame, updates: DataFrame | None, turns: Data
     )
 
 
-def _burst_step(pdf: pd.DataFrame):
-    start, end, seg = pdf["start_ms"].to_numpy(), pdf["end_ms"].to_numpy(), pdf["stt_seg"].to_numpy()
-    n = len(pdf)
+def _burst_step(rows: dict):
+    start, end, seg = (rows[c].tolist() for c in ("start_ms", "end_ms", "stt_seg"))
+    n = len(start)
 
     def step(i: int) -> int:
         reached = end[i]

@@ -7,17 +7,18 @@ compose, so the true entries of all chunks follow from the small maps, and every
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from .ordered import chunk_of
 
 SUPER = 256
 ARRAY = ArrayType(IntegerType())
+Columns = dict[str, np.ndarray]
 
 
 def _exits(step: Callable[[int], int], own: int, reach: int) -> tuple[list[int], list[int]]:
@@ -37,49 +38,57 @@ def _exits(step: Callable[[int], int], own: int, reach: int) -> tuple[list[int],
     return exits, lasts
 
 
-def cut_pieces(
-    df: DataFrame, keys: list[str], position: str, make_step: Callable[[pd.DataFrame], Callable[[int], int]],
-    reach: int, size: int = 16384, name: str = "head",
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Batches of a partition sorted by ``keys``, cut so that no group is split, with the group starts."""
+    rest = None
+    for pdf in batches:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        codes = [pdf[k].to_numpy() for k in keys]
+        change = np.zeros(len(pdf), dtype=bool)
+        for c in codes:
+            change[1:] |= c[1:] != c[:-1]
+        starts = np.concatenate(([0], np.flatnonzero(change)))
+        last = starts[-1]
+        if last:
+            yield pdf.iloc[:last], starts[:-1]
+        rest = pdf.iloc[last:].reset_index(drop=True)
+    if rest is not None and len(rest):
+        yield rest, np.array([0])
+
+
+def entry_rows(
+    df: DataFrame, rows: DataFrame, keys: list[str], position: str, make_step: Callable[[Columns], Callable[[int], int]],
+    reach: int, size: int,
 ) -> DataFrame:
-    """Adds ``name``: the position of the first row of each row's piece.
+    """Where each later chunk of a long key is entered: ``(keys, _chunk, _entry, _open)``.
 
-    ``position`` is dense and 0-based per key.  ``make_step(rows)`` returns a function giving, for a piece that
-    starts at row i, the row where the next piece starts (``len(rows)`` when none does).
+    Only keys of more than one chunk take part; when there is none, the plan below runs on no rows.
     """
-    size = max(size, reach)
-    chunk = chunk_of(position, size)
-    near = (F.col(position) % size < reach) & (chunk > 0)
-    rows = df.withColumn(
-        "_chunk", F.explode(F.when(near, F.array(chunk, chunk - 1)).otherwise(F.array(chunk)))
-    ).withColumn("_own", F.col("_chunk") == chunk)
-    group = [*keys, "_chunk"]
-    # Only chunks that have a successor need a map; a meeting of one chunk starts at its first row.
-    followed = rows.withColumn("_next", F.max(~F.col("_own")).over(Window.partitionBy(*group))).where("_next").drop("_next")
-
+    longer = df.groupBy(*keys).agg(F.max(position).alias("_max")).where(F.col("_max") >= size).select(*keys)
     key_fields = [df.schema[k] for k in keys]
     longs = lambda *names: [StructField(n, LongType()) for n in names]
     map_schema = StructType(key_fields + longs("_chunk", "_super")).add("exits", ARRAY).add("lasts", ARRAY)
 
     def to_map(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(position, ignore_index=True)
-        exits, lasts = _exits(make_step(pdf), int(pdf["_own"].sum()), reach)
+        cols = {c: pdf[c].to_numpy() for c in pdf.columns}
+        exits, lasts = _exits(make_step(cols), int(cols["_own"].sum()), reach)
         first = pdf.iloc[0]
         return pd.DataFrame([[*[first[k] for k in keys], first["_chunk"], first["_chunk"] // SUPER, exits, lasts]],
                             columns=map_schema.names)
 
-    maps = followed.groupBy(*group).applyInPandas(to_map, map_schema)
-
+    maps = rows.join(longer, keys, "left_semi").groupBy(*keys, "_chunk").applyInPandas(to_map, map_schema)
     super_schema = StructType(key_fields + longs("_super")).add("exits", ARRAY)
 
     def compose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_chunk", ignore_index=True)
         total = np.asarray(pdf.at[0, "exits"])
         for e in pdf["exits"].iloc[1:]:
-            total = np.asarray(e)[np.minimum(total, len(e) - 1)]
+            total = np.asarray(e)[np.clip(total, 0, len(e) - 1)]
         first = pdf.iloc[0]
         return pd.DataFrame([[*[first[k] for k in keys], first["_super"], total.tolist()]], columns=super_schema.names)
 
-    entry_schema = StructType(key_fields + longs("_super", "_entry"))
+    entry_schema = StructType(key_fields + longs("_super", "_enter"))
 
     def enter_supers(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_super", ignore_index=True)
@@ -91,37 +100,69 @@ def cut_pieces(
 
     supers = maps.groupBy(*keys, "_super").applyInPandas(compose, super_schema)
     super_entries = supers.groupBy(*keys).applyInPandas(enter_supers, entry_schema)
-
     chunk_schema = StructType(key_fields + longs("_chunk", "_entry", "_open"))
 
     def enter_chunks(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_chunk", ignore_index=True)
-        out, entry = [], int(pdf.at[0, "_entry"])
+        out, entry = [], int(pdf.at[0, "_enter"])
         for _, r in pdf.iterrows():
             at = min(entry, len(r["exits"]) - 1)
             entry = int(r["exits"][at])
             out.append([*[r[k] for k in keys], r["_chunk"] + 1, entry, r["_chunk"] * size + int(r["lasts"][at])])
         return pd.DataFrame(out, columns=chunk_schema.names)
 
-    entries = maps.join(super_entries, [*keys, "_super"]).groupBy(*keys, "_super").applyInPandas(enter_chunks, chunk_schema)
+    return maps.join(super_entries, [*keys, "_super"]).groupBy(*keys, "_super").applyInPandas(enter_chunks, chunk_schema)
+
+
+def cut_pieces(
+    df: DataFrame, keys: list[str], position: str, make_step: Callable[[Columns], Callable[[int], int]],
+    reach: int, size: int = 16384, name: str = "head",
+) -> DataFrame:
+    """Adds ``name``: the position of the first row of each row's piece.
 
-    out_schema = StructType([*df.schema.fields, StructField(name, LongType())])
+    ``position`` is dense and 0-based per key.  ``make_step(columns)`` gets the rows of a chunk as arrays and
+    returns a function giving, for a piece that starts at row i, the row where the next piece starts (the
+    number of rows when none does).
+    """
+    size = max(size, reach)
+    chunk = chunk_of(position, size)
+    near = (F.col(position) % size < reach) & (chunk > 0)
+    rows = df.withColumn(
+        "_chunk", F.explode(F.when(near, F.array(chunk, chunk - 1)).otherwise(F.array(chunk)))
+    ).withColumn("_own", F.col("_chunk") == chunk)
+    entries = entry_rows(df, rows, keys, position, make_step, reach, size)
+
+    # An entry travels as one extra row that sorts before the rows of its chunk; one shuffle serves both.
+    marks = entries.withColumn(position, F.lit(-1).cast(df.schema[position].dataType))
+    group = [*keys, "_chunk"]
+    both = rows.withColumn("_entry", F.lit(None).cast("long")).withColumn("_open", F.lit(None).cast("long")).unionByName(
+        marks, allowMissingColumns=True)
+    out_schema = StructType([*[StructField(f.name, f.dataType, True) for f in df.schema.fields], StructField(name, LongType())])
     columns = df.columns
 
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(position, ignore_index=True)
-        own = int(pdf["_own"].sum())
-        step = make_step(pdf)
-        first = pdf.iloc[0]
-        i = 0 if pd.isna(first["_entry"]) else int(first["_entry"])
-        head = np.full(own, -1 if pd.isna(first["_open"]) else int(first["_open"]), dtype="int64")
-        at = pdf[position].to_numpy()
-        while i < own:
-            j = step(i)
-            head[i:min(j, own)] = at[i]
-            i = j
-        out = pdf.loc[: own - 1, columns].copy()
-        out[name] = head
-        return out
-
-    return rows.join(entries, group, "left").groupBy(*group).applyInPandas(cut, out_schema)
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, starts in whole_groups(batches, group):
+            arrays = {c: pdf[c].to_numpy() for c in pdf.columns}
+            ends = np.append(starts[1:], len(pdf))
+            head = np.full(len(pdf), -2, dtype="int64")
+            at = arrays[position]
+            for a, b in zip(starts, ends):
+                i, opened = 0, -1
+                while a < b and at[a] == -1:
+                    i, opened = int(arrays["_entry"][a]), int(arrays["_open"][a])
+                    a += 1
+                if a == b:
+                    continue
+                own = int(arrays["_own"][a:b].astype(bool).sum())
+                step = make_step({c: v[a:b] for c, v in arrays.items()})
+                head[a:a + min(i, own)] = opened
+                while i < own:
+                    j = step(i)
+                    head[a + i:a + min(j, own)] = at[a + i]
+                    i = j
+            keep = head != -2
+            out = pdf.loc[keep, columns].copy()
+            out[name] = head[keep]
+            yield out
+
+    return both.repartition(*group).sortWithinPartitions(*group, position).mapInPandas(cut, out_schema)

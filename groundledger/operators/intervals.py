@@ -52,9 +52,9 @@ def merge_overlaps(spans: DataFrame, keys: list[str], start: str, end: str, best
     )
 
 
-def island_starts(spans: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+def island_starts(spans: DataFrame, keys: list[str], start: str, end: str, width: int = TIME_CHUNK_MS) -> DataFrame:
     """Adds ``island``: the start of the first interval of the run of intervals that touch each other."""
-    bucket = chunk_of(start, TIME_CHUNK_MS)
+    bucket = chunk_of(start, width)
     seen = running_max(spans, keys, [start], bucket, F.col(end), "_seen", inclusive=False)
     seen = settle(seen)
     opens = F.when(F.col("_seen").isNull() | (F.col(start) > F.col("_seen")), F.col(start))

@@ -99,33 +99,30 @@ def last_by(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(value, "pos").alias(value))
 
 
-_ITEM = "meeting_id long, pos long, text string, evidence_ids array<string>, merged_into long"
+_MERGED = "array<struct<pos:bigint,text:string,evidence_ids:array<string>,merged_into:bigint>>"
 
 
-def _dedupe(pdf: pd.DataFrame) -> pd.DataFrame:
+def _dedupe(items: list) -> list[dict]:
     """First keeper with a similar text and a shared line takes the item's evidence."""
-    pdf = pdf.sort_values("pos", ignore_index=True)
     kept: list[dict] = []
     by_id: dict[str, set[int]] = {}
-    into = []
-    for pos, text, ids in zip(pdf["pos"], pdf["text"], pdf["evidence_ids"]):
+    out = []
+    for item in items:
+        ids = list(item["evidence_ids"])
         near = sorted({k for i in ids for k in by_id.get(i, ())})
-        twin = next((k for k in near if token_set_ratio(kept[k]["text"], text) >= C.DEDUPE_RATIO), None)
+        twin = next((k for k in near if token_set_ratio(kept[k]["text"], item["text"]) >= C.DEDUPE_RATIO), None)
+        row = {"pos": item["pos"], "text": item["text"], "evidence_ids": [], "merged_into": None}
         if twin is None:
             twin = len(kept)
-            kept.append({"pos": pos, "text": text, "ids": []})
-            into.append(None)
+            row["evidence_ids"] = ids
+            kept.append(row)
         else:
-            into.append(kept[twin]["pos"])
-        have = kept[twin]["ids"]
-        # A new item keeps its list as it is; only merging skips ids that are already there.
-        have.extend(list(ids) if into[-1] is None else [i for i in ids if i not in have])
+            row["merged_into"] = kept[twin]["pos"]
+            have = kept[twin]["evidence_ids"]
+            have.extend(i for i in ids if i not in have)
         for i in ids:
             by_id.setdefault(i, set()).add(twin)
-    out = pdf[["meeting_id", "pos", "text"]].copy()
-    final = {k["pos"]: k["ids"] for k in kept}
-    out["evidence_ids"] = [final.get(p, []) if m is None else [] for p, m in zip(pdf["pos"], into)]
-    out["merged_into"] = pd.array(into, dtype="Int64")
+        out.append(row)
     return out
 
 
@@ -140,10 +137,21 @@ def dedupe_items(items: DataFrame, text: str, segments: DataFrame) -> DataFrame:
     number = F.expr("try_cast(regexp_extract(seg_id, '([0-9]+)$', 1) AS BIGINT)")
     ranges = flat.withColumn("_o", F.coalesce(number, F.lit(0))).groupBy("meeting_id", "pos").agg(F.min("_o").alias("a"), F.max("_o").alias("b"))
     starts = settle(ranges.groupBy("meeting_id", "a").agg(F.max("b").alias("b")))
-    islands = island_starts(starts, KEYS, "a", "b").select("meeting_id", "a", "island")
+    islands = island_starts(starts, KEYS, "a", "b", 4096).select("meeting_id", "a", "island")
     placed = items.select("meeting_id", "pos", F.col(text).alias("text"), "evidence_ids").join(ranges, ["meeting_id", "pos"], "left").join(
         islands, ["meeting_id", "a"], "left").withColumn("island", F.coalesce("island", -1 - F.col("pos")))
-    return placed.select("meeting_id", "island", "pos", "text", "evidence_ids").groupBy("meeting_id", "island").applyInPandas(_dedupe, _ITEM)
+    row = F.struct("pos", "text", "evidence_ids")
+    lists = placed.groupBy("meeting_id", "island").agg(F.array_sort(F.collect_list(row)).alias("_items"))
+    alone = F.transform("_items", lambda i: F.struct(i["pos"].alias("pos"), i["text"].alias("text"), i["evidence_ids"].alias("evidence_ids"),
+                                                     F.lit(None).cast("long").alias("merged_into")))
+
+    @F.pandas_udf(_MERGED)
+    def merge(x: pd.Series) -> pd.Series:
+        return x.map(lambda items: None if items is None else _dedupe(items))
+
+    # An item that meets no other needs no comparison.
+    merged = F.coalesce(merge(F.when(F.size("_items") > 1, F.col("_items"))), alone)
+    return lists.select("meeting_id", F.explode(merged).alias("m")).select("meeting_id", "m.*")
 
 
 def pick_summary(sentences: DataFrame, picks: DataFrame | None = None, cap: int = C.SUMMARY_CAP) -> DataFrame:

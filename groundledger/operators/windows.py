@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as C
 from ..functions import text as T
 from .folds import cut_pieces
-from .ordered import chunk_of, dense_order
+from .ordered import chunk_of, dense_order, settle
 
 KEYS = ["meeting_id"]
 
@@ -26,8 +25,8 @@ def refine_windows(segments: DataFrame, size: int = C.REFINE_WINDOW, context: in
 
 
 def _budget_step(limit: int):
-    def make(pdf: pd.DataFrame):
-        cost = pdf["_cost"].to_numpy()
+    def make(rows: dict):
+        cost = rows["_cost"].tolist()
         n = len(cost)
 
         def step(i: int) -> int:
@@ -52,8 +51,10 @@ def token_chunks(segments: DataFrame, max_tokens: int, overlap: bool = True) ->
     )
     # A line costs at least two tokens, which bounds the lines of a chunk.
     cut = cut_pieces(costed, KEYS, "_i", _budget_step(limit), max(1, limit // 2) + 1)
+    cut = settle(cut)
     sizes = cut.groupBy(*KEYS, "head").agg(F.count(F.lit(1)).alias("_n"))
     numbered = dense_order(sizes, KEYS, ["head"], chunk_of("head"), "chunk_no")
+    numbered = settle(numbered)
     own = cut.join(numbered, [*KEYS, "head"]).withColumn("overlap", F.lit(False))
     if not overlap:
         return own.drop("_cost", "_i", "head", "_n")

@@ -29,9 +29,10 @@ def parse_transcripts(docs: DataFrame, column: str) -> DataFrame:
 
 def provider_turns(answers: DataFrame, column: str) -> DataFrame:
     """Diarizer utterances in milliseconds to turns in seconds; a missing label is ``A``."""
-    u = answers.select("meeting_id", F.posexplode(F.from_json(column, UTTERANCES)).alias("turn_no", "u"))
+    keys = [c for c in answers.columns if c != column]
+    u = answers.select(*keys, F.posexplode(F.from_json(column, UTTERANCES)).alias("turn_no", "u"))
     return u.select(
-        "meeting_id", "turn_no", (F.col("u.start") / 1000).alias("start_s"), (F.col("u.end") / 1000).alias("end_s"),
+        *keys, "turn_no", (F.col("u.start") / 1000).alias("start_s"), (F.col("u.end") / 1000).alias("end_s"),
         F.coalesce("u.speaker", F.lit("A")).alias("label"))
 
 
