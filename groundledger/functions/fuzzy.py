@@ -265,12 +265,12 @@ def has_repeated_phrase(text: str, min_words: int = 4, repeats: int = 3) -> bool
     if size < min_words * repeats or size - len(set(tokens)) < min_words * (repeats - 1):
         return False
     codes = pd.factorize(np.asarray(tokens, dtype=object))[0].astype(np.int64)
-    # Every run of min_words tokens inside the stretch occurs at least ``repeats`` times, which bounds n.
+    # The n - min_words + 1 runs of min_words tokens that lie inside one copy occur in every copy: this bounds n.
     grams = codes[: size - min_words + 1].copy()
     for k in range(1, min_words):
         grams = pd.factorize(grams * (size + 1) + codes[k : size - min_words + 1 + k])[0].astype(np.int64)
     frequent = int((np.bincount(grams)[grams] >= repeats).sum())
-    longest = min(size, frequent + min_words - 1) // repeats
+    longest = min(size // repeats, frequent // repeats + min_words - 1) if frequent else 0
     for n in range(min_words, longest + 1):
         need = n * (repeats - 1)
         differs = np.flatnonzero(codes[:-n] != codes[n:])

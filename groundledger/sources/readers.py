@@ -73,7 +73,10 @@ def manifest_error(path: Column, size: Column, duration_s: Column) -> Column:
 
 
 def read_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Path and size of recordings; file contents are not read."""
+    """Path and size of recordings; file contents are not read.
+
+    Spark's file source does not list zero-length files: where those matter, use an upload table instead.
+    """
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", F.col("length").alias("size_bytes"))
 
 
