@@ -44,6 +44,26 @@ def has_sql(col: str, pattern: str) -> str:
     return f"regexp_matches({ascii_sql(col)}, {rx(pattern)})"
 
 
+_EXCLUDED = "what|that|as|here|there|how|where|who|which|this"
+_LOOKAHEAD = r"|\b(?!(?:" + _EXCLUDED + r")\b)[A-Za-z0-9]+ it is[.!]"
+
+
+def agree_sql(col: str, pattern: str) -> str:
+    """RE2 has no look-ahead: the excluded first words of "... it is." are tested on the extracted word."""
+    rest = pattern.replace(_LOOKAHEAD, "")
+    words = lit(_EXCLUDED.split("|"))
+    found = f"regexp_extract_all({ascii_sql(col)}, '(?i)\\b([A-Za-z0-9]+) it is[.!]', 1)"
+    return f"({has_sql(col, rest)} OR len(list_filter({found}, lambda w: NOT list_contains({words}, lower(w)))) > 0)"
+
+
+_TOK = r"([^A-Za-z]*?)([A-Za-z][\w''.-]*)"
+CAPS = {"v_caps": f"""SELECT meeting_id, seg_id, text, list_filter(list_transform(list_filter(range(1, len(toks) + 1), lambda i:
+    regexp_matches(toks[i], '^[A-Z]') AND NOT regexp_full_match(rtrim(toks[i], '.'), 'I(''(m|ll|d|ve))?')
+    AND NOT regexp_matches(CASE WHEN trim(pre[i]) = '' THEN CASE WHEN i = 1 THEN '.' ELSE toks[i - 1] END ELSE trim(pre[i]) END, '[.!?:;"''(\\[]$')),
+    lambda i: regexp_replace(rtrim(toks[i], '.'), '''s$', '')), lambda x: x <> '') AS caps
+    FROM (SELECT meeting_id, seg_id, text, regexp_extract_all({ascii_sql('text')}, '{_TOK}', 2) AS toks,
+    regexp_extract_all({ascii_sql('text')}, '{_TOK}', 1) AS pre FROM v_segments)"""}
+
 KEY = ["meeting_id", "seg_id"]
 
 
@@ -62,12 +82,14 @@ def pr3(t):
     return t.segments.select(*KEY, F.array_join(T.modal_set(F.col("text")), "|").alias("modals"))
 
 
-@query("pr4_capitalized")
+@query("pr4_capitalized", "SELECT meeting_id, seg_id, array_to_string(caps, '|') AS names FROM v_caps", CAPS)
 def pr4(t):
-    return t.segments.select(*KEY, F.array_join(T.capitalized_non_initial(F.col("text")), "|").alias("names"))
+    names = F.array_join(T.capitalized_non_initial(F.col("text")), "|")
+    return t.segments.select(*KEY, F.regexp_replace(names, r"[^\x00-\x7F]", "q").alias("names"))
 
 
-@query("pr5_high_stakes")
+@query("pr5_high_stakes", f"SELECT meeting_id, seg_id, {has_sql('text', '|'.join((C.NUMBER, C.NEGATION, C.MODAL, C.TIME_WORD, C.COMMITMENT)))} "
+       "OR len(caps) > 0 AS high_stakes FROM v_caps", CAPS)
 def pr5(t):
     return t.segments.select(*KEY, T.high_stakes(F.col("text")).alias("high_stakes"))
 
@@ -77,7 +99,7 @@ def pr6(t):
     return t.segments.select(*KEY, T.cue(F.col("text"), C.TASK_CUE).alias("task_cue"))
 
 
-@query("pr7_decision_cue")
+@query("pr7_decision_cue", f"SELECT meeting_id, seg_id, {agree_sql('text', C.DECISION_CUE)} AS decision_cue FROM v_segments")
 def pr7(t):
     return t.segments.select(*KEY, T.cue(F.col("text"), C.DECISION_CUE).alias("decision_cue"))
 
@@ -104,7 +126,7 @@ def pr10(t):
     return t.segments.select(*KEY, T.bare_agree(text).alias("bare"), short.alias("short_reply"))
 
 
-@query("pr11_agreement_cue")
+@query("pr11_agreement_cue", f"SELECT meeting_id, seg_id, {agree_sql('text', C.AGREEMENT_CUE)} AS agreement_cue FROM v_segments")
 def pr11(t):
     return t.segments.select(*KEY, T.cue(F.col("text"), C.AGREEMENT_CUE).alias("agreement_cue"))
 

@@ -6,7 +6,7 @@ from .. import constants as C
 from ..functions import text as T
 from ..operators import guard as G, lexicon
 from ..operators.ordered import settle
-from .q_features import KEY, count_sql, modal_sql, numbers_sql
+from .q_features import KEY, count_sql, has_sql, modal_sql, numbers_sql
 from .registry import query
 
 _EARLY = f"""CASE WHEN e.confidence < 0.7 THEN 'low_confidence' WHEN s.text IS NULL OR e.original = '' OR NOT contains(s.text, e.original) THEN 'not_found'
@@ -47,7 +47,13 @@ def pr24(t):
     return checked(t).select("meeting_id", "edit_idx", (F.col("reject_reason") == "name_changed").alias("name_changed"))
 
 
-@query("pr25_disputed_frozen")
+_SPANS = """(SELECT *, sum(length(w) + 1) OVER o - length(w) - 1 AS a, sum(length(w) + 1) OVER o - 1 AS b FROM v_words
+          WINDOW o AS (PARTITION BY meeting_id, ord ORDER BY pos))"""
+
+
+@query("pr25_disputed_frozen", f"""SELECT e.meeting_id, e.edit_idx, coalesce(bool_or(w.disputed AND w.a < e.at + length(e.original) AND e.at < w.b
+    AND {has_sql('w.w', '|'.join((C.NUMBER, C.NEGATION, C.MODAL)))}), false) AS touches FROM (SELECT meeting_id, ord, edit_idx, original, instr(text, original) - 1 AS at
+    FROM v_edits JOIN v_segments USING (meeting_id, seg_id) WHERE contains(text, original)) e JOIN {_SPANS} w USING (meeting_id, ord) GROUP BY e.meeting_id, e.edit_idx""")
 def pr25(t):
     at = F.call_function("locate", F.col("original"), F.col("text")) - 1
     j = t.edits.join(t.segments_words, KEY).withColumn("at", at).where("at >= 0")

@@ -6,16 +6,25 @@ from .. import constants as C
 from ..functions import text as T
 from ..operators import items as I, verify as V
 from ..operators.ordered import settle
-from .q_features import KEY
+from .q_features import KEY, agree_sql, has_sql
 from .registry import query
 
 
-@query("wn18_candidates")
+_ACCEPT = f"({has_sql('text', C.BARE_AGREE)} OR (len(string_split(text, ' ')) <= 12 AND {has_sql('text', C.REPLY_AGREE)}))"
+CAND = {"v_cues": f"""SELECT *, coalesce(lead({_ACCEPT}) OVER o AND lead(speaker) OVER o <> speaker, false) AS replied, lead(seg_id) OVER o AS nxt,
+    {has_sql('text', C.TASK_CUE)} AS t, {agree_sql('text', C.DECISION_CUE)} AS d, {has_sql('text', C.PROPOSAL_CUE)} AS p0 FROM v_segments
+    WINDOW o AS (PARTITION BY meeting_id ORDER BY ord)""",
+        "v_cand": """SELECT meeting_id, seg_id, CASE WHEN agreed THEN seg_id || '|' || nxt ELSE seg_id END AS ids,
+    array_to_string(list_filter([CASE WHEN t THEN 'task' END, CASE WHEN d OR (agreed AND NOT t) THEN 'decision' END, CASE WHEN p0 AND NOT agreed THEN 'proposal' END],
+    lambda x: x IS NOT NULL), '|') AS kinds FROM (SELECT *, replied AND (t OR d OR p0 OR contains(text, '?')) AS agreed FROM v_cues) WHERE t OR d OR p0 OR agreed"""}
+
+
+@query("wn18_candidates", "SELECT meeting_id, seg_id, ids, kinds FROM v_cand", CAND)
 def wn18(t):
     return I.find_candidates(V.line_context(t.segments)).select(*KEY, F.array_join("ids", "|").alias("ids"), F.array_join("kinds", "|").alias("kinds"))
 
 
-@query("jb7_candidates")
+@query("jb7_candidates", "SELECT meeting_id, replace(kinds, '|', '/') AS kinds, count(*) AS n FROM v_cand GROUP BY ALL", CAND)
 def jb7(t):
     c = I.find_candidates(V.line_context(t.segments))
     return c.groupBy("meeting_id", F.array_join("kinds", "/").alias("kinds")).agg(F.count(F.lit(1)).alias("n"))

@@ -75,7 +75,7 @@ def sf8(t):
 def sf9(t):
     from ..operators.verify import known_evidence, quote_matches
 
-    d = known_evidence(t.decisions.withColumn("kind", F.lit("decision")), t.segments, ["kind"])
+    d = known_evidence(t.decisions, t.segments)
     return quote_matches(d, F.col("agreement"), "matches").select("meeting_id", "pos", "matches")
 
 

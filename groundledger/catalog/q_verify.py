@@ -33,7 +33,7 @@ CITED = {"v_flat": """SELECT meeting_id, pos, seg, min(i) AS i FROM (SELECT meet
 
 @query("pr21_known_ids", "SELECT meeting_id, pos, string_agg(seg, '|' ORDER BY i) AS ids FROM v_known GROUP BY meeting_id, pos", CITED)
 def pr21(t):
-    k = V.known_evidence(t.sentences.withColumnRenamed("text", "sentence"), t.segments, []).where(F.size("cited") > 0)
+    k = V.known_evidence(t.sentences.withColumnRenamed("text", "sentence"), t.segments).where(F.size("cited") > 0)
     return k.select("meeting_id", "pos", F.array_join(V.ids_of(F.col("cited")), "|").alias("ids"))
 
 
@@ -41,7 +41,7 @@ def pr21(t):
     (SELECT k.meeting_id, k.pos, count(*) AS n, string_agg(t.text, ' ' ORDER BY k.i) AS joined FROM v_known k JOIN v_segments t
      ON t.meeting_id = k.meeting_id AND t.seg_id = k.seg GROUP BY k.meeting_id, k.pos) k USING (meeting_id, pos)""", CITED)
 def jn2(t):
-    k = V.known_evidence(t.sentences.withColumnRenamed("text", "sentence"), t.segments, [])
+    k = V.known_evidence(t.sentences.withColumnRenamed("text", "sentence"), t.segments)
     joined = F.array_join(F.transform("cited", lambda c: c["text"]), " ")
     return k.select("meeting_id", "pos", F.size("cited").cast("long").alias("n_known"), F.when(F.size("cited") > 0, joined).alias("joined"))
 
@@ -60,7 +60,7 @@ POINTER = {"v_wspans": """SELECT meeting_id, ord, disputed, sum(length(w) + 1) O
 
 @query("jn3_pointer_resolution", "SELECT meeting_id, pos, flag, CASE WHEN flag IS NULL AND found IS NOT NULL THEN found ELSE 'Unspecified' END AS deadline FROM v_pointer", POINTER)
 def jn3(t):
-    k = V.known_evidence(t.tasks, t.segments, [])
+    k = V.known_evidence(t.tasks, t.segments)
     k = V.pointer_lines(k, t.segments_words, "deadline_seg", "line")
     value, flag = V.resolve_pointer(F.col("line"), F.col("deadline_seg"), F.col("deadline_words"), F.col("cited"), "deadline", True)
     return k.select("meeting_id", "pos", flag.alias("flag"), value.alias("deadline"))
@@ -68,7 +68,7 @@ def jn3(t):
 
 @query("jn6_self_introduction")
 def jn6(t):
-    k = V.known_evidence(t.tasks, t.segments, [])
+    k = V.known_evidence(t.tasks, t.segments)
     k = V.pointer_lines(k, t.segments_words, "owner_seg", "line")
     value, flag = V.resolve_pointer(F.col("line"), F.col("owner_seg"), F.col("owner_words"), F.col("cited"), "owner", True)
     return k.select("meeting_id", "pos", flag.alias("flag"), value.alias("owner"))
@@ -79,7 +79,7 @@ def jn6(t):
     WHERE abs(a.ord - b.ord) <= 2""")
 def jn7(t):
     at = t.segments.select("meeting_id", F.col("seg_id").alias("deadline_seg"), F.col("ord").alias("_at"))
-    k = V.known_evidence(t.tasks, t.segments, []).join(at, ["meeting_id", "deadline_seg"])
+    k = V.known_evidence(t.tasks, t.segments).join(at, ["meeting_id", "deadline_seg"])
     return k.where(F.exists("cited", lambda c: F.abs(c["ord"] - F.col("_at")) <= C.DEADLINE_ADJACENCY)).select("meeting_id", "pos")
 
 
@@ -129,7 +129,7 @@ def ag2(t):
 
 @query("pr22_unsupported_facts")
 def pr22(t):
-    k = V.known_evidence(t.sentences.withColumnRenamed("text", "sentence"), t.segments, [])
+    k = V.known_evidence(t.sentences.withColumnRenamed("text", "sentence"), t.segments)
     return k.select("meeting_id", "pos", F.array_join(V.unsupported(F.col("sentence"), V.cited_text(F.col("cited"))), "|").alias("missing"))
 
 
@@ -160,7 +160,7 @@ _FIRST = """SELECT meeting_id, pos, min(s.ord) AS first_ord FROM (SELECT meeting
 
 @query("wn16_renumber", f"SELECT meeting_id, pos, 'T' || row_number() OVER (PARTITION BY meeting_id ORDER BY first_ord, pos) AS id FROM ({_FIRST.format('v_tasks')})")
 def wn16(t):
-    k = V.known_evidence(t.tasks, t.segments, []).where(F.size("cited") > 0)
+    k = V.known_evidence(t.tasks, t.segments).where(F.size("cited") > 0)
     return V.renumber(k, "T").select("meeting_id", "pos", "id")
 
 
@@ -196,7 +196,7 @@ def st3(t):
 @query("st4_neighbours_minus_cited", """SELECT DISTINCT k.meeting_id, k.pos, s.seg_id FROM v_known k JOIN v_segments s ON s.meeting_id = k.meeting_id
     AND abs(s.ord - k.ord) = 1 ANTI JOIN v_known x ON x.meeting_id = k.meeting_id AND x.pos = k.pos AND x.seg = s.seg_id""", CITED)
 def st4(t):
-    k = V.known_evidence(t.sentences.withColumnRenamed("text", "sentence"), t.segments, [])
+    k = V.known_evidence(t.sentences.withColumnRenamed("text", "sentence"), t.segments)
     near = F.array_except(
         F.flatten(F.transform("cited", lambda c: F.array(c["ord"] - 1, c["ord"] + 1))), F.transform("cited", lambda c: c["ord"]))
     return k.select("meeting_id", "pos", F.explode(near).alias("ord")).join(

@@ -22,10 +22,13 @@ def line_context(segments: DataFrame) -> DataFrame:
     return with_neighbours(slim, KEYS, "ord", 0, 1, lambda w: {"nxt": F.lead(line).over(w)})
 
 
-def known_evidence(items: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
-    """Items with ``cited``: their existing lines, each once, in the order given (empty when none exists)."""
+def known_evidence(items: DataFrame, segments: DataFrame) -> DataFrame:
+    """Items with ``cited``: their existing lines, each once, in the order given (empty when none exists).
+
+    ``pos`` is unique among the items of a meeting.
+    """
     has_next = "nxt" in segments.columns
-    ids = ["meeting_id", "pos", *keys]
+    ids = ["meeting_id", "pos"]
     flat = items.select(*ids, F.posexplode(F.array_distinct("evidence_ids")).alias("i", "seg_id"))
     line = F.struct("i", "ord", "seg_id", "speaker", "text", *(["nxt"] if has_next else []))
     cols = ["meeting_id", "seg_id", "ord", "speaker", "text", *(["nxt"] if has_next else [])]
@@ -84,11 +87,11 @@ def cited_text(cited: Column) -> Column:
 
 def verify_sentences(sentences: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(kept, removed)``; a missing fact may be borrowed from the line next to a cited one."""
-    found = known_evidence(sentences.withColumnRenamed("text", "sentence"), segments, ["section", "topic", "sentence"])
+    found = known_evidence(sentences.withColumnRenamed("text", "sentence"), segments)
     found = found.withColumn("cited", plain_lines(F.col("cited"))).withColumn(
         "_missing", unsupported(F.col("sentence"), cited_text(F.col("cited"))))
     found = settle(found)
-    ids = ["meeting_id", "pos", "section", "topic", "sentence"]
+    ids = ["meeting_id", "pos"]
     needy = found.where((F.size("cited") > 0) & (F.size("_missing") > 0))
     offsets = F.array(*[F.lit(k) for k in range(-C.NEIGHBOUR_LINES, C.NEIGHBOUR_LINES + 1)])
     around = F.array_except(
@@ -128,7 +131,7 @@ def _with_line(cited: Column, line: Column) -> Column:
 def verify_decisions(decisions: DataFrame, proposals: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(decisions, open proposals, dropped)``: a decision needs a stated agreement, else it is a proposal."""
     ctx = settle(line_context(segments))
-    d = quote_matches(known_evidence(decisions, ctx, []), F.col("agreement"), "_match")
+    d = quote_matches(known_evidence(decisions, ctx), F.col("agreement"), "_match")
     stated = T.cue(F.col("agreement"), C.AGREEMENT_CUE) & F.col("_match")
     line = F.try_element_at(F.filter("cited", lambda c: T.cue(c["text"], C.AGREEMENT_CUE) & ~T.cue(c["text"], C.PROPOSAL_CUE)), F.lit(1))
     last = _last(F.col("cited"))
@@ -151,7 +154,7 @@ def verify_decisions(decisions: DataFrame, proposals: DataFrame, segments: DataF
     ))
     numbered = renumber(judged.where("outcome = 'decision'"), "D").select(
         "meeting_id", "id", "decision", "agreement", ids_of(F.col("cited")).alias("evidence_ids"), "first_ord", "pos")
-    opened = known_evidence(proposals, segments, [])
+    opened = known_evidence(proposals, segments)
     alive = opened.where(F.size("cited") > 0).select(
         "meeting_id", "pos", "proposal", plain_lines(F.col("cited")).alias("cited"), F.lit(False).alias("demoted"))
     demoted = judged.where("outcome = 'demoted'").select(
@@ -219,7 +222,7 @@ def spoken_owner(cited: Column) -> Column:
 def verify_tasks(tasks: DataFrame, segments: DataFrame, diarized: bool = True) -> tuple[DataFrame, DataFrame]:
     """``(tasks, dropped)``: owner and deadline come only from pointers into the transcript or from who spoke."""
     ctx = settle(line_context(segments))
-    t = quote_matches(known_evidence(tasks, ctx, []), F.col("quote"), "_match")
+    t = quote_matches(known_evidence(tasks, ctx), F.col("quote"), "_match")
     line = F.try_element_at(F.filter("cited", lambda c: T.cue(c["text"], C.TASK_CUE)), F.lit(1))["text"]
     t = t.withColumn("_line", line).withColumn("quote", F.when(~F.col("_match") & F.col("_line").isNotNull(), F.col("_line")).otherwise(F.col("quote")))
     t = t.withColumn("_ok", (F.size("cited") > 0) & (F.col("_match") | F.col("_line").isNotNull()))
