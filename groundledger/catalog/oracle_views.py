@@ -120,7 +120,7 @@ def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
         if name in order:
             return
         for dep in re.findall(r"\bv_\w+", views[name]):
-            if dep in views and dep != name:
+            if dep in views and dep != name and dep not in order:
                 visit(dep)
         order.append(name)
 
@@ -128,4 +128,5 @@ def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
         visit(name)
     if not order:
         return sql
-    return "WITH " + ",\n".join(f"{n} AS ({views[n]})" for n in order) + "\n" + sql
+    recursive = any(re.search(rf"\b{n}\b", views[n]) for n in order)
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(f"{n} AS ({views[n]})" for n in order) + "\n" + sql

@@ -170,14 +170,17 @@ def ag6(t):
     return energy.speech_total(energy.loud_regions(energy.loud_frames(samples(t), 4), C.FRAME_MS))
 
 
-@query("wn8_fill_speakers", """SELECT meeting_id, word_idx, coalesce(speaker, CASE WHEN known_at >= broke_at THEN known END,
+FILL = {**VOTES, "v_filled": """SELECT meeting_id, word_idx, ord, w, start_ms, end_ms, coalesce(speaker, CASE WHEN known_at >= broke_at THEN known END,
     CASE WHEN next_start - end_ms <= 1000 THEN nxt END) AS speaker FROM (SELECT *,
     max(broke) OVER b AS broke_at, max(CASE WHEN speaker IS NOT NULL THEN word_idx END) OVER b AS known_at,
     last_value(speaker IGNORE NULLS) OVER b AS known, first_value(speaker IGNORE NULLS) OVER f AS nxt,
     first_value(CASE WHEN speaker IS NOT NULL THEN start_ms END IGNORE NULLS) OVER f AS next_start FROM
     (SELECT *, CASE WHEN coalesce(start_ms - lag(end_ms) OVER (PARTITION BY meeting_id ORDER BY word_idx) > 1000, true) THEN word_idx END AS broke FROM v_spoken)
     WINDOW b AS (PARTITION BY meeting_id ORDER BY word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
-           f AS (PARTITION BY meeting_id ORDER BY word_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))""", VOTES)
+           f AS (PARTITION BY meeting_id ORDER BY word_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""}
+
+
+@query("wn8_fill_speakers", "SELECT meeting_id, word_idx, speaker FROM v_filled", FILL)
 def wn8(t):
     w = ordered.settle(A.assign_speakers(stt_words(t), t.turns, ["word_idx"]))
     return A.fill_missing_speakers(w).select("meeting_id", "word_idx", "speaker")
@@ -209,7 +212,17 @@ def wn9(t):
     return A.glue_pieces(w).select("meeting_id", "first_idx", "w", "start_ms", "end_ms", "conf", "disputed")
 
 
-@query("wn10_segment_cut")
+_ABBR = lit(C.ABBREVIATIONS)
+CUT = {**FILL, "v_prev": """SELECT *, lag(speaker) OVER o AS ps, lag(end_ms) OVER o AS pe, lag(w) OVER o AS pw, lag(ord) OVER o AS po FROM v_filled
+    WINDOW o AS (PARTITION BY meeting_id ORDER BY word_idx)""",
+       "v_ended": f"SELECT *, regexp_matches(pw, '[.!?…][''\"”)]*$') AND NOT list_contains({_ABBR}, lower(trim(pw))) AS ended FROM v_prev",
+       "v_cut": """SELECT meeting_id, word_idx, word_idx AS head, start_ms AS hs, end_ms FROM v_ended WHERE word_idx = 0 UNION ALL
+    SELECT meeting_id, word_idx, CASE WHEN split THEN word_idx ELSE head END, CASE WHEN split THEN start_ms ELSE hs END, end_ms FROM
+    (SELECT n.*, c.head, c.hs, n.speaker IS DISTINCT FROM n.ps OR n.start_ms - n.pe > 1000 OR n.end_ms - c.hs > 30000 OR n.word_idx - c.head >= 60
+     OR (n.ended AND (n.ord <> n.po OR n.word_idx - c.head >= 12)) AS split FROM v_cut c JOIN v_ended n ON n.meeting_id = c.meeting_id AND n.word_idx = c.word_idx + 1)"""}
+
+
+@query("wn10_segment_cut", "SELECT meeting_id, head, count(*) AS n_words, max(end_ms) AS end_ms FROM v_cut GROUP BY meeting_id, head", CUT)
 def wn10(t):
     w = ordered.settle(A.fill_missing_speakers(ordered.settle(A.assign_speakers(stt_words(t), t.turns, ["word_idx"]))))
     return A.cut_segments(w).groupBy("meeting_id", "head").agg(F.count(F.lit(1)).alias("n_words"), F.max("end_ms").alias("end_ms"))
@@ -234,7 +247,15 @@ def wn10m(t):
     )
 
 
-@query("wn11_speech_bursts")
+BURST = {**WIDX, "v_burst": """SELECT meeting_id, word_idx, ord, word_idx AS head, start_ms AS hs, end_ms AS reached FROM v_widx WHERE word_idx = 0 UNION ALL
+    SELECT meeting_id, word_idx, ord, CASE WHEN split THEN word_idx ELSE head END, CASE WHEN split THEN start_ms ELSE hs END,
+    CASE WHEN split THEN end_ms ELSE greatest(end_ms, reached) END FROM
+    (SELECT n.*, c.head, c.hs, c.reached, n.start_ms - c.reached >= 280 OR n.end_ms - c.hs > 8000 OR (n.ord <> c.ord AND n.start_ms - c.reached >= 180) AS split
+     FROM v_burst c JOIN v_widx n ON n.meeting_id = c.meeting_id AND n.word_idx = c.word_idx + 1)"""}
+
+
+@query("wn11_speech_bursts", """SELECT meeting_id, min(hs) AS start_ms, max(reached) AS end_ms, count(*) AS n_words,
+    row_number() OVER (PARTITION BY meeting_id ORDER BY head) - 1 AS burst_idx FROM v_burst GROUP BY meeting_id, head""", BURST)
 def wn11(t):
     return A.speech_bursts(stt_words(t))
 
@@ -246,7 +267,17 @@ def wn12(t):
     return windows.refine_windows(t.segments, 3, 2).select("meeting_id", "win", "seg_id", "part")
 
 
-@query("wn13_token_chunks")
+CHUNKS = {"v_cost": "SELECT *, greatest(1, length('[' || seg_id || '] (' || speaker || ') ' || text) // 4) + 1 AS cost FROM v_segments",
+          "v_chunk": """SELECT meeting_id, ord, seg_id, ord AS head, cost AS used FROM v_cost WHERE ord = 1 UNION ALL
+    SELECT n.meeting_id, n.ord, n.seg_id, CASE WHEN c.used + n.cost > 54 THEN n.ord ELSE c.head END, CASE WHEN c.used + n.cost > 54 THEN n.cost ELSE c.used + n.cost END
+    FROM v_chunk c JOIN v_cost n ON n.meeting_id = c.meeting_id AND n.ord = c.ord + 1""",
+          "v_numbered": """SELECT *, dense_rank() OVER (PARTITION BY meeting_id ORDER BY head) AS chunk_no, count(*) OVER (PARTITION BY meeting_id, head) AS n,
+    row_number() OVER (PARTITION BY meeting_id, head ORDER BY ord) AS i FROM v_chunk"""}
+
+
+@query("wn13_token_chunks", """SELECT meeting_id, chunk_no, seg_id, false AS overlap FROM v_numbered UNION ALL
+    SELECT a.meeting_id, a.chunk_no + 1, a.seg_id, true FROM v_numbered a WHERE a.i > a.n - greatest(1, a.n // 10)
+    AND EXISTS (SELECT 1 FROM v_numbered b WHERE b.meeting_id = a.meeting_id AND b.chunk_no = a.chunk_no + 1)""", CHUNKS)
 def wn13(t):
     return windows.token_chunks(t.segments, 60).select("meeting_id", "chunk_no", "seg_id", "overlap")
 
