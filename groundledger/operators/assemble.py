@@ -104,18 +104,25 @@ def _glues(prev: Column, piece: Column) -> Column:
 
 def glue_pieces(words: DataFrame) -> DataFrame:
     """Split tokens ("2" ",75" ",000") become one word with the times of its first and last piece."""
-    lagged = with_neighbours(words, KEYS, "word_idx", 1, 0, lambda w: {"_prev": F.lag("w").over(w)}, size=WORD_CHUNK)
-    own = F.when(~_glues(F.trim("_prev"), F.trim("w")), F.col("word_idx"))
-    headed = running_max(lagged, KEYS, ["word_idx"], chunk_of("word_idx", WORD_CHUNK), own, "_head")
-    piece = F.struct("word_idx", F.trim("w").alias("w"))
+    near = with_neighbours(
+        words, KEYS, "word_idx", 1, 1, lambda w: {"_prev": F.lag("w").over(w), "_next": F.lead("w").over(w)}, size=WORD_CHUNK)
+    own, piece = F.trim("w"), F.struct("word_idx", F.trim("w").alias("w"))
+    near = settle(
+        near.withColumn("_glued", _glues(F.trim("_prev"), own)).withColumn("_opens", _glues(own, F.trim("_next"))).drop("_prev", "_next"))
+    # Most words stand alone; only pieces and the words they belong to are grouped.
+    parts = near.where(F.col("_glued") | F.col("_opens"))
+    headed = running_max(
+        parts, KEYS, ["word_idx"], chunk_of("word_idx", WORD_CHUNK), F.when(~F.col("_glued"), F.col("word_idx")), "_head")
     first = [c for c in words.columns if c not in ("meeting_id", "word_idx", "w", "end_ms", "conf", "disputed")]
-    glued = settle(headed.groupBy("meeting_id", F.col("_head").alias("word_idx")).agg(
+    glued = headed.groupBy("meeting_id", F.col("_head").alias("word_idx")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["w"]), "").alias("w"),
         *[F.min_by(c, "word_idx").alias(c) for c in first],
         F.max_by("end_ms", "word_idx").alias("end_ms"), F.min("conf").alias("conf"),
         F.max(F.coalesce("disputed", F.lit(False))).alias("disputed"),
-    ))
-    return dense_order(glued, KEYS, ["word_idx"], chunk_of("word_idx", WORD_CHUNK), "_n").withColumn(
+    )
+    alone = near.where(~F.col("_glued") & ~F.col("_opens")).withColumn("disputed", F.coalesce("disputed", F.lit(False))).withColumn("w", own)
+    both = alone.select(*words.columns).unionByName(glued.select(*words.columns))
+    return dense_order(both, KEYS, ["word_idx"], chunk_of("word_idx", WORD_CHUNK), "_n").withColumn(
         "word_idx", F.col("_n") - 1
     ).select(*words.columns)
 
