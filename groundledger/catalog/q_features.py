@@ -56,13 +56,13 @@ def agree_sql(col: str, pattern: str) -> str:
     return f"({has_sql(col, rest)} OR len(list_filter({found}, lambda w: NOT list_contains({words}, lower(w)))) > 0)"
 
 
-_TOK = r"([^A-Za-z]*?)([A-Za-z][\w''.-]*)"
+TOKEN_SQL = r"([^A-Za-z]*?)([A-Za-z][\w''.-]*)"
 CAPS = {"v_caps": f"""SELECT meeting_id, seg_id, text, list_filter(list_transform(list_filter(range(1, len(toks) + 1), lambda i:
     regexp_matches(toks[i], '^[A-Z]') AND NOT regexp_full_match(rtrim(toks[i], '.'), 'I(''(m|ll|d|ve))?')
     AND NOT regexp_matches(CASE WHEN trim(pre[i]) = '' THEN CASE WHEN i = 1 THEN '.' ELSE toks[i - 1] END ELSE trim(pre[i]) END, '[.!?:;"''(\\[]$')),
     lambda i: regexp_replace(rtrim(toks[i], '.'), '''s$', '')), lambda x: x <> '') AS caps
-    FROM (SELECT meeting_id, seg_id, text, regexp_extract_all({ascii_sql('text')}, '{_TOK}', 2) AS toks,
-    regexp_extract_all({ascii_sql('text')}, '{_TOK}', 1) AS pre FROM v_segments)"""}
+    FROM (SELECT meeting_id, seg_id, text, regexp_extract_all({ascii_sql('text')}, '{TOKEN_SQL}', 2) AS toks,
+    regexp_extract_all({ascii_sql('text')}, '{TOKEN_SQL}', 1) AS pre FROM v_segments)"""}
 
 KEY = ["meeting_id", "seg_id"]
 

@@ -3,9 +3,7 @@
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions import text as T
 from ..operators import jobs as J
-from ..operators.ordered import settle
 from ..sources import sinks as K
 from .oracle_views import lit
 from .q_features import KEY

@@ -7,7 +7,7 @@ from ..functions import text as T
 from ..operators import fidelity as FI, lexicon, playback, verify as V
 from ..operators.ordered import settle, with_neighbours
 from ..plans import record
-from .q_features import KEY, count_sql, has_sql, numbers_sql
+from .q_features import KEY, TOKEN_SQL, ascii_sql, count_sql, has_sql, numbers_sql
 from .registry import query
 
 
@@ -31,6 +31,35 @@ CITED = {"v_flat": """SELECT meeting_id, pos, seg, min(i) AS i FROM (SELECT meet
     SELECT meeting_id, unnest(evidence_ids) FROM v_decisions UNION ALL SELECT meeting_id, unnest(evidence_ids) FROM v_tasks)"""}
 
 
+def caps_sql(col: str) -> str:
+    """Capitalised tokens that do not start a sentence, for plain ASCII text."""
+    toks, pre = f"regexp_extract_all({col}, '{TOKEN_SQL}', 2)", f"regexp_extract_all({col}, '{TOKEN_SQL}', 1)"
+    return f"""list_filter(list_transform(list_filter(range(1, len({toks}) + 1), lambda i: regexp_matches({toks}[i], '^[A-Z]')
+    AND NOT regexp_full_match(rtrim({toks}[i], '.'), 'I(''(m|ll|d|ve))?') AND NOT regexp_matches(CASE WHEN trim({pre}[i]) = '' THEN
+    CASE WHEN i = 1 THEN '.' ELSE {toks}[i - 1] END ELSE trim({pre}[i]) END, '[.!?:;"''(\\[]$')), lambda i: regexp_replace(rtrim({toks}[i], '.'), '''s$', '')), lambda x: x <> '')"""
+
+
+# Facts of a sentence, one row each (k = 'n' for numbers, 'c' for names), and whether a text holds one.
+_HOLDS = "CASE WHEN f.k = 'n' THEN list_contains({nums}, f.fact) ELSE regexp_matches(lower({low}), '(^|[^\\w])' || replace(lower(f.fact), '.', '\\.') || '([^\\w]|$)') END"
+_JOINED = "(SELECT meeting_id, pos, string_agg(speaker || ' ' || text, ' ' ORDER BY o) AS t FROM {0} GROUP BY meeting_id, pos)"
+FACTS = {**CITED,
+    "v_facts": f"""SELECT DISTINCT meeting_id, pos, 'n' AS k, unnest({numbers_sql('text')}) AS fact FROM v_sentences
+    UNION SELECT DISTINCT meeting_id, pos, 'c', unnest({caps_sql('text')}) FROM v_sentences""",
+    "v_c1": f"SELECT k.meeting_id, k.pos, k.i AS o, k.ord, s.seg_id, s.speaker, {ascii_sql('s.text')} AS text FROM v_known k JOIN v_segments s ON s.meeting_id = k.meeting_id AND s.ord = k.ord",
+    "v_miss1": f"""SELECT f.* FROM v_facts f LEFT JOIN {_JOINED.format('v_c1')} c USING (meeting_id, pos)
+    WHERE NOT coalesce({_HOLDS.format(nums=numbers_sql('c.t'), low='c.t')}, false)""",
+    "v_borrow": f"""SELECT f.meeting_id, f.pos, f.k, f.fact, min(s.ord) AS ord FROM v_miss1 f JOIN v_c1 c USING (meeting_id, pos) JOIN v_segments s ON s.meeting_id = f.meeting_id
+    AND abs(s.ord - c.ord) = 1 WHERE NOT EXISTS (SELECT 1 FROM v_c1 x WHERE x.meeting_id = f.meeting_id AND x.pos = f.pos AND x.ord = s.ord)
+    AND regexp_matches(lower({ascii_sql('s.text')}), '(^|[^\\w])' || replace(lower(f.fact), '.', '\\.') || '([^\\w]|$)') GROUP BY f.meeting_id, f.pos, f.k, f.fact""",
+    "v_c2": f"""SELECT meeting_id, pos, CASE WHEN EXISTS (SELECT 1 FROM v_miss1 m WHERE m.meeting_id = c.meeting_id AND m.pos = c.pos) THEN ord ELSE o END AS o, ord, seg_id, speaker, text FROM v_c1 c
+    UNION SELECT DISTINCT b.meeting_id, b.pos, b.ord, b.ord, s.seg_id, s.speaker, {ascii_sql('s.text')} FROM v_borrow b JOIN v_segments s ON s.meeting_id = b.meeting_id AND s.ord = b.ord""",
+    "v_miss2": f"""SELECT f.* FROM v_miss1 f JOIN {_JOINED.format('v_c2')} c USING (meeting_id, pos)
+    WHERE NOT coalesce({_HOLDS.format(nums=numbers_sql('c.t'), low='c.t')}, false)""",
+    "v_ok": "SELECT * FROM v_c2 c WHERE NOT EXISTS (SELECT 1 FROM v_miss2 m WHERE m.meeting_id = c.meeting_id AND m.pos = c.pos)",
+    "v_checked": """SELECT s.meeting_id, s.section, s.pos, c.ids IS NOT NULL AS kept, c.ids FROM v_sentences s LEFT JOIN
+    (SELECT meeting_id, pos, string_agg(seg_id, '|' ORDER BY o) AS ids FROM v_ok GROUP BY meeting_id, pos) c USING (meeting_id, pos)"""}
+
+
 @query("pr21_known_ids", "SELECT meeting_id, pos, string_agg(seg, '|' ORDER BY i) AS ids FROM v_known GROUP BY meeting_id, pos", CITED)
 def pr21(t):
     k = V.known_evidence(t.sentences.withColumnRenamed("text", "sentence"), t.segments).where(F.size("cited") > 0)
@@ -83,7 +112,7 @@ def jn7(t):
     return k.where(F.exists("cited", lambda c: F.abs(c["ord"] - F.col("_at")) <= C.DEADLINE_ADJACENCY)).select("meeting_id", "pos")
 
 
-@query("jn8_neighbour_evidence")
+@query("jn8_neighbour_evidence", "SELECT meeting_id, pos, ids FROM v_checked WHERE kept", FACTS)
 def jn8(t):
     kept, _ = V.verify_sentences(t.sentences, t.segments)
     return kept.select("meeting_id", "pos", ids())
@@ -127,10 +156,16 @@ def ag2(t):
     return FI.coverage(t.segments, FI.cited_ids(t.sentences, t.decisions, t.tasks))
 
 
-@query("pr22_unsupported_facts")
+@query("pr22_unsupported_facts", "SELECT s.meeting_id, s.pos, coalesce((SELECT string_agg(m.fact, '|' ORDER BY m.fact) FROM v_miss1 m WHERE m.meeting_id = s.meeting_id AND m.pos = s.pos), '') AS missing FROM v_sentences s", FACTS)
 def pr22(t):
     k = V.known_evidence(t.sentences.withColumnRenamed("text", "sentence"), t.segments)
-    return k.select("meeting_id", "pos", F.array_join(V.unsupported(F.col("sentence"), V.cited_text(F.col("cited"))), "|").alias("missing"))
+    return k.select("meeting_id", "pos", F.array_join(F.array_sort(F.array_distinct(V.unsupported(F.col("sentence"), V.cited_text(F.col("cited"))))), "|").alias("missing"))
+
+
+@query("jb10_kept_sentences", "SELECT meeting_id, section, pos, kept FROM v_checked", FACTS)
+def jb10_kept(t):
+    kept, removed = V.verify_sentences(t.sentences, t.segments)
+    return kept.withColumn("kept", F.lit(True)).unionByName(removed.withColumn("kept", F.lit(False))).select("meeting_id", "section", "pos", "kept")
 
 
 @query("jb10_sentences")

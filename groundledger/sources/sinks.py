@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as C
 from ..functions import text as T
-from ..operators.ordered import chunk_of, dense_order
+from ..operators.ordered import chunk_of, dense_order, settle
 
 PART = 4096
 
@@ -97,6 +97,7 @@ def markdown_lines(meetings: DataFrame, sentences: DataFrame, decisions: DataFra
     body = s.select(*cols)
     for part in (topics, points, d, p, k):
         body = body.unionByName(part.select(*cols))
+    body = settle(body)
     has = body.groupBy("meeting_id").pivot("s", [1, 2, 3, 4, 5]).agg(F.count(F.lit(1)))
     state = meetings.join(has, "meeting_id", "left")
     out = body.unionByName(_fixed(meetings, 0, 0, F.concat(F.lit("# "), F.col("title"))))
@@ -121,7 +122,7 @@ def fidelity_lines(fidelity: DataFrame) -> DataFrame:
 
 
 def markdown_documents(lines: DataFrame) -> DataFrame:
-    n = dense_order(lines, ["meeting_id"], ["s", "a", "b", "c"], F.col("s").cast("long"), "n")
+    n = dense_order(settle(lines), ["meeting_id"], ["s", "a", "b", "c"], F.col("s").cast("long"), "n")
     return in_parts(n, ["n"])
 
 
