@@ -140,7 +140,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text",
         def run(texts: list) -> list:
             cut = [c.chunks(t.decode("utf-8", "replace")) if t else [] for t in texts]
             memo.know(x for xs in cut for x in xs)
-            joined = [b" ".join(map(memo.__getitem__, xs)) for xs in cut]
+            joined = [b" ".join(map(memo.known.__getitem__, xs)) for xs in cut]
             split = [j.split() for j in joined]
             plain = [b"".join(map(back.__getitem__, s)) for s in split]
             out = [[len(s) for s in split], [hashlib.sha256(j).hexdigest() for j in joined], [hashlib.sha256(p).hexdigest() for p in plain]]

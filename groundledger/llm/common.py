@@ -84,19 +84,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-class Memo(dict):
-    """Answers for keys seen before; ``solve`` answers a list of new ones. Emptied when it would pass ``most`` keys."""
+class Memo:
+    """Answers for keys seen before; ``solve`` answers a list of new ones. Emptied when it would pass ``most`` keys.
 
-    def __init__(self, solve: Callable[[list], list], most: int = 400_000) -> None:
-        super().__init__()
+    ``known`` is a plain dict of plain values, which the garbage collector needn't walk through.
+    """
+
+    def __init__(self, solve: Callable[[list], list], most: int = 600_000) -> None:
         self.solve, self.most = solve, most
+        self.known: dict = {}
 
     def know(self, keys: Iterable) -> None:
         keys = set(keys)
-        new = keys.difference(self)
-        if len(self) + len(new) > self.most:
-            self.clear()
+        new = keys.difference(self.known)
+        if len(self.known) + len(new) > self.most:
+            self.known.clear()
             new = keys
         new = list(new)
         if new:
-            self.update(zip(new, self.solve(new)))
+            self.known.update(zip(new, self.solve(new)))

@@ -144,7 +144,7 @@ def _count_pieces(docs: DataFrame, path: str) -> DataFrame:
                 for lang, seen in words.items():
                     memo.know(seen)
                     for w, n in seen.items():
-                        for p in memo[w]:
+                        for p in memo.known[w]:
                             count[lang][p] += n
         rows = [(lang, p, n) for lang, c in count.items() for p, n in c.items()]
         for at in range(0, len(rows), 50_000):
@@ -181,14 +181,14 @@ def fit(docs: DataFrame, path: str, per_language: int = 1000, smoothing: float =
 class _Texts:
     """Summed scores of white-space delimited chunks, kept by chunk; the last column counts letters."""
 
-    def __init__(self, model: Model, most: int = 400_000) -> None:
+    def __init__(self, model: Model, most: int = 600_000) -> None:
         self.model = model
         self.rows = np.zeros((0, len(model.languages) + 1))
         self.used = 0
         self.memo = Memo(self._solve, most)
 
     def _solve(self, chunks: list[bytes]) -> list[int]:
-        if not self.memo:
+        if not self.memo.known:
             self.used = 0
         runs = [parts(c.decode("utf-8", "replace")) for c in chunks]
         words = list({w for ws in runs for w in ws})
@@ -208,7 +208,7 @@ class _Texts:
         self.memo.know(w for ws in cut for w in ws)
         names, scores = [], []
         for ws in cut:
-            total = self.rows[list(map(self.memo.__getitem__, ws))].sum(0) if ws else self.rows[:0].sum(0)
+            total = self.rows[list(map(self.memo.known.__getitem__, ws))].sum(0) if ws else self.rows[:0].sum(0)
             if not self.model.languages or total[-1] == 0:
                 names.append(UND)
                 scores.append(0.0)

@@ -155,8 +155,7 @@ class Packer:
 
 @lru_cache(2)
 def _memo(path: str) -> Memo:
-    solve = word_ids(path)
-    return Memo(lambda new: [struct.pack(f"<{len(ids)}I", *ids) for ids in solve(new)], most=600_000)
+    return Memo(word_ids(path), most=600_000)
 
 
 def pack(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 4096, grain: int = 4096, block: int = 128,
@@ -193,7 +192,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 4096, grai
                 words = [(t or b"").split() for t in texts.slice(at, STRIP).to_pylist()]
                 memo.know(w for ws in words for w in ws)
                 for key, ws in zip(keys[at:at + STRIP], words):
-                    ids = b"".join(map(memo.__getitem__, ws)) + end
+                    ids = b"".join(map(memo.known.__getitem__, ws)) + end
                     held[seen] = (key, ids)
                     put(packer.add(seen, len(ids) // 4))
                     seen += 1

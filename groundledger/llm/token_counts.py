@@ -105,7 +105,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, sections: str | None
                 out = {n: [] for n in ("doc_id", "section", "name", "start", "end", "n_tokens", "n_crossing", "doc_tokens")}
                 for key, t, xs, own in zip(keys[at:at + STRIP], part, cut, spans[at:at + STRIP]):
                     raw = (t or "").encode()
-                    ends = np.cumsum(np.frombuffer(b"".join(map(memo.__getitem__, xs)), "<u2"), dtype=np.int64)
+                    ends = np.cumsum(np.frombuffer(b"".join(map(memo.known.__getitem__, xs)), "<u2"), dtype=np.int64)
                     parts = (given(raw, own or []) if sections else lines(raw))
                     a, b = np.array([p[1] for p in parts], np.int64), np.array([p[2] for p in parts], np.int64)
                     full = np.flatnonzero(b > a)

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import os
-import re
+import struct
+import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
 
-#: Pre-tokens of a lower-case word of printable ASCII, as the file's own pattern cuts it.
-ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+import regex
+
+#: Pre-tokens of a lower-case word, as the pattern in the file cuts it.
+PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
+#: Printable ASCII and the Latin letters and signs up to U+024F without the one whose lower case is two code points.
+LATIN = regex.compile(r"[\x21-\x7e\u00a1-\u012f\u0131-\u024f]*")
 
 
 @lru_cache(2)
@@ -21,32 +26,48 @@ def load(path: str):
     return t
 
 
-def word_ids(path: str) -> Callable[[list[bytes]], list[list[int]]]:
-    """Ids of words cut at ASCII blanks. No pre-token crosses white space and normalisation doesn't look across it, so
-    the ids of a text are those of its words in order. Words of printable ASCII go to the model pre-token by pre-token
-    (their normal form is the lower case, their byte form themselves); other words take the whole path of the file."""
+def word_ids(path: str) -> Callable[[list[bytes]], list[bytes]]:
+    """Ids, as little-endian unsigned 32-bit numbers, of words cut at ASCII blanks. No pre-token crosses white space and
+    normalisation doesn't look across it, so the ids of a text are those of its words in order. Latin words in normal form
+    C go to the model pre-token by pre-token, in lower case and as byte-level symbols; other words take the whole path of
+    the file."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
     tok = load(path)
-    model, short = tok.model, {}
+    tokenize, symbols = tok.model.tokenize, ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+    short: dict[str, bytes] = {}
+    packed = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+    def pack(ids: list[int]) -> bytes:
+        return packed[len(ids)](*ids) if len(ids) < 64 else struct.pack(f"<{len(ids)}I", *ids)
 
-    def ids_of(pre: str) -> list[int]:
+    def ids_of(pre: str) -> bytes:
         if (ids := short.get(pre)) is None:
-            if len(short) > 300_000:
+            if len(short) > 700_000:
                 short.clear()
-            ids = short[pre] = [t.id for t in model.tokenize(pre)]
+            ids = short[pre] = pack([t.id for t in tokenize(pre if pre.isascii() else symbols(pre)[0][0])])
         return ids
 
-    def solve(words: list[bytes]) -> list[list[int]]:
+    def solve(words: list[bytes]) -> list[bytes]:
         out: list = [None] * len(words)
         rest = []
         for i, w in enumerate(words):
             s = w.decode("utf-8", "replace")
-            if s.isascii() and s.isprintable():
-                s = s.lower()
-                out[i] = ids_of(s) if s.isalpha() else [x for p in ASCII.findall(s) for x in ids_of(p)]
-            else:
+            if not s.isascii() and not (LATIN.fullmatch(s) and unicodedata.is_normalized("NFC", s)):
                 rest.append((i, s))
-        for (i, _), e in zip(rest, tok.encode_batch([s for _, s in rest], add_special_tokens=False)):
-            out[i] = e.ids
+                continue
+            s = s.lower()
+            if s.isalpha():
+                out[i] = ids_of(s)
+            elif s[:-1].isalpha() and s[-1] in ".,;:!?":
+                out[i] = ids_of(s[:-1]) + ids_of(s[-1])
+            elif s.isprintable():
+                out[i] = b"".join(map(ids_of, PRE_TOKEN.findall(s)))
+            else:
+                rest.append((i, w.decode("utf-8", "replace")))
+        if rest:
+            for (i, _), e in zip(rest, tok.encode_batch([s for _, s in rest], add_special_tokens=False)):
+                out[i] = pack(e.ids)
         return out
 
     return solve
