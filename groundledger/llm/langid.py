@@ -156,14 +156,19 @@ def _count_pieces(docs: DataFrame, path: str) -> DataFrame:
 
 def fit(docs: DataFrame, path: str, per_language: int = 1000, smoothing: float = 0.5, text: str = "text", lang: str = "lang",
         doc_id: str = "doc_id") -> Model:
-    """Learns from at most ``per_language`` texts of each language, drawn in the order of a hash of the id; the shares of
-    the languages come from all rows."""
+    """Learns from at most ``per_language`` texts of each language, drawn by a hash of the id; the shares of the languages come
+    from all rows."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).cast("string").alias("text"))
     shares = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(shares)
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    drawn = rows.select("doc_id", "lang").withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_language)
+    # hashes are even, so the lowest ``4 * per_language / n`` of them hold the draw; only those meet in a window
+    place, limit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), F.lit(0)
+    for name, n in shares.items():
+        limit = F.when(F.col("lang") == name, F.lit(int((1 << 40) * min(1.0, 4 * per_language / n)))).otherwise(limit)
+    w = Window.partitionBy("lang").orderBy("place", "doc_id")
+    drawn = rows.select("doc_id", "lang", place.alias("place")).where(F.col("place") < limit)
+    drawn = drawn.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_language)
     drawn = drawn.select("doc_id", "lang").distinct()
     if len(languages) * per_language <= 1_000_000:
         drawn = F.broadcast(drawn)  # at most that many rows of an id and a name
