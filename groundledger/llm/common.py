@@ -87,14 +87,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Memo:
     """Answers for keys seen before; ``solve`` answers a list of new ones. Emptied when it would pass ``most`` keys.
 
-    ``known`` is a plain dict of plain values, which the garbage collector needn't walk through.
+    A Python worker serves many tasks, so it keeps the answers of one memo only: the one used last. ``known`` is a plain
+    dict of plain values, which the garbage collector needn't walk through.
     """
 
-    def __init__(self, solve: Callable[[list], list], most: int = 600_000) -> None:
+    latest: Memo | None = None
+
+    def __init__(self, solve: Callable[[list], list], most: int = 400_000) -> None:
         self.solve, self.most = solve, most
         self.known: dict = {}
 
     def know(self, keys: Iterable) -> None:
+        if Memo.latest is not self:
+            if Memo.latest is not None:
+                Memo.latest.forget()
+            Memo.latest = self
         keys = set(keys)
         new = keys.difference(self.known)
         if len(self.known) + len(new) > self.most:
@@ -103,3 +110,8 @@ class Memo:
         new = list(new)
         if new:
             self.known.update(zip(new, self.solve(new)))
+
+    def forget(self) -> None:
+        """Drops all answers and what ``solve`` keeps itself."""
+        self.known.clear()
+        getattr(self.solve, "forget", dict)()

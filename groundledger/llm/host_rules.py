@@ -78,14 +78,12 @@ def host_verdicts(rows: DataFrame, limit: float = 0.6) -> DataFrame:
     per_host = rows.where(F.col("host").isNotNull()).groupBy("host").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failures"))
     raw = F.col("failures") / F.col("n")
-    fitted = per_host.agg(F.avg(raw).alias("m"), F.coalesce(F.var_pop(raw), F.lit(0.0)).alias("v"), F.avg(1 / F.col("n")).alias("c"))
-    unit = F.col("m") * (1 - F.col("m"))
-    between = F.greatest(F.col("v") - unit * F.col("c"), F.lit(0.0))
-    fitted = fitted.select("m", F.when(between * 1_000_001 <= unit, F.lit(1_000_000.0)).otherwise(
-        F.greatest(unit / between - 1, F.lit(1.0))).alias("weight"))
-    shrunk = per_host.join(F.broadcast(fitted.withColumn("one", F.lit(1))), F.lit(1) == F.col("one"))  # one row
-    rate = (F.col("failures") + F.col("m") * F.col("weight")) / (F.col("n") + F.col("weight"))
-    return shrunk.select("host", "n", "failures", rate.alias("rate"), (rate > limit).alias("host_failed"))
+    m, v, c = per_host.agg(F.avg(raw), F.var_pop(raw), F.avg(1 / F.col("n"))).first()  # three numbers
+    unit = (m or 0.0) * (1 - (m or 0.0))
+    between = max((v or 0.0) - unit * (c or 0.0), 0.0)
+    weight = 1_000_000.0 if between * 1_000_001 <= unit else max(unit / between - 1, 1.0)
+    rate = (F.col("failures") + (m or 0.0) * weight) / (F.col("n") + weight)
+    return per_host.select("host", "n", "failures", rate.alias("rate"), (rate > limit).alias("host_failed"))
 
 
 def judge(docs: DataFrame, limit: float = 0.6, text: str = "text", doc_id: str = "doc_id", host: str = "source") -> DataFrame:
