@@ -26,23 +26,44 @@ def with_columns(df: DataFrame, inputs: list[str], make: Make, fields: str) -> D
     """
     new = StructType.fromDDL(fields)
     kept = [f for f in df.schema.fields if f.name not in new.names]
-    inner = [f"_in{i}" for i in range(len(inputs))]
+    names = [f.name for f in kept]
+    extra = [c for c in inputs if c not in names]  # replaced by a new column, but read
+    place = {c: i for i, c in enumerate([*names, *extra])}
     outer = StructType([*(StructField(f.name, f.dataType, True) for f in kept), *new.fields])
     arrow = _arrow(new)
-    names = [f.name for f in kept]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
             for at in range(0, batch.num_rows, STRIP):
                 part = batch.slice(at, STRIP)
-                out = fn(*[_plain(part.column(part.schema.get_field_index(n))) for n in inner])
-                cols = [part.column(part.schema.get_field_index(n)) for n in names]
+                out = fn(*[_plain(part.column(place[c])) for c in inputs])
+                cols = [part.column(i) for i in range(len(names))]
                 cols += [c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(out, arrow)]
                 yield pa.RecordBatch.from_arrays(cols, [*names, *new.names])
+        pa.default_memory_pool().release_unused()
+
+    fed = df.select(*[F.col(_quoted(n)) for n in names], *[F.col(_quoted(c)).alias(f"_in{i}") for i, c in enumerate(extra)])
+    return small_batches(fed).mapInArrow(run, outer)
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches lowered to ``STRIP`` rows: rows are whole texts here, and a batch of the
+    default ten thousand of them takes hundreds of megabytes outside of the heap in each task."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > STRIP:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(STRIP))
+    return df
+
 
-    fed = df.select(*[F.col(_quoted(n)) for n in names], *[F.col(_quoted(c)).alias(n) for c, n in zip(inputs, inner)])
-    return fed.mapInArrow(run, outer)
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them where ``df`` has such a column."""
+    out = []
+    for n in names:
+        while n in df.columns:
+            n = "_" + n
+        out.append(n)
+    return out
 
 
 def flat_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[dict]]], fields: str) -> DataFrame:
@@ -56,6 +77,7 @@ def flat_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
             for out in fn(batch):
                 yield pa.RecordBatch.from_arrays(
                     [out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, new)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import STRIP, Memo, with_columns
+from .common import STRIP, Memo, small_batches, with_columns
 
 UND = "und"
 LETTERS = regex.compile(r"\p{L}+")
@@ -134,7 +134,7 @@ def _count_pieces(docs: DataFrame, path: str) -> DataFrame:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         count: dict[str, Counter] = defaultdict(Counter)
-        memo = Memo(lambda new: sp.encode(new, out_type=str, num_threads=1), most=200_000)
+        memo = Memo(lambda new: sp.encode(new, out_type=str, num_threads=1), most=50_000)
         for batch in batches:
             for at in range(0, batch.num_rows, STRIP):
                 piece = batch.slice(at, STRIP)
@@ -151,7 +151,7 @@ def _count_pieces(docs: DataFrame, path: str) -> DataFrame:
             lang, p, n = zip(*rows[at:at + 50_000])
             yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(p), pa.array(n, pa.int64())], ["lang", "piece", "n"])
 
-    return docs.mapInArrow(run, "lang string, piece string, n long")
+    return small_batches(docs).mapInArrow(run, "lang string, piece string, n long")
 
 
 def fit(docs: DataFrame, path: str, per_language: int = 1000, smoothing: float = 0.5, text: str = "text", lang: str = "lang",
@@ -186,7 +186,7 @@ def fit(docs: DataFrame, path: str, per_language: int = 1000, smoothing: float =
 class _Texts:
     """Summed scores of white-space delimited chunks, kept by chunk; the last column counts letters."""
 
-    def __init__(self, model: Model, most: int = 300_000) -> None:
+    def __init__(self, model: Model, most: int = 200_000) -> None:
         self.model = model
         self.rows = np.zeros((0, len(model.languages) + 1))
         self.used = 0
@@ -225,7 +225,7 @@ class _Texts:
         return [names, scores]
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds ``lang_pred`` and ``score``."""
+def identify(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds the best language and its posterior under ``names``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # vocabulary x languages
-    return with_columns(docs, [text], lambda: _Texts(shared.value), "lang_pred string, score double")
+    return with_columns(docs, [text], lambda: _Texts(shared.value), "`{}` string, `{}` double".format(*names))

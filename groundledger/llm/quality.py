@@ -139,9 +139,9 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
     return with_columns(stats, ["stats"], make, "score double")
 
 
-def score_texts(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds ``score`` straight from the texts."""
+def score_texts(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
+    """Adds the score straight from the texts."""
     def make():
         return lambda texts: [model.scores(np.array([statistics(t) for t in texts], float).reshape(-1, len(FEATURES)))]
 
-    return with_columns(docs, [text], make, "score double")
+    return with_columns(docs, [text], make, f"`{name}` double")

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import codec
-from .common import STRIP, Memo, flat_rows
+from .common import STRIP, Memo, flat_rows, small_batches
 
 FIELDS = "doc_id long, section int, name string, start long, end long, n_tokens long, n_crossing long, doc_tokens long"
 
@@ -61,19 +61,17 @@ def allot(ends: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.n
     section = np.where(inside, first, -1)
     for i in np.flatnonzero(crossing):
         a, b = int(begins[i]), int(ends[i])
-        share, at = {-1: 0}, a
-        for s in range(int(first[i]), int(last[i]) + 1):
-            lo, hi = max(a, int(starts[s])), min(b, int(stops[s]))
-            share[-1] += max(0, lo - at)
+        share, begin, at = {-1: 0}, {-1: b}, a
+        for s in [*range(int(first[i]), int(last[i]) + 1), None]:
+            lo, hi = (b, b) if s is None else (max(a, int(starts[s])), min(b, int(stops[s])))
+            if lo > at:  # bytes of no section
+                share[-1] += lo - at
+                begin[-1] = min(begin[-1], at)
             if hi > lo:
-                share[s] = hi - lo
+                share[s], begin[s] = hi - lo, lo
             at = max(at, hi)
-        share[-1] += b - at
         most = max(share.values())
-        tied = [s for s, n in share.items() if n == most]
-        # on a tie the part that begins first: the gap only if the token begins in it
-        begin = {s: (max(a, int(starts[s])) if s >= 0 else (a if starts[first[i]] > a else b)) for s in tied}
-        section[i] = min(tied, key=lambda s: (begin[s], s))
+        section[i] = min((s for s, n in share.items() if n == most), key=begin.get)
     return section, crossing
 
 
@@ -130,4 +128,4 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, sections: str | None
     cols = [F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")]
     if sections:
         cols.append(F.col(sections).cast("array<struct<name:string,start:long,end:long>>").alias("sections"))
-    return flat_rows(docs.select(*cols), make, FIELDS)
+    return flat_rows(small_batches(docs.select(*cols)), make, FIELDS)
