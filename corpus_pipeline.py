@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from groundledger.llm import langid, packing, quality, simhash
-from groundledger.llm.common import fold, table
+from groundledger.llm.common import fold, free_names, table
 from groundledger.llm.queries import tokenizer
 from groundledger.session import checkpoint_dir
 
@@ -20,23 +20,20 @@ from groundledger.session import checkpoint_dir
 LANGUAGE_SCORE, QUALITY_SCORE = 0.5, 0.3
 
 
-def _wrapped(docs: DataFrame) -> DataFrame:
-    """The row as one column beside the text, so that no column can clash with a result."""
-    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["text"].cast("string").alias("text"))
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in one of the languages of the labelled ones."""
     model = langid.fit(docs.where(fold("doc_id", 4) != 2), tokenizer("piece_bpe_32k.model"))
-    told = langid.identify(_wrapped(docs), model)
-    return told.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LANGUAGE_SCORE)).select("doc.*")
+    told, score = free_names(docs, "lang_pred", "score")
+    kept = langid.identify(docs, model, names=(told, score)).where((F.col(told) != langid.UND) & (F.col(score) >= LANGUAGE_SCORE))
+    return kept.select(*docs.columns)
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the classifier, learned from the labels of what came in, takes for good ones."""
     known = docs.where(fold("doc_id", 5) != 0).select("doc_id", "text")
     model = quality.fit(quality.with_statistics(known).drop("text"), table(spark, sf_dir, "labels"))
-    return quality.score_texts(_wrapped(docs), model).where(F.col("score") >= QUALITY_SCORE).select("doc.*")
+    score, = free_names(docs, "score")
+    return quality.score_texts(docs, model, name=score).where(F.col(score) >= QUALITY_SCORE).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
