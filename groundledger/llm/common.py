@@ -115,7 +115,7 @@ class Memo:
 
     latest: Memo | None = None
 
-    def __init__(self, solve: Callable[[list], list], most: int = 400_000) -> None:
+    def __init__(self, solve: Callable[[list], list], most: int = 300_000) -> None:
         self.solve, self.most = solve, most
         self.known: dict = {}
 

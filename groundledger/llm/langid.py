@@ -186,7 +186,7 @@ def fit(docs: DataFrame, path: str, per_language: int = 1000, smoothing: float =
 class _Texts:
     """Summed scores of white-space delimited chunks, kept by chunk; the last column counts letters."""
 
-    def __init__(self, model: Model, most: int = 200_000) -> None:
+    def __init__(self, model: Model, most: int = 150_000) -> None:
         self.model = model
         self.rows = np.zeros((0, len(model.languages) + 1))
         self.used = 0

@@ -155,7 +155,7 @@ class Packer:
 
 @lru_cache(2)
 def _memo(path: str) -> Memo:
-    return Memo(word_ids(path), most=400_000)
+    return Memo(word_ids(path), most=250_000)
 
 
 def pack(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 4096, grain: int = 4096, block: int = 128,

@@ -43,7 +43,7 @@ def word_ids(path: str) -> Callable[[list[bytes]], list[bytes]]:
 
     def ids_of(pre: str) -> bytes:
         if (ids := short.get(pre)) is None:
-            if len(short) > 400_000:
+            if len(short) > 250_000:
                 short.clear()
             ids = short[pre] = pack([t.id for t in tokenize(pre if pre.isascii() else symbols(pre)[0][0])])
         return ids
