@@ -11,7 +11,7 @@ from .oracle_views import lit
 from .q_features import KEY
 from .registry import query
 
-_STOP = lit(sorted(set(C.NOT_NAMES) | set(C.NOT_NAMES_HELPERS)))
+_STOP = lit(sorted(C.NOT_NAMES))
 
 
 @query("pr12_said_names")

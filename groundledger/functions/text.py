@@ -58,7 +58,7 @@ def modal_set(text: Column) -> Column:
 
 
 _TOKEN = r"[A-Za-z][\w'’.-]*"
-_SENTENCE_START = r"(?<=[.!?:;\"'“”(\[]\s{0,64})|(?<=^\s{0,64})"
+_SENTENCE_START = r"(?<=[.!?:;\"'“”(\[] ?)|(?<=^ ?)"
 
 
 def capitalized_non_initial(text: Column) -> Column:
@@ -67,6 +67,7 @@ def capitalized_non_initial(text: Column) -> Column:
     The first alternative consumes sentence-initial tokens without capturing them, so one pass of the
     regex engine yields only the other ones.
     """
+    text = F.regexp_replace(text, r"(?U)\s+", " ")  # a look-behind needs a bounded width
     raw = F.regexp_extract_all(text, F.lit(f"(?U)(?:{_SENTENCE_START}){_TOKEN}|({_TOKEN})"), F.lit(1))
     bare = F.transform(raw, lambda t: F.rtrim(t, F.lit(".")))
     names = F.filter(

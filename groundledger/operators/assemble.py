@@ -243,12 +243,17 @@ def words_to_segments(words: DataFrame, stt_segments: DataFrame) -> DataFrame:
 
 
 def normalize_provider(words: DataFrame, stt_segments: DataFrame) -> DataFrame:
-    """Words per segment with the segment's confidence; a segment without words gets its text spread evenly."""
+    """Words per segment with the segment's confidence; a segment without words gets its text spread evenly.
+
+    Words after the end of the last segment belong to it, besides its own words or spread text.
+    """
     conf = F.round(F.exp(F.least(F.lit(0.0), F.coalesce("avg_logprob", F.lit(0.0)))), 4)
     segs = stt_segments.withColumn("conf", conf)
     timed = words.where(F.trim("w") != "").withColumn("w", F.trim("w"))
-    placed = words_to_segments(timed, segs).join(segs.select("meeting_id", "stt_seg", "conf"), ["meeting_id", "stt_seg"])
-    empty = segs.join(placed.select("meeting_id", "stt_seg").distinct(), ["meeting_id", "stt_seg"], "left_anti")
+    placed = words_to_segments(timed, segs).join(
+        segs.select("meeting_id", "stt_seg", "conf", (F.col("end_ms") - 1).alias("_until")), ["meeting_id", "stt_seg"])
+    timely = placed.where(F.col("start_ms") < F.col("_until"))
+    empty = segs.join(timely.select("meeting_id", "stt_seg").distinct(), ["meeting_id", "stt_seg"], "left_anti")
     tokens = F.filter(F.split("text", r"(?U)\s+"), lambda x: x != "")
     step = (F.col("end_ms") - F.col("start_ms")) / F.greatest(F.lit(1), F.size(tokens))
     spread = empty.select("meeting_id", "stt_seg", "conf", F.posexplode(

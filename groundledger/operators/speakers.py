@@ -40,7 +40,7 @@ def _in(word: Column, values: list[str]) -> Column:
 
 def clean_name(name: Column) -> Column:
     """Title-cased name without common words; NULL for common words, places and technical terms."""
-    stop = sorted(set(C.NOT_NAMES) | set(C.NOT_NAMES_HELPERS))
+    stop = sorted(C.NOT_NAMES)
     kept = F.filter(F.split(F.trim(name), r"(?U)\s+"), lambda w: (w != "") & ~_in(w, stop))
     full = F.array_join(F.transform(kept, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000)))), " ")
     fixed = F.create_map(*[F.lit(x) for kv in C.NAME_SPELLINGS.items() for x in kv])
@@ -114,17 +114,17 @@ def name_votes(lines: DataFrame) -> DataFrame:
     own = spoken.select(
         "meeting_id", "ord", "seg_id", "text", F.col("speaker").alias("spk"), F.posexplode("self_names").alias("k", "name"),
     ).select("meeting_id", "ord", "seg_id", "text", "spk", "name", F.lit(C.SELF_WEIGHT).alias("weight"), F.lit("self_introduction").alias("kind"),
-             (F.col("ord") * 100 + F.col("k")).alias("seq"))
+             (F.col("ord") * (1 << 20) + F.col("k")).alias("seq"))
     addressed = spoken.select(
         "meeting_id", "ord", "seg_id", "text", "speaker", "reply",
         F.posexplode(F.filter(F.array_distinct("said_to"), lambda n: ~F.array_contains(F.col("self_names"), n))).alias("k", "name"),
     )
-    seq = F.col("ord") * 100 + 50 + F.col("k")
+    seq = F.col("ord") * (1 << 20) + (1 << 19) + 2 * F.col("k")  # the reply's vote stands before the denial
     cols = ["meeting_id", "ord", "seg_id", "text", "spk", "name", "weight", "kind", "seq"]
     answers = addressed.where(F.col("reply").isNotNull()).withColumn("spk", F.col("reply")).withColumn(
         "weight", F.lit(C.ADDRESS_WEIGHT)).withColumn("kind", F.lit("addressed")).withColumn("seq", seq)
     denials = addressed.withColumn("spk", F.col("speaker")).withColumn("weight", F.lit(-C.ADDRESS_WEIGHT)).withColumn(
-        "kind", F.lit(None).cast("string")).withColumn("seq", seq)
+        "kind", F.lit(None).cast("string")).withColumn("seq", seq + 1)
     return own.select(*cols).unionByName(answers.select(*cols)).unionByName(denials.select(*cols))
 
 
@@ -150,11 +150,11 @@ def assign_names(scores: DataFrame) -> DataFrame:
     With S speakers in a meeting at most S - 1 names are taken by others, so a speaker's name is among its S
     best; only those pairs reach the per-meeting fold.
     """
-    positive = scores.where(F.col("weight") > 0)
-    n = positive.groupBy("meeting_id").agg(F.count_distinct("speaker").alias("_s"))
     first = Window.partitionBy("meeting_id", "speaker")
-    # Ties keep the order in which speakers, then their names, first got evidence.
-    ranked = positive.withColumn("_spk_seq", F.min("seq").over(first)).withColumn(
+    # Ties keep the order in which speakers, then their names, first got evidence of any sign.
+    positive = scores.withColumn("_spk_seq", F.min("seq").over(first)).where(F.col("weight") > 0)
+    n = positive.groupBy("meeting_id").agg(F.count_distinct("speaker").alias("_s"))
+    ranked = positive.withColumn(
         "_r", F.row_number().over(first.orderBy(F.col("weight").desc(), "seq", "name")))
     best = ranked.join(n, "meeting_id").where(F.col("_r") <= F.col("_s"))
     pair = F.struct((-F.col("weight")).alias("w"), "_spk_seq", "seq", "speaker", "name")

@@ -93,3 +93,16 @@ def test_near_duplicates_merge_evidence(spark, meeting):
     got = {r.pos: (r.merged_into, r.evidence_ids) for r in items.dedupe_items(d, "item", segs).collect()}
     assert got[1] == (None, ["S001", "S002", "S003"]) and got[2][0] == 1 and got[3][0] == 1
     assert got[4] == (None, ["S008"]) and got[5] == (None, ["S001"])
+
+
+def test_ties_go_to_the_speaker_with_the_first_evidence_of_any_sign(spark, meeting):
+    lines = meeting({1: [("Speaker 2", "Thanks Rahul."), ("Speaker 2", "Go on."), ("Speaker 2", "Go on."), ("Speaker 1", "I am Priya."), ("Speaker 2", "I am Priya.")]})
+    names, _ = speakers.name_speakers(lines)
+    assert {(r["speaker"], r["name"]) for r in names.collect() if r["name"] == "Priya"} == {("Speaker 2", "Priya")}
+
+
+def test_capitals_after_many_blanks_start_a_sentence(spark):
+    from groundledger.functions import text as T
+
+    df = spark.createDataFrame([("Done." + " " * n + "Ravi came with Anita",) for n in (1, 80)], "t string")
+    assert [r[0] for r in df.select(T.capitalized_non_initial(F.col("t"))).collect()] == [["Anita"], ["Anita"]]
