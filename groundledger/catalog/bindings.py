@@ -15,6 +15,10 @@ from ..operators.ordered import chunk_of, dense_order
 from . import cases
 
 SLOT_MS, WORD_MS = 5400, 250
+#: Words of a turn beside its phrase, and of each further line (whose words fit into a slot).
+OPENING_WORDS, LINE_WORDS = 6, 18
+#: Puts the chunks of further lines behind those of all turns.
+LATE = 1 << 40
 WORD = "struct<w:string,start_ms:bigint,end_ms:bigint,conf:double,disputed:boolean,alt:string>"
 
 
@@ -42,9 +46,13 @@ class Tables:
         ordered = dense_order(conv, ["conv_id"], ["turn"], chunk_of("turn"))
         return ordered.select(
             F.col("conv_id").alias("meeting_id"), "turn", "role", "text", "ord",
-            ((F.col("conv_id") * 7 + F.col("turn") * 3) % 24).cast("int").alias("p"),
+            self._phrase_no(),
         )
 
+    @staticmethod
+    def _phrase_no() -> Column:
+        return ((F.col("conv_id") * 7 + F.col("turn") * 3) % 24).cast("int").alias("p")
+
     @cached_property
     def labels(self) -> DataFrame:
         """Speaker labels by first appearance of a role."""
@@ -56,23 +64,34 @@ class Tables:
         return relabel_by_appearance(roles, "label")
 
     @cached_property
-    def segments_p(self) -> DataFrame:
+    def segments(self) -> DataFrame:
+        """Lines of the meetings, holding every word of the turns.
+
+        A turn opens with its phrase and, unless that phrase is a line of its own, its first words. What it says beyond
+        them follows after the last turn in lines of at most ``LINE_WORDS`` words, so that the phrases stay neighbours.
+        """
         phrases = self._cases(cases.PHRASES, "p int, phrase string, whole boolean")
-        prose = F.array_join(F.slice(F.split(T.collapse(F.col("text")), " "), 1, 6), " ")
-        text = F.when(F.col("whole"), F.col("phrase")).otherwise(F.concat_ws(" ", "phrase", prose))
+        said = F.split(T.collapse(F.col("text")), " ")
+        taken = F.when(F.col("whole"), 0).otherwise(OPENING_WORDS)
+        opening = F.when(F.col("whole"), F.col("phrase")).otherwise(
+            F.concat_ws(" ", "phrase", F.array_join(F.slice(said, 1, OPENING_WORDS), " ")))
+        further = F.ceil(F.greatest(F.size(said) - taken, F.lit(0)) / LINE_WORDS).cast("int")
+        cut = F.transform(
+            F.sequence(F.lit(0), further),
+            lambda i: F.when(i == 0, opening).otherwise(
+                F.array_join(F.slice(said, taken + (i - 1) * LINE_WORDS + 1, LINE_WORDS), " ")))
+        rows = self.given("conversations").select(
+            F.col("conv_id").alias("meeting_id"), "turn", F.col("role").alias("label"), "text", self._phrase_no()
+        ).join(phrases, "p").select("meeting_id", "turn", "label", F.posexplode(cut).alias("part", "text"))
+        rows = rows.where((F.col("part") == 0) | (F.col("text") != ""))
+        late = (F.col("part") > 0).cast("long")
+        rows = dense_order(rows, ["meeting_id"], [late, "turn", "part"], late * LATE + chunk_of("turn"))
         pause = F.when((F.col("meeting_id") + F.col("turn")) % 4 == 0, 700).otherwise(0)
         start = (F.col("ord") - 1) * SLOT_MS + pause
-        rows = (
-            self.lines.join(phrases, "p").withColumnRenamed("role", "label").join(self.labels, ["meeting_id", "label"])
+        return rows.join(self.labels, ["meeting_id", "label"]).select(
+            "meeting_id", "ord", seg_id(F.col("ord")).alias("seg_id"), "speaker", "text",
+            start.alias("start_ms"), (start + F.size(F.split("text", " ")) * WORD_MS).alias("end_ms"),
         )
-        return rows.select(
-            "meeting_id", "ord", seg_id(F.col("ord")).alias("seg_id"), "speaker", text.alias("text"),
-            start.alias("start_ms"), (start + F.size(F.split(text, " ")) * WORD_MS).alias("end_ms"), "p",
-        )
-
-    @cached_property
-    def segments(self) -> DataFrame:
-        return self.segments_p.drop("p")
 
     @cached_property
     def segments_words(self) -> DataFrame:
@@ -96,10 +115,12 @@ class Tables:
 
     @cached_property
     def turns(self) -> DataFrame:
+        """Speaker turns beside the lines; one in five ends early, which leaves words without a turn."""
         shift = F.when(F.col("ord") % 2 == 0, 120).otherwise(-120)
-        return self.segments.where((F.col("meeting_id") + F.col("ord")) % 5 != 0).select(
+        early = (F.col("meeting_id") + F.col("ord")) % 5 == 0
+        return self.segments.select(
             "meeting_id", F.col("ord").alias("turn_no"), (F.col("start_ms") + shift).alias("start_ms"),
-            (F.col("end_ms") + shift).alias("end_ms"), "speaker",
+            (F.when(early, F.col("start_ms") + 200).otherwise(F.col("end_ms")) + shift).alias("end_ms"), "speaker",
         )
 
     def _by_phrase(self, rows: list[tuple], schema: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from . import cases
+from .bindings import LINE_WORDS, OPENING_WORDS
 from .. import constants as C
 
 
@@ -42,15 +43,20 @@ VIEWS = {
         CAST((conv_id * 7 + turn * 3) % 24 AS INTEGER) AS p FROM conversations""",
     "v_labels": """SELECT conv_id AS meeting_id, role AS label, 'Speaker ' || dense_rank() OVER (
         PARTITION BY conv_id ORDER BY min(turn), role) AS speaker FROM conversations GROUP BY conv_id, role""",
-    "v_seg0": f"""SELECT l.meeting_id, l.turn, l.ord, s.speaker, l.p,
-        CASE WHEN t.whole THEN t.phrase ELSE t.phrase || ' ' || array_to_string(
-            (string_split(trim(regexp_replace(l.text, '\\s+', ' ', 'g')), ' '))[1:6], ' ') END AS text
+    "v_said": f"""SELECT l.meeting_id, l.turn, s.speaker, t.phrase, t.whole, CASE WHEN t.whole THEN 0 ELSE {OPENING_WORDS} END AS taken,
+        string_split(trim(regexp_replace(l.text, '\\s+', ' ', 'g')), ' ') AS said
         FROM v_lines l JOIN {values(cases.PHRASES, 'p, phrase, whole')} ON t.p = l.p
         JOIN v_labels s ON s.meeting_id = l.meeting_id AND s.label = l.role""",
+    "v_parts": f"""SELECT *, unnest(range(0, 1 + CAST(ceil(greatest(len(said) - taken, 0) / {LINE_WORDS}) AS BIGINT))) AS part FROM v_said""",
+    "v_seg0": f"""SELECT meeting_id, turn, speaker, text, row_number() OVER (PARTITION BY meeting_id ORDER BY part > 0, turn, part) AS ord
+        FROM (SELECT meeting_id, turn, speaker, part, CASE
+            WHEN part > 0 THEN array_to_string(said[taken + (part - 1) * {LINE_WORDS} + 1:taken + part * {LINE_WORDS}], ' ')
+            WHEN whole THEN phrase ELSE phrase || ' ' || array_to_string(said[1:{OPENING_WORDS}], ' ') END AS text FROM v_parts)
+        WHERE part = 0 OR text <> ''""",
     "v_segments": """SELECT meeting_id, ord, printf('S%03d', ord) AS seg_id, speaker, text,
         (ord - 1) * 5400 + CASE WHEN (meeting_id + turn) % 4 = 0 THEN 700 ELSE 0 END AS start_ms,
         (ord - 1) * 5400 + CASE WHEN (meeting_id + turn) % 4 = 0 THEN 700 ELSE 0 END
-            + len(string_split(text, ' ')) * 250 AS end_ms, p FROM v_seg0""",
+            + len(string_split(text, ' ')) * 250 AS end_ms FROM v_seg0""",
     "v_words": """SELECT meeting_id, ord, pos, w, start_ms + (pos - 1) * 250 AS start_ms,
         start_ms + (pos - 1) * 250 + CASE WHEN pct % 5 = 0 THEN 250 ELSE 200 END AS end_ms, pct / 100 AS conf,
         pct, pct < 12 AS disputed, CASE WHEN pct < 12 THEN '~' || w END AS alt
@@ -59,8 +65,8 @@ VIEWS = {
                            unnest(range(1, len(string_split(text, ' ')) + 1)) AS pos FROM v_segments))""",
     "v_turns": """SELECT meeting_id, ord AS turn_no,
         start_ms + CASE WHEN ord % 2 = 0 THEN 120 ELSE -120 END AS start_ms,
-        end_ms + CASE WHEN ord % 2 = 0 THEN 120 ELSE -120 END AS end_ms, speaker
-        FROM v_segments WHERE (meeting_id + ord) % 5 <> 0""",
+        CASE WHEN (meeting_id + ord) % 5 = 0 THEN start_ms + 200 ELSE end_ms END
+            + CASE WHEN ord % 2 = 0 THEN 120 ELSE -120 END AS end_ms, speaker FROM v_segments""",
     "v_edits": _case(
         cases.EDITS, "p, k, original, replacement, category, pct, off",
         f"{_POS} AS edit_idx, printf('S%03d', l.ord + t.off) AS seg_id, original, replacement, category, "

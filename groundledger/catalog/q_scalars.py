@@ -42,21 +42,21 @@ def sf5(t):
 
 @query("sf6_spoken_letters", f"""SELECT meeting_id, ord, pos, short, CASE WHEN regexp_full_match(short, '[A-Z0-9/&.\\-]{{2,8}}')
     THEN array_to_string(list_transform(string_split(lower(short), ''), lambda c: ({_NAMES})[ascii(c) - 96]), ' ') ELSE short END AS spoken
-    FROM (SELECT meeting_id, ord, pos, substr(regexp_replace(upper({ascii_sql('w')}), '[^A-Z]', '', 'g'), 1, 4) AS short FROM v_words)""")
+    FROM (SELECT meeting_id, ord, pos, regexp_replace(upper({ascii_sql('w')}), '[^A-Z]', '', 'g') AS short FROM v_words)""")
 def sf6(t):
     plain = F.upper(F.regexp_replace("w", r"[^\x00-\x7F]", "q"))
-    short = F.substring(F.regexp_replace(plain, "[^A-Z]", ""), 1, 4)
+    short = F.regexp_replace(plain, "[^A-Z]", "")
     return t.words.select("meeting_id", "ord", "pos", short.alias("short")).withColumn(
         "spoken", T.spoken_letters(F.col("short"))
     )
 
 
 @query("sf7_jaro_winkler", f"""SELECT meeting_id, seg_id, edit_idx, round(jaro_winkler_similarity(a, b), 6) AS similarity FROM
-    (SELECT e.meeting_id, e.seg_id, edit_idx, lower(original) AS a, {ascii_sql('lower(s.text)')}[1:20] AS b
+    (SELECT e.meeting_id, e.seg_id, edit_idx, lower(original) AS a, {ascii_sql('lower(s.text)')} AS b
      FROM v_edits e JOIN v_segments s USING (meeting_id, seg_id)
      UNION ALL SELECT meeting_id, seg_id, -edit_idx, lower(original), lower(replacement) FROM v_edits)""")
 def sf7(t):
-    plain = F.substring(F.regexp_replace(F.lower("text"), r"[^\x00-\x7F]", "q"), 1, 20)
+    plain = F.regexp_replace(F.lower("text"), r"[^\x00-\x7F]", "q")
     cols = ["meeting_id", "seg_id", "edit_idx", "a", "b"]
     with_line = t.edits.join(t.segments, KEY).select(*KEY, "edit_idx", F.lower("original").alias("a"), plain.alias("b"))
     own = t.edits.select(*KEY, (-F.col("edit_idx")).alias("edit_idx"), F.lower("original").alias("a"), F.lower("replacement").alias("b"))

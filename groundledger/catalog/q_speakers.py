@@ -23,13 +23,12 @@ def pr12(t):
 def _clean_sql():
     return f"""SELECT meeting_id, seg_id, CASE WHEN len(k) = 0 OR list_contains({lit(S.known_terms())}, lower(array_to_string(k, ' ')))
     OR list_contains({lit(S.known_terms())}, lower(k[1])) THEN NULL ELSE array_to_string(list_transform(k, lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ') END AS name
-    FROM (SELECT meeting_id, seg_id, list_filter((string_split(replace(text, 'ß', 's'), ' '))[1:2], lambda w: NOT list_contains({_STOP}, lower(w))) AS k FROM v_segments)"""
+    FROM (SELECT meeting_id, seg_id, list_filter(string_split(replace(text, 'ß', 's'), ' '), lambda w: NOT list_contains({_STOP}, lower(w))) AS k FROM v_segments)"""
 
 
 @query("pr13_clean_names", _clean_sql())
 def pr13(t):
-    two = F.array_join(F.slice(F.split(F.replace("text", F.lit("ß"), F.lit("s")), " "), 1, 2), " ")
-    return t.segments.select(*KEY, S.clean_name(two).alias("name"))
+    return t.segments.select(*KEY, S.clean_name(F.replace("text", F.lit("ß"), F.lit("s"))).alias("name"))
 
 
 @query("pr14_people_names")

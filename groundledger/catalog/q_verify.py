@@ -243,11 +243,11 @@ def ag3(t):
     return whole_record(t).fidelity
 
 
-@query("jb14_fidelity", f"""SELECT s.meeting_id, n.k || '/' || n.n AS numbers_preserved, s.total_lines, s.cited_lines, e.reasons AS rejected, w.disputed_words FROM
+@query("jb14_fidelity", f"""SELECT s.meeting_id, n.k || '/' || n.n AS numbers_preserved, s.total_lines, s.cited_lines, coalesce(e.reasons, 0) AS rejected, w.disputed_words FROM
     (SELECT s.meeting_id, count(*) AS total_lines, count(c.seg) AS cited_lines FROM v_segments s LEFT JOIN v_all_ids c ON c.meeting_id = s.meeting_id AND c.seg = s.seg_id GROUP BY s.meeting_id) s
     JOIN (SELECT meeting_id, sum(CASE WHEN a = b THEN len(a) ELSE 0 END)::BIGINT AS k, sum(len(a))::BIGINT AS n FROM (SELECT meeting_id, {numbers_sql('text')} AS a,
           {numbers_sql("replace(text, '15 slides', '50 slides')")} AS b FROM v_segments) GROUP BY meeting_id) n USING (meeting_id)
-    JOIN (SELECT meeting_id, count(*) AS reasons FROM v_edits e LEFT JOIN v_segments s USING (meeting_id, seg_id) WHERE trim(original) <> trim(replacement)
+    LEFT JOIN (SELECT meeting_id, count(*) AS reasons FROM v_edits e LEFT JOIN v_segments s USING (meeting_id, seg_id) WHERE trim(original) <> trim(replacement)
           AND (confidence < 0.7 OR s.text IS NULL OR NOT contains(s.text, original)) GROUP BY meeting_id) e USING (meeting_id)
     JOIN (SELECT meeting_id, count(*) FILTER (disputed) AS disputed_words FROM v_words GROUP BY meeting_id) w USING (meeting_id)""", CITED)
 def jb14(t):
@@ -260,7 +260,7 @@ def jb14(t):
     disputed = lines.groupBy("meeting_id").agg(F.sum(F.size(F.filter("words", lambda w: w["disputed"]))).cast("long").alias("disputed_words"))
     cover = FI.coverage(lines, FI.cited_ids(t.sentences, t.decisions, t.tasks))
     return (
-        FI.preserved(lines, edited).join(cover, "meeting_id").join(rejected, "meeting_id").join(disputed, "meeting_id")
+        FI.preserved(lines, edited).join(cover, "meeting_id").join(rejected, "meeting_id", "left").join(disputed, "meeting_id")
         .select("meeting_id", F.concat(F.col("numbers_kept").cast("string"), F.lit("/"), F.col("numbers_total").cast("string")).alias("numbers_preserved"),
-                "total_lines", "cited_lines", "rejected", "disputed_words")
+                "total_lines", "cited_lines", F.coalesce("rejected", F.lit(0)).alias("rejected"), "disputed_words")
     )

@@ -42,7 +42,7 @@ def clean_name(name: Column) -> Column:
     """Title-cased name without common words; NULL for common words, places and technical terms."""
     stop = sorted(C.NOT_NAMES)
     kept = F.filter(F.split(F.trim(name), r"(?U)\s+"), lambda w: (w != "") & ~_in(w, stop))
-    full = F.array_join(F.transform(kept, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000)))), " ")
+    full = F.array_join(F.transform(kept, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))), " ")
     fixed = F.create_map(*[F.lit(x) for kv in C.NAME_SPELLINGS.items() for x in kv])
     terms = known_terms()
     return (
