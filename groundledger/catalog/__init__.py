@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["q_base", "q_features", "q_sources", "q_joins", "q_aggregates", "q_ordered", "q_scalars", "q_guard",
+MODULES = ["q_base", "q_features", "q_sources", "q_ordered", "q_scalars", "q_guard",
            "q_verify", "q_speakers", "q_items", "q_voices", "q_sinks", "q_streams"]
 
 
