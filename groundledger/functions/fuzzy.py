@@ -255,7 +255,7 @@ def partial_ratio_col(a: Column, b: Column, floor: float = 0.0) -> Column:
     return _pairwise(lambda x, y: partial_ratio(x, y, floor), "double")(a, b)
 
 
-def has_repeated_phrase(text: str, min_words: int = 4, repeats: int = 3) -> bool:
+def says_three_times(text: str, min_words: int = 4, repeats: int = 3) -> bool:
     """Some phrase of ``min_words`` or more words is said ``repeats`` or more times in a row.
 
     A phrase of n words said three times is a stretch of 2n positions that equal the token n further on.
@@ -285,6 +285,6 @@ def has_repeated_phrase(text: str, min_words: int = 4, repeats: int = 3) -> bool
 def repeated_phrase_col(text: Column) -> Column:
     @F.pandas_udf("boolean")
     def run(t: pd.Series) -> pd.Series:
-        return t.map(lambda x: bool(x) and has_repeated_phrase(x))
+        return t.map(lambda x: bool(x) and says_three_times(x))
 
     return run(text)

@@ -4,7 +4,7 @@ import os
 import tempfile
 import uuid
 
-from conftest import SF, TRAPS
+from conftest import SF, PRINT_SHOP
 from groundledger.catalog.bindings import Tables
 from groundledger.catalog.q_streams import word_stream
 from groundledger.operators import jobs
@@ -83,7 +83,7 @@ def test_live_lines_equal_a_plain_loop(spark):
 
 
 def test_transcripts_round_trip(spark, meeting):
-    segs = meeting({1: TRAPS, 2: TRAPS[:2]})
+    segs = meeting({1: PRINT_SHOP, 2: PRINT_SHOP[:2]})
     path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "t")
     sinks.write_replacing(segs, path, "meeting_id")
     with open(os.path.join(path, "meeting_id=2", "bad.json"), "w") as f:
@@ -91,7 +91,7 @@ def test_transcripts_round_trip(spark, meeting):
     back = readers.read_transcripts(spark, path)
     assert sorted((r.meeting_id, r.seg_id, r.text, len(r.words)) for r in back.collect()) == sorted(
         (r.meeting_id, r.seg_id, r.text, len(r.words)) for r in segs.collect())
-    sinks.write_replacing(meeting({2: TRAPS[:1]}), path, "meeting_id")
+    sinks.write_replacing(meeting({2: PRINT_SHOP[:1]}), path, "meeting_id")
     assert readers.read_transcripts(spark, path).groupBy("meeting_id").count().orderBy("meeting_id").collect() == [(1, 8), (2, 1)]
 
 
