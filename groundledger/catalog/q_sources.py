@@ -13,10 +13,19 @@ from .registry import query
 
 @query("src1_transcripts", "SELECT meeting_id, seg_id, speaker, text, len(string_split(text, ' '))::BIGINT AS n_words FROM v_segments WHERE (meeting_id + ord) % 5 <> 0")
 def src1(t):
+    return R.parse_transcripts(transcript_docs(t), "doc").select("meeting_id", "seg_id", "speaker", "text", F.size("words").cast("long").alias("n_words"))
+
+
+def transcript_docs(t):
+    """Lines as JSON documents, one in five of them damaged."""
     row = F.struct("meeting_id", "seg_id", "ord", "start_ms", "end_ms", "speaker", "text", "words")
-    docs = t.segments_words.select(F.when(
+    return t.segments_words.select("meeting_id", "ord", F.when(
         (F.col("meeting_id") + F.col("ord")) % 5 == 0, "[{broken").otherwise(F.to_json(F.array(row))).alias("doc"))
-    return R.parse_transcripts(docs, "doc").select("meeting_id", "seg_id", "speaker", "text", F.size("words").cast("long").alias("n_words"))
+
+
+@query("src1_unparsed", "SELECT meeting_id, ord, '[{broken' AS doc FROM v_segments WHERE (meeting_id + ord) % 5 = 0")
+def src1_unparsed(t):
+    return R.unparsed_transcripts(transcript_docs(t), "doc")
 
 
 _SPREAD = """SELECT meeting_id, ord AS stt_seg, w, start_ms + floor((i - 1) * (end_ms - start_ms) / n)::BIGINT AS start_ms, conf FROM (SELECT meeting_id, ord, start_ms, end_ms, conf, n,

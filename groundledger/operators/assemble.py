@@ -213,8 +213,10 @@ def _burst_step(rows: dict):
 def speech_bursts(words: DataFrame) -> DataFrame:
     """Bursts of speech: split at pauses, at recogniser segments with a short pause, and every eight seconds."""
     slim = words.select("meeting_id", "word_idx", "stt_seg", "start_ms", "end_ms")
-    # Words last a millisecond or more, so a burst of eight seconds holds at most as many words.
-    cut = cut_pieces(slim, KEYS, "word_idx", _burst_step, C.MAX_BURST_MS + 1, WORD_CHUNK)
+    # The words of a burst start within eight seconds, so in two neighbouring slots of that length.
+    slot = F.floor(F.col("start_ms") / C.MAX_BURST_MS)
+    densest = slim.groupBy("meeting_id", slot).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    cut = cut_pieces(slim, KEYS, "word_idx", _burst_step, 2 * densest + 1, WORD_CHUNK)
     bursts = cut.groupBy("meeting_id", "head").agg(
         F.min_by("start_ms", "word_idx").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count(F.lit(1)).alias("n_words")
     )

@@ -3,6 +3,7 @@
 Such a rule is sequential, but a piece never exceeds ``reach`` rows, so a chunk of rows is entered at one of
 its first ``reach`` rows.  Each chunk is summarised as a map "entry row -> entry row of the next chunk"; maps
 compose, so the true entries of all chunks follow from the small maps, and every chunk is then cut on its own.
+A piece of more than ``reach`` rows that passes the end of a chunk is an error, never cut short.
 """
 
 from __future__ import annotations
@@ -73,6 +74,8 @@ def entry_rows(
         pdf = pdf.sort_values(position, ignore_index=True)
         cols = {c: pdf[c].to_numpy() for c in pdf.columns}
         exits, lasts = _exits(make_step(cols), int(cols["_own"].sum()), reach)
+        if max(exits, default=0) >= reach:
+            raise ValueError(f"a piece of chunk {pdf.at[0, '_chunk']} has more than {reach} rows")
         first = pdf.iloc[0]
         return pd.DataFrame([[*[first[k] for k in keys], first["_chunk"], first["_chunk"] // SUPER, exits, lasts]],
                             columns=map_schema.names)
@@ -84,7 +87,7 @@ def entry_rows(
         pdf = pdf.sort_values("_chunk", ignore_index=True)
         total = np.asarray(pdf.at[0, "exits"])
         for e in pdf["exits"].iloc[1:]:
-            total = np.asarray(e)[np.clip(total, 0, len(e) - 1)]
+            total = np.asarray(e)[np.minimum(total, len(e) - 1)]  # an entry past a short last chunk has no chunk after it
         first = pdf.iloc[0]
         return pd.DataFrame([[*[first[k] for k in keys], first["_super"], total.tolist()]], columns=super_schema.names)
 

@@ -10,21 +10,40 @@ from ..functions import text as T
 WORD = "struct<w:string,start_ms:bigint,end_ms:bigint,conf:double,disputed:boolean,alt:string>"
 SEGMENT = f"meeting_id bigint, seg_id string, ord bigint, start_ms bigint, end_ms bigint, speaker string, text string, words array<{WORD}>"
 UTTERANCES = "array<struct<start:bigint,end:bigint,speaker:string>>"
+CORRUPT = "_corrupt"
 EDIT = "segment_id string, original string, replacement string, category string, rationale string, confidence double"
 
 
 def read_transcripts(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Transcript lines from JSON or Parquet files; malformed JSON rows are dropped."""
-    reader = spark.read.schema(SEGMENT)
+    """Transcript lines from JSON or Parquet files; ``unreadable_transcripts`` has the malformed JSON rows."""
     if fmt == "json":
-        return reader.option("mode", "DROPMALFORMED").json(path)
-    return reader.parquet(path)
+        return _json_rows(spark, path).where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return spark.read.schema(SEGMENT).parquet(path)
+
+
+def unreadable_transcripts(spark: SparkSession, path: str) -> DataFrame:
+    """Malformed rows of JSON transcripts: what could be read of them, the whole row (content) and its file (path)."""
+    rows = _json_rows(spark, path).select("*", F.col("_metadata.file_path").alias("path"))
+    return rows.where(F.col(CORRUPT).isNotNull()).withColumnRenamed(CORRUPT, "content")
+
+
+def _json_rows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{SEGMENT}, {CORRUPT} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+
+
+def _parsed(column: str) -> Column:
+    return F.from_json(column, f"array<struct<{SEGMENT.replace(' bigint', ':bigint').replace(' string', ':string').replace(' array', ':array')}>>")
 
 
 def parse_transcripts(docs: DataFrame, column: str) -> DataFrame:
-    """Transcripts held as JSON text, one array of lines per row; invalid text gives no lines."""
-    lines = F.from_json(column, f"array<struct<{SEGMENT.replace(' bigint', ':bigint').replace(' string', ':string').replace(' array', ':array')}>>")
-    return docs.select(F.explode(lines).alias("s")).select("s.*").where(F.col("seg_id").isNotNull())
+    """Transcripts held as JSON text, one array of lines per row; ``unparsed_transcripts`` has the rows without."""
+    return docs.select(F.explode(_parsed(column)).alias("s")).select("s.*").where(F.col("seg_id").isNotNull())
+
+
+def unparsed_transcripts(docs: DataFrame, column: str) -> DataFrame:
+    """Rows whose text is no array of lines, or holds a line without an id."""
+    lines = _parsed(column)
+    return docs.where(lines.isNull() | F.exists(lines, lambda s: s.isNull() | s["seg_id"].isNull()))
 
 
 def provider_turns(answers: DataFrame, column: str) -> DataFrame:

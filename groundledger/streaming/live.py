@@ -69,14 +69,21 @@ def live_lines(words: DataFrame) -> DataFrame:
     """Transcript lines as their last word becomes known; the state is one open line per meeting.
 
     ``words``: meeting_id, stt_seg, start_ms, end_ms, w, speaker.  Words of a micro-batch are put in time
-    order; a meeting's words must reach the stream in order of micro-batches.
+    order; a meeting's words must reach the stream in order of micro-batches.  A row whose ``w`` is NULL ends the
+    meeting: its open line comes out and its state is dropped.
     """
 
     def cut(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         cur = list(state.get) if state.exists else None
         out = []
-        for pdf in [pd.concat(list(batches), ignore_index=True).sort_values(["start_ms", "stt_seg"])]:
+        rows = pd.concat(list(batches), ignore_index=True)
+        for pdf in [rows.assign(closing=rows["w"].isna()).sort_values(["closing", "start_ms", "stt_seg"])]:
             for w in pdf.itertuples(index=False):
+                if w.closing:
+                    if cur is not None:
+                        out.append((key[0], *cur[:4]))
+                    cur = None
+                    continue
                 if cur is not None:
                     start, end, n, speaker, last, seg = cur
                     ended = _ends(last)
@@ -87,6 +94,8 @@ def live_lines(words: DataFrame) -> DataFrame:
                 cur = [w.start_ms if cur is None else cur[0], w.end_ms, 1 if cur is None else cur[2] + 1, w.speaker, w.w, w.stt_seg]
         if cur is not None:
             state.update((int(cur[0]), int(cur[1]), int(cur[2]), cur[3], cur[4], int(cur[5])))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["meeting_id", "start_ms", "end_ms", "n_words", "speaker"])
 
     return words.groupBy("meeting_id").applyInPandasWithState(cut, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)

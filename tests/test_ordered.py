@@ -134,3 +134,9 @@ def test_token_chunks_never_split_lines_and_overlap(spark):
         before = [r for r in got if r.chunk_no == c - 1 and not r.overlap]
         tail = sorted(r.seg_id for r in got if r.chunk_no == c and r.overlap)
         assert tail == (sorted(r.seg_id for r in before)[-max(1, len(before) // 10):] if before else [])
+
+
+def test_a_piece_longer_than_its_reach_is_an_error(spark):
+    df = spark.range(300).select(F.lit(1).alias("meeting_id"), F.col("id").alias("word_idx"))
+    with pytest.raises(Exception, match="more than 8 rows"):
+        folds.cut_pieces(df, ["meeting_id"], "word_idx", lambda c: lambda i: min(i + 20, len(c["word_idx"])), 8, 64).collect()

@@ -73,13 +73,17 @@ def test_live_lines_equal_a_plain_loop(spark):
             start = r.turn * 5400 * 20 + i * 250
             end = start + 200
             if cur and (cur[0] != r.conv_id):
+                want.append(tuple(cur[:5]))
                 cur = None
             if cur and (r.role != cur[4] or start - cur[2] > 1000 or end - cur[1] > 30000 or cur[3] >= 60
                         or (live._ends(cur[5]) and (r.turn != cur[6] or cur[3] >= 12))):
                 want.append((cur[0], cur[1], cur[2], cur[3], cur[4]))
                 cur = None
             cur = [r.conv_id, start if cur is None else cur[1], end, 1 if cur is None else cur[3] + 1, r.role, w, r.turn]
-    assert sorted(map(tuple, got.collect())) == sorted(want)
+    want.append(tuple(cur[:5]))
+    lines = got.collect()
+    assert sorted(map(tuple, lines)) == sorted(want)
+    assert sum(r.n_words for r in lines) == sum(len(r.text.split()) for r in rows)
 
 
 def test_transcripts_round_trip(spark, meeting):
@@ -91,6 +95,8 @@ def test_transcripts_round_trip(spark, meeting):
     back = readers.read_transcripts(spark, path)
     assert sorted((r.meeting_id, r.seg_id, r.text, len(r.words)) for r in back.collect()) == sorted(
         (r.meeting_id, r.seg_id, r.text, len(r.words)) for r in segs.collect())
+    (lost,) = readers.unreadable_transcripts(spark, path).collect()
+    assert lost.content == "{broken" and lost.path.endswith("bad.json")
     sinks.write_replacing(meeting({2: PRINT_SHOP[:1]}), path, "meeting_id")
     assert readers.read_transcripts(spark, path).groupBy("meeting_id").count().orderBy("meeting_id").collect() == [(1, 8), (2, 1)]
 
