@@ -17,18 +17,25 @@ EDIT = "segment_id string, original string, replacement string, category string,
 def read_transcripts(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """Transcript lines from JSON or Parquet files; ``unreadable_transcripts`` has the malformed JSON rows."""
     if fmt == "json":
-        return _json_rows(spark, path).where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+        rows = _json_rows(spark, path).where(F.col(f"p.{CORRUPT}").isNull() & F.col("p").isNotNull())
+        folders = [c for c in rows.columns if c not in ("value", "path", "p")]  # columns that stand in folder names
+        got = rows.select("p.*", *[F.col(c).alias(f"_in_{c}") for c in folders]).drop(CORRUPT)
+        for c in folders:
+            got = got.withColumn(c, F.col(f"_in_{c}").cast(got.schema[c].dataType) if c in got.columns else F.col(f"_in_{c}")).drop(f"_in_{c}")
+        return got
     return spark.read.schema(SEGMENT).parquet(path)
 
 
 def unreadable_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """Malformed rows of JSON transcripts: what could be read of them, the whole row (content) and its file (path)."""
-    rows = _json_rows(spark, path).select("*", F.col("_metadata.file_path").alias("path"))
-    return rows.where(F.col(CORRUPT).isNotNull()).withColumnRenamed(CORRUPT, "content")
+    """Malformed rows of JSON transcripts: the file (path) and what stands there (content)."""
+    return _json_rows(spark, path).where(F.col("p").isNull() | F.col(f"p.{CORRUPT}").isNotNull()).select("path", F.col("value").alias("content"))
 
 
 def _json_rows(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(f"{SEGMENT}, {CORRUPT} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    """Rows as text with what they hold (p); all columns are parsed, so a row is good or bad whatever is selected later."""
+    rows = spark.read.text(path).where(F.trim("value") != "").withColumn("path", F.col("_metadata.file_path"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    return rows.withColumn("p", F.from_json("value", f"{SEGMENT}, {CORRUPT} string", options))
 
 
 def _parsed(column: str) -> Column:
