@@ -39,22 +39,30 @@ def transcript_json(segments: DataFrame) -> DataFrame:
 
 def record_json(segments: DataFrame, sentences: DataFrame, decisions: DataFrame, proposals: DataFrame, tasks: DataFrame,
                 fidelity: DataFrame) -> DataFrame:
-    """One nested record per meeting and part: transcript lines of the part, and in part 0 the items."""
-    def items(df: DataFrame, name: str, *cols: str) -> DataFrame:
-        return df.groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
-
-    # Items are written by a model within fixed output limits; lines, which have none, are cut into parts.
-    extra = (
-        items(sentences, "sentences", "section", "pos", "topic", "text", "evidence_ids")
-        .join(items(decisions, "decisions", "first_ord", "pos", "id", "decision", "agreement", "evidence_ids"), "meeting_id", "full_outer")
-        .join(items(proposals, "open_proposals", "first_ord", "demoted", "pos", "proposal", "evidence_ids"), "meeting_id", "full_outer")
-        .join(items(tasks, "action_items", "first_ord", "pos", "id", "task", "owner", "deadline", "quote", "evidence_ids", "flags"), "meeting_id", "full_outer")
-        .join(fidelity.select("meeting_id", F.struct(*[c for c in fidelity.columns if c != "meeting_id"]).alias("fidelity")), "meeting_id", "full_outer")
-        .withColumn("part", F.lit(0).cast("long"))
-    )
-    lines = transcript_json(segments).join(extra, ["meeting_id", "part"], "left")
-    body = F.struct("meeting_id", "part", "sentences", "decisions", "open_proposals", "action_items", "fidelity")
-    return lines.select("meeting_id", "part", F.to_json(body).alias("record"), "transcript")
+    """The record as JSON arrays, one row per meeting, section and part of at most ``PART`` lines or items.
+
+    Sections are independent of each other, so items of a meeting without lines come out, too.
+    """
+    def items(df: DataFrame, name: str, bucket: Column, *cols: str) -> DataFrame:
+        rows = dense_order(settle(df.select("meeting_id", *cols)), ["meeting_id"], list(cols), bucket, "_n")
+        rows = rows.withColumn("part", chunk_of(F.col("_n") - 1, PART))
+        body = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("_n", *cols))), lambda x: F.struct(*[x[c].alias(c) for c in cols])))
+        return rows.groupBy("meeting_id", "part").agg(body.alias("record")).select("meeting_id", F.lit(name).alias("section"), "part", "record")
+
+    by_line = F.coalesce(chunk_of("first_ord"), F.lit(-1).cast("long"))
+    score = F.struct(*[c for c in fidelity.columns if c != "meeting_id"])
+    parts = [
+        transcript_json(segments).select("meeting_id", F.lit("transcript").alias("section"), "part", F.col("transcript").alias("record")),
+        items(sentences, "sentences", F.struct("section", chunk_of("pos")), "section", "pos", "topic", "text", "evidence_ids"),
+        items(decisions, "decisions", by_line, "first_ord", "pos", "id", "decision", "agreement", "evidence_ids"),
+        items(proposals, "open_proposals", by_line, "first_ord", "demoted", "pos", "proposal", "evidence_ids"),
+        items(tasks, "action_items", by_line, "first_ord", "pos", "id", "task", "owner", "deadline", "quote", "evidence_ids", "flags"),
+        fidelity.select("meeting_id", F.lit("fidelity").alias("section"), F.lit(0).cast("long").alias("part"), F.to_json(score).alias("record")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def write_replacing(df: DataFrame, path: str, by: str, fmt: str = "json") -> None:

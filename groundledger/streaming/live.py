@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import constants as C
+from ..operators.assemble import cut_segments
 from ..operators.intervals import island_starts
+from ..operators.ordered import TIME_CHUNK_MS, chunk_of, dense_order, settle
 from ..operators.progress import overall_progress
 
 
@@ -56,7 +58,8 @@ def dispute_alerts(words: DataFrame, threshold: float = C.LOWCONF_DISPUTE) -> Da
 
 
 _OUT = "meeting_id long, start_ms long, end_ms long, n_words long, speaker string"
-_STATE = "start_ms long, end_ms long, n_words long, speaker string, last_word string, stt_seg long"
+_WORD = "meeting_id long, stt_seg long, start_ms long, end_ms long, w string, speaker string"
+_OPEN = _WORD + ", at long"
 
 
 def _ends(word: str) -> bool:
@@ -65,40 +68,46 @@ def _ends(word: str) -> bool:
     return bool(re.search(C.SENTENCE_CLOSE, word)) and word.strip().lower() not in C.ABBREVIATIONS
 
 
-def live_lines(words: DataFrame) -> DataFrame:
+class LiveLines:
+    """A stream of words that ``run_to_table`` cuts into lines, one micro-batch after the other."""
+
+    def __init__(self, words: DataFrame):
+        self.words = words
+
+
+def cut_batch(words: DataFrame, opened: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines that end in a micro-batch, and the words of each meeting's open line (at most 60), the only state.
+
+    ``opened`` are the words left open by the batch before; they precede those of this one.  Words are cut per
+    (meeting, chunk), so no task holds a meeting's words.
+    """
+    schema = opened.schema
+    rows = settle(words.select([F.col(f.name).cast(f.dataType) for f in schema if f.name != "at"]))
+    ended = rows.where(F.col("w").isNull()).select("meeting_id").distinct()
+    both = opened.unionByName(rows.where(F.col("w").isNotNull()).withColumn("at", F.lit(None).cast("long")))
+    fresh = F.col("at").isNull()
+    order = [fresh, "at", "start_ms", "stt_seg", "end_ms", "w", "speaker"]
+    bucket = F.struct(fresh.alias("f"), F.when(fresh, chunk_of("start_ms", TIME_CHUNK_MS)).alias("t"))
+    numbered = settle(dense_order(both, ["meeting_id"], order, bucket, "_n").withColumn("word_idx", F.col("_n").cast("long") - 1).drop("_n", "at"))
+    cut = settle(cut_segments(numbered))
+    lines = settle(cut.groupBy("meeting_id", "head").agg(
+        F.min_by("start_ms", "word_idx").alias("start_ms"), F.max_by("end_ms", "word_idx").alias("end_ms"), F.count(F.lit(1)).alias("n_words"),
+        F.max_by("speaker", "word_idx").alias("speaker")))
+    last = settle(lines.groupBy("meeting_id").agg(F.max("head").alias("head")).join(ended, "meeting_id", "left_anti"))
+    left = cut.join(last, ["meeting_id", "head"], "left_semi").withColumn("at", F.col("word_idx"))
+    return lines.join(last, ["meeting_id", "head"], "left_anti").drop("head"), left.select(*schema.names)
+
+
+def live_lines(words: DataFrame) -> LiveLines | DataFrame:
     """Transcript lines as their last word becomes known; the state is one open line per meeting.
 
     ``words``: meeting_id, stt_seg, start_ms, end_ms, w, speaker.  Words of a micro-batch are put in time
     order; a meeting's words must reach the stream in order of micro-batches.  A row whose ``w`` is NULL ends the
-    meeting: its open line comes out and its state is dropped.
+    meeting: its open line comes out and its state is dropped.  On static rows, the lines of one batch.
     """
-
-    def cut(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        cur = list(state.get) if state.exists else None
-        out = []
-        rows = pd.concat(list(batches), ignore_index=True)
-        for pdf in [rows.assign(closing=rows["w"].isna()).sort_values(["closing", "start_ms", "stt_seg"])]:
-            for w in pdf.itertuples(index=False):
-                if w.closing:
-                    if cur is not None:
-                        out.append((key[0], *cur[:4]))
-                    cur = None
-                    continue
-                if cur is not None:
-                    start, end, n, speaker, last, seg = cur
-                    ended = _ends(last)
-                    if (w.speaker != speaker or w.start_ms - end > C.PAUSE_MS or w.end_ms - start > C.MAX_SEGMENT_MS
-                            or n >= C.MAX_SEGMENT_WORDS or (ended and (w.stt_seg != seg or n >= C.SOFT_SEGMENT_WORDS))):
-                        out.append((key[0], start, end, n, speaker))
-                        cur = None
-                cur = [w.start_ms if cur is None else cur[0], w.end_ms, 1 if cur is None else cur[2] + 1, w.speaker, w.w, w.stt_seg]
-        if cur is not None:
-            state.update((int(cur[0]), int(cur[1]), int(cur[2]), cur[3], cur[4], int(cur[5])))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["meeting_id", "start_ms", "end_ms", "n_words", "speaker"])
-
-    return words.groupBy("meeting_id").applyInPandasWithState(cut, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    if words.isStreaming:
+        return LiveLines(words)
+    return cut_batch(words, words.sparkSession.createDataFrame([], _OPEN))[0]
 
 
 _SWEPT = "meeting_id long, stage string, status string, error_code string, error_detail string"
@@ -128,12 +137,31 @@ def interrupted_meetings(events: DataFrame, silence_ms: int, delay: str = "1 hou
         watch, _SWEPT, "stage string, status string, last_ms long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
+def run_to_table(stream: DataFrame | LiveLines, folder: str) -> DataFrame:
     """Drain the available input into Parquet files and read them back."""
     out = f"{folder}/rows"
+    if isinstance(stream, LiveLines):
+        return _lines_to_table(stream.words, folder, out)
     q = (
         stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True).start(out)
     )
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
+
+
+def _lines_to_table(words: DataFrame, folder: str, out: str) -> DataFrame:
+    """Each micro-batch writes its lines and its open lines to folders of its number, so a repeated batch replaces its own."""
+    spark = words.sparkSession
+    spark.createDataFrame([], _OUT).write.mode("ignore").parquet(f"{out}/none")
+
+    def batch(rows: DataFrame, number: int) -> None:
+        own = rows.sparkSession
+        opened = own.read.schema(_OPEN).parquet(f"{folder}/open/{number - 1}") if number else own.createDataFrame([], _OPEN)
+        lines, left = cut_batch(rows, opened)
+        left.write.mode("overwrite").parquet(f"{folder}/open/{number}")
+        lines.write.mode("overwrite").parquet(f"{out}/{number}")
+
+    q = words.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(_OUT).option("recursiveFileLookup", "true").parquet(out)

@@ -1,5 +1,6 @@
 """Streams against their batch twins, sinks and sources."""
 
+import json
 import os
 import tempfile
 import uuid
@@ -7,7 +8,7 @@ import uuid
 from conftest import SF, PRINT_SHOP
 from groundledger.catalog.bindings import Tables
 from groundledger.catalog.q_streams import word_stream
-from groundledger.operators import jobs
+from groundledger.operators import assemble, jobs
 from groundledger.session import checkpoint_dir
 from groundledger.sources import readers, sinks
 from groundledger.streaming import live
@@ -86,6 +87,39 @@ def test_live_lines_equal_a_plain_loop(spark):
     assert sum(r.n_words for r in lines) == sum(len(r.text.split()) for r in rows)
 
 
+def test_open_lines_pass_from_batch_to_batch(spark, monkeypatch):
+    monkeypatch.setattr(assemble, "WORD_CHUNK", 64)  # far fewer rows than the meeting
+    word = lambda i: "so." if i % 7 == 0 else f"w{i}"
+    rows = [(1, i // 40, i * 250, i * 250 + 200, word(i), "A") for i in range(500)] + [(2, 0, 0, 200, "alone", "B")]
+    folder = tempfile.mkdtemp(prefix="spark-")
+    for n, (a, b) in enumerate(((0, 137), (137, 301), (301, 501))):
+        end = [(1, 99, 0, 0, None, "A")] if n == 2 else []
+        spark.createDataFrame(rows[a:b] + end, live._WORD).coalesce(1).write.parquet(f"{folder}/in/{n}")
+    src = spark.readStream.schema(live._WORD).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    assert isinstance(live.live_lines(src), live.LiveLines)
+    got = live.run_to_table(live.live_lines(src), folder).collect()
+    want, cur = [], None
+    for m, seg, start, end, w, who in rows[:500]:
+        if cur and (end - cur[1] > 30000 or cur[3] >= 60 or (live._ends(cur[5]) and (seg != cur[6] or cur[3] >= 12))):
+            want.append(tuple(cur[:5]))
+            cur = None
+        cur = [m, start if cur is None else cur[1], end, 1 if cur is None else cur[3] + 1, who, w, seg]
+    assert sorted(map(tuple, got)) == sorted([*want, tuple(cur[:5])])  # meeting 2 has not ended
+
+
+def test_record_json_is_cut_in_parts_and_keeps_items_of_a_meeting_without_lines(spark, meeting, monkeypatch):
+    monkeypatch.setattr(sinks, "PART", 3)
+    ids = F.array(F.lit("S001")).alias("evidence_ids")
+    n = spark.range(7).select(F.lit(2).cast("long").alias("meeting_id"), F.col("id").alias("pos"), F.when(F.col("id") > 0, F.lit(1).cast("long")).alias("first_ord"), ids)
+    text = [F.lit("x").alias(c) for c in ("topic", "text", "id", "decision", "agreement", "proposal", "task", "owner", "deadline", "quote")]
+    full = n.select("*", *text, F.lit("minutes").alias("section"), F.lit(False).alias("demoted"), F.array(F.lit("f")).alias("flags"))
+    out = sinks.record_json(meeting({1: PRINT_SHOP}), full, full, full, full, spark.createDataFrame([(2, 5)], "meeting_id long, edits_accepted long")).collect()
+    assert {(r.meeting_id, r.section, r.part) for r in out} == {(1, "transcript", p) for p in range(3)} | {(2, "fidelity", 0)} | {
+        (2, s, p) for s in ("sentences", "decisions", "open_proposals", "action_items") for p in range(3)}
+    said = [x["pos"] for r in sorted(out, key=lambda r: r.part) if r.section == "decisions" for x in json.loads(r.record)]
+    assert said == list(range(7))
+
+
 def test_transcripts_round_trip(spark, meeting):
     segs = meeting({1: PRINT_SHOP, 2: PRINT_SHOP[:2]})
     path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "t")
