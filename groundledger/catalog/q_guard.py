@@ -101,6 +101,11 @@ def ag4(t):
     return checked(t).where(F.col("reject_reason").isin(*EARLY_REASONS)).groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("ag4_all_rejections")
+def ag4_all(t):
+    return checked(t).where(F.col("reject_reason").isNotNull()).groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("sf11_symbols")
 def sf11(t):
     d = t.given("documents").select("doc_id", F.concat(F.lit("see user underscore id at "), "text").alias("text"))

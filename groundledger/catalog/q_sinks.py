@@ -74,6 +74,11 @@ def snk4(t):
     return m.select("meeting_id", "title", F.col("files")["md"].alias("md"), F.col("files")["txt_raw"].alias("txt_raw"))
 
 
+@query("snk4_all_files")
+def snk4_all(t):
+    return K.export_manifest(meetings(t)).select("meeting_id", "title", *[F.col("files")[k].alias(k) for k in C.EXPORT_FILES])
+
+
 @query("snk5_hand_edits", """SELECT meeting_id, seg_id, CASE WHEN ord % 3 = 0 THEN 'fixed ' || text ELSE text END AS text, CASE WHEN ord % 3 = 0 THEN text END AS original_text FROM v_segments""")
 def snk5(t):
     edited = t.segments.where(F.col("ord") % 3 == 0).select(*KEY, F.concat(F.lit("fixed "), "text").alias("text"))

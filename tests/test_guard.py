@@ -1,7 +1,12 @@
 """One case per reject reason, applied edits and spoken symbols."""
 
+from collections import Counter
+from types import SimpleNamespace
+
 import pytest
 
+from groundledger import constants as C
+from groundledger.catalog import q_guard, q_sinks
 from groundledger.operators import guard, lexicon
 
 CASES = [  # (text, original, replacement, category, confidence, disputed, expected)
@@ -37,6 +42,20 @@ def test_reject_reasons(spark, meeting):
     assert {r.meeting_id: r.reject_reason for r in got} == {i: c[6] for i, c in enumerate(CASES)}
 
 
+def test_all_rejections_counts_every_reason(spark, meeting):
+    segs = meeting({i: [("Speaker 1", c[0], c[5])] for i, c in enumerate(CASES)})
+    edits = spark.createDataFrame([(i, i, "S001", *c[1:5]) for i, c in enumerate(CASES)], EDIT)
+    t = SimpleNamespace(spark=spark, edits=edits, segments_words=segs, vocab_terms=vocab(spark, range(len(CASES))))
+    got = {r.reject_reason: r.n for r in q_guard.ag4_all(t).collect()}
+    assert got == Counter(c[6] for c in CASES if c[6]) and set(got) == set(C.REJECT_REASONS)
+
+
+def test_all_files_names_each_file_of_an_export(spark):
+    t = SimpleNamespace(given=lambda name: spark.createDataFrame([(7,)], "conv_id long"))
+    (row,) = q_sinks.snk4_all(t).collect()
+    assert row.asDict() == {"meeting_id": 7, "title": "Meeting 7", **C.EXPORT_FILES}
+
+
 def test_overlap_keeps_the_confident_edit_and_the_timing(spark, meeting):
     segs = meeting({1: [("Speaker 1", "they couldn't merge the yaml file before the ay pee eye gateway starts")]})
     edits = spark.createDataFrame([
