@@ -42,7 +42,7 @@ def sm4(t):
 def word_stream(t):
     """Conversation turns as a stream of words (times from the turn number); the last turn of each ends its meeting."""
     schema = t.given("conversations").schema
-    turns = t.spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(t.dir)
+    turns = t.spark.readStream.schema(schema).parquet(f"{t.dir}/conversations.parque[t]")  # a file or a folder of parts
     last = t.given("conversations").groupBy("conv_id").agg(F.max("turn").alias("turn"), F.lit(True).alias("_last"))
     said = F.coalesce(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), F.array().cast("array<string>"))
     end = F.when(F.col("_last"), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>"))

@@ -87,6 +87,14 @@ def test_live_lines_equal_a_plain_loop(spark):
     assert sum(r.n_words for r in lines) == sum(len(r.text.split()) for r in rows)
 
 
+def test_words_of_a_table_in_parts_reach_the_stream(spark):
+    folder = tempfile.mkdtemp(prefix="spark-")
+    turns = Tables(spark, SF).given("conversations")
+    turns.repartition(3).write.parquet(f"{folder}/conversations.parquet")
+    parts, whole = (memory(word_stream(Tables(spark, d)), "append") for d in (folder, SF))
+    assert parts.count() == whole.count() > 0
+
+
 def test_open_lines_pass_from_batch_to_batch(spark, monkeypatch):
     monkeypatch.setattr(assemble, "WORD_CHUNK", 64)  # far fewer rows than the meeting
     word = lambda i: "so." if i % 7 == 0 else f"w{i}"
