@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..operators.ordered import settle  # noqa: F401  (used by the operators)
 
-#: Whole texts that a task holds as Python objects at one time.
-STRIP = 512
+#: Whole texts that a task holds as Python objects at one time: so many, and so many bytes unless one text has more.
+STRIP, STRIP_BYTES = 512, 4 << 20
 #: Word characters are everything but these.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -35,8 +37,7 @@ def with_columns(df: DataFrame, inputs: list[str], make: Make, fields: str) -> D
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, STRIP):
-                part = batch.slice(at, STRIP)
+            for part in strips(batch, *[place[c] for c in inputs]):
                 out = fn(*[_plain(part.column(place[c])) for c in inputs])
                 cols = [part.column(i) for i in range(len(names))]
                 cols += [c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(out, arrow)]
@@ -44,16 +45,25 @@ def with_columns(df: DataFrame, inputs: list[str], make: Make, fields: str) -> D
         pa.default_memory_pool().release_unused()
 
     fed = df.select(*[F.col(_quoted(n)) for n in names], *[F.col(_quoted(c)).alias(f"_in{i}") for i, c in enumerate(extra)])
-    return small_batches(fed).mapInArrow(run, outer)
+    return fed.mapInArrow(run, outer)
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, with the session's Arrow batches lowered to ``STRIP`` rows: rows are whole texts here, and a batch of the
-    default ten thousand of them takes hundreds of megabytes outside of the heap in each task."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > STRIP:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(STRIP))
-    return df
+def strips(batch: pa.RecordBatch, *texts: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``STRIP`` rows whose columns ``texts`` hold ``STRIP_BYTES`` together, or of one row.
+
+    Spark itself bounds a batch by bytes (``spark.sql.execution.arrow.maxBytesPerBatch``); what grows is its Python objects.
+    """
+    size = np.zeros(batch.num_rows, np.int64)
+    for i in texts:
+        kind = batch.schema.types[i]
+        if pa.types.is_string(kind) or pa.types.is_binary(kind) or pa.types.is_large_string(kind):
+            size += pc.fill_null(pc.binary_length(batch.column(i)), 0).to_numpy(zero_copy_only=False)
+    total, at = size.cumsum(), 0
+    while at < batch.num_rows:
+        done = int(total[at - 1]) if at else 0
+        end = min(at + STRIP, max(at + 1, int(np.searchsorted(total, done + STRIP_BYTES, "right"))), batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:

@@ -5,14 +5,16 @@ language is the sum over all ways to cut it into pieces (forward algorithm); a t
 score is the posterior of the best language under the shares of the labels.
 
 A text is lower-cased and its words are the runs of letters. A null text, or one without letters, is ``und`` with score
-0, and so is every text if nothing was learned. A tie goes to the language whose name sorts first. Runs of more than 48
-letters are scored in parts of 48. Rows with a null language or text teach nothing; repeated rows count each time.
+0, and so is every text if nothing was learned. A tie goes to the language whose name sorts first. Runs of letters are
+scored whole, whatever their length: only as many forward sums as the longest piece has letters are carried, scaled from time
+to time. Rows with a null language or text teach nothing; repeated rows count each time. Other columns stay; one named like a
+new column is replaced.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -22,18 +24,18 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import STRIP, Memo, small_batches, with_columns
+from .common import Memo, strips, with_columns
 
 UND = "und"
 LETTERS = regex.compile(r"\p{L}+")
-LONGEST = 48
+#: Letters after which the forward sums of a longer run are scaled anew.
+STRETCH = 48
 #: Scale per letter that keeps products of probabilities inside the range of doubles.
 LIFT = 24.0
 
 
 def parts(text: str) -> list[str]:
-    runs = LETTERS.findall(text.lower())
-    return [r[i:i + LONGEST] for r in runs for i in range(0, len(r), LONGEST)] if any(len(r) > LONGEST for r in runs) else runs
+    return LETTERS.findall(text.lower())
 
 
 class PieceIndex:
@@ -45,7 +47,7 @@ class PieceIndex:
 
     def __init__(self, pieces: list[str]) -> None:
         self.longest = max(map(len, pieces), default=1)
-        self.power = np.cumprod(np.r_[np.uint64(1), np.full(LONGEST + 1, self.BASE)], dtype=np.uint64)
+        self.power = np.cumprod(np.r_[np.uint64(1), np.full(self.longest + 1, self.BASE)], dtype=np.uint64)
         self.keys = np.zeros(1 << self.BITS, np.uint64)
         self.rows = np.full(1 << self.BITS, -1, np.int32)
         for row, piece in enumerate(pieces):
@@ -105,17 +107,23 @@ class Model:
         for n, where in by_length.items():
             points = np.array([words[i] for i in where], f"<U{n}").view("<u4").reshape(len(where), n).astype(np.uint64)
             prefix = index.prefixes(np.hstack([np.full((len(where), 1), ord("▁"), np.uint64), points]))
-            forward = [np.ones((len(where), len(self.languages)))]
+            forward = deque([np.ones((len(where), len(self.languages)))], index.longest)  # of the last places
+            scale = -(n + 1) * math.log(LIFT)
             for j in range(1, n + 2):
                 total = np.zeros((len(where), len(self.languages)))
-                for i in range(max(0, j - index.longest), j):
-                    row = index.find(prefix, i, j)
-                    if j - i == 1:
-                        total += forward[i] * lifted[row]  # -1 is the row of an unknown letter
+                for k in range(1, len(forward) + 1):
+                    row = index.find(prefix, j - k, j)
+                    if k == 1:
+                        total += forward[-1] * lifted[row]  # -1 is the row of an unknown letter
                     elif len(hit := np.flatnonzero(row >= 0)):
-                        total[hit] += forward[i][hit] * lifted[row[hit]]
+                        total[hit] += forward[-k][hit] * lifted[row[hit]]
                 forward.append(total)
-            out[where] = np.log(np.maximum(forward[-1], 1e-300)) - (n + 1) * math.log(LIFT)
+                if j % STRETCH == 0:
+                    most = np.maximum(np.max(forward, axis=0), 1e-300)
+                    scale = scale + np.log(most)
+                    for f in forward:
+                        f /= most
+            out[where] = np.log(np.maximum(forward[-1], 1e-300)) + scale
         return out
 
 
@@ -136,8 +144,7 @@ def _count_pieces(docs: DataFrame, path: str) -> DataFrame:
         count: dict[str, Counter] = defaultdict(Counter)
         memo = Memo(lambda new: sp.encode(new, out_type=str, num_threads=1), most=50_000)
         for batch in batches:
-            for at in range(0, batch.num_rows, STRIP):
-                piece = batch.slice(at, STRIP)
+            for piece in strips(batch, 1):
                 words: dict[str, Counter] = defaultdict(Counter)
                 for lang, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
                     words[lang].update(parts(text))
@@ -151,7 +158,7 @@ def _count_pieces(docs: DataFrame, path: str) -> DataFrame:
             lang, p, n = zip(*rows[at:at + 50_000])
             yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(p), pa.array(n, pa.int64())], ["lang", "piece", "n"])
 
-    return small_batches(docs).mapInArrow(run, "lang string, piece string, n long")
+    return docs.mapInArrow(run, "lang string, piece string, n long")
 
 
 def fit(docs: DataFrame, path: str, per_language: int = 1000, smoothing: float = 0.5, text: str = "text", lang: str = "lang",

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from .common import STRIP, Memo, _arrow, small_batches
+from .common import Memo, _arrow, strips
 from .vocab import word_ids
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -186,12 +186,10 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 4096, grai
                 out.clear()
 
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            texts = batch.column(1).cast(pa.binary())
-            for at in range(0, len(keys), STRIP):
-                words = [(t or b"").split() for t in texts.slice(at, STRIP).to_pylist()]
+            for part in strips(batch, 1):
+                words = [(t or b"").split() for t in part.column(1).cast(pa.binary()).to_pylist()]
                 memo.know(w for ws in words for w in ws)
-                for key, ws in zip(keys[at:at + STRIP], words):
+                for key, ws in zip(part.column(0).to_pylist(), words):
                     ids = b"".join(map(memo.known.__getitem__, ws)) + end
                     held[seen] = (key, ids)
                     put(packer.add(seen, len(ids) // 4))
@@ -200,4 +198,4 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 4096, grai
         put(packer.flush())
         yield from sent()
 
-    return small_batches(docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string"))).mapInArrow(run, StructType.fromDDL(PIECES))
+    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, StructType.fromDDL(PIECES))

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, host_rules, langid, neighbours, packing, quality, simhash, token_counts, tool_calls, url_filter
-from .common import fold, table
+from . import bpe, host_rules, langid, line_dedup, neighbours, packing, periodic_runs, quality, simhash, token_counts, tool_calls, url_filter, whitening
+from .common import BLANKS, fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -224,3 +224,98 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every line of all documents."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), pattern())
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: one document in ten, by a hash of its id, goes on from some word in periods."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    bare = F.btrim("text", F.lit(BLANKS))
+    words = F.split(bare, r"[\x20\x09-\x0D]+")
+    n = F.size(words)
+    g = F.floor(h / 10)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    times = F.ceil((n - a) / p).cast("int")
+    bent = F.slice(F.concat(F.slice(words, 1, a), F.flatten(F.array_repeat(F.slice(words, a + 1, p), times))), 1, n)
+    return docs.select("doc_id", F.when((h % 10 == 0) & (bare != ""), F.concat_ws(" ", bent)).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of periodic words of all documents, the longest one, and digests of all runs and of the texts without repeats."""
+    found = periodic_runs.find_runs(planted(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    found = found.withColumn("best", best)
+    length, period = F.col("best.length"), -F.col("best.period")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+#: CRC-32 of the decimal id, bit by bit; a run of ``l + q`` words shows as ``l - 4`` five-word grams that return after ``q`` words.
+ORACLES["op11_periodic_runs"] = r"""
+WITH base AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS raw,
+    xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda s, c: list_reduce([xor(s, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)),
+      4294967295) AS h FROM documents),
+cut AS (SELECT *, len(raw) AS n, CASE WHEN len(raw) > 0 THEN (h // 10) % len(raw) END AS a FROM base),
+bent AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM cut),
+texts AS (
+  SELECT rid, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+    THEN list_transform(range(n), lambda i: raw[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) ELSE raw END AS ws FROM bent),
+grams AS (
+  SELECT rid, n, unnest(range(n - 4)) AS i, unnest(list_transform(range(n - 4), lambda i: array_to_string(ws[i + 1:i + 5], ' '))) AS g FROM texts WHERE n > 5),
+pairs AS (
+  SELECT x.rid, x.i, y.i - x.i AS q FROM grams x JOIN grams y ON x.rid = y.rid AND x.g = y.g AND y.i > x.i AND (y.i - x.i) * 4 <= x.n),
+stretches AS (
+  SELECT rid, q, min(i) AS s, count(*) + 4 + q AS l FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS k FROM pairs)
+  GROUP BY rid, q, k HAVING count(*) + 4 + q >= greatest(6, 4 * q)),
+runs AS (
+  SELECT * FROM stretches x WHERE NOT EXISTS (
+    SELECT 1 FROM stretches y WHERE y.rid = x.rid AND y.q < x.q AND x.q % y.q = 0 AND y.s <= x.s AND y.s + y.l >= x.s + x.l)),
+told AS (
+  SELECT rid, count(*) AS n_runs, arg_min(struct_pack(s := s, l := l, q := q), struct_pack(a := -l, b := s, c := q)) AS best,
+    string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS listed FROM runs GROUP BY rid),
+gone AS (SELECT DISTINCT rid, unnest(range(s + q, s + l)) AS i FROM runs),
+words AS (SELECT rid, unnest(range(n)) AS i, unnest(ws) AS w FROM texts WHERE rid IN (SELECT rid FROM runs)),
+kept AS (SELECT rid, string_agg(w, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.q AS period, 1000 * best.l // best.q AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(t, array_to_string(ws, ' '))) AS collapsed_sha256
+FROM texts LEFT JOIN told USING (rid) LEFT JOIN kept USING (rid)
+"""
+
+
+@query
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without lines that three or more share, but in the last of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cleaned = line_dedup.LineStore().insert(docs).clean(docs)
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op12_line_dedup"] = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT rid, doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM docs),
+keyed AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM lines),
+shared AS (
+  SELECT k, max(doc_id) AS last FROM (SELECT DISTINCT k, doc_id FROM keyed WHERE length(k) >= 20) GROUP BY k HAVING count(*) >= 3),
+told AS (SELECT rid, doc_id, i, line, last IS NOT NULL AND doc_id IS DISTINCT FROM last AS gone FROM keyed LEFT JOIN shared USING (k))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM told GROUP BY rid
+"""
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four first whitened values of all embeddings."""
+    model, rows = whitening.fit_transform(table(spark, sf_dir, "embeddings"))
+    explained = F.array(*[F.lit(float(e)) for e in model.explained]).cast("array<double>")
+    return rows.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened")).select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), F.col("deviation").try_cast("long").alias("deviation"),
+        "whitened", F.get(explained, F.col("at")).alias("explained"), F.lit(model.identity_error).alias("identity_error"))

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import codec
-from .common import STRIP, Memo, flat_rows, small_batches
+from .common import Memo, flat_rows, strips
 
 FIELDS = "doc_id long, section int, name string, start long, end long, n_tokens long, n_crossing long, doc_tokens long"
 
@@ -94,14 +94,13 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, sections: str | None
             return out
 
         def run(batch):
-            keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            spans = batch.column(2).to_pylist() if sections else [None] * len(keys)
-            for at in range(0, len(keys), STRIP):
-                part = texts.slice(at, STRIP).to_pylist()
+            for strip in strips(batch, 1):
+                keys, part = strip.column(0).to_pylist(), strip.column(1).to_pylist()
+                spans = strip.column(2).to_pylist() if sections else [None] * len(keys)
                 cut = [c.chunks(t) if t else [] for t in part]
                 memo.know(x for xs in cut for x in xs)
                 out = {n: [] for n in ("doc_id", "section", "name", "start", "end", "n_tokens", "n_crossing", "doc_tokens")}
-                for key, t, xs, own in zip(keys[at:at + STRIP], part, cut, spans[at:at + STRIP]):
+                for key, t, xs, own in zip(keys, part, cut, spans):
                     raw = (t or "").encode()
                     ends = np.cumsum(np.frombuffer(b"".join(map(memo.known.__getitem__, xs)), "<u2"), dtype=np.int64)
                     parts = (given(raw, own or []) if sections else lines(raw))
@@ -128,4 +127,4 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, sections: str | None
     cols = [F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")]
     if sections:
         cols.append(F.col(sections).cast("array<struct<name:string,start:long,end:long>>").alias("sections"))
-    return flat_rows(small_batches(docs.select(*cols)), make, FIELDS)
+    return flat_rows(docs.select(*cols), make, FIELDS)

@@ -21,20 +21,21 @@ def load(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 def word_ids(path: str) -> Callable[[list[bytes]], list[bytes]]:
     """Ids, as little-endian unsigned 32-bit numbers, of words cut at ASCII blanks. No pre-token crosses white space and
     normalisation doesn't look across it, so the ids of a text are those of its words in order. Latin words in normal form
-    C go to the model pre-token by pre-token, in lower case and as byte-level symbols; other words take the whole path of
-    the file."""
+    C go to the model pre-token by pre-token, in lower case and as byte-level symbols; other words, and those that hold an added
+    token of the file, take its whole path. As with the library's own call, the string of a special token in a text is that
+    token, whether or not special tokens are put around texts."""
     from tokenizers.pre_tokenizers import ByteLevel
 
     tok = load(path)
     tokenize, symbols = tok.model.tokenize, ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+    # no blank is inside of an added token, so a word holds all of it
+    added = regex.compile("|".join(sorted((regex.escape(t.content.lower()) for t in tok.get_added_tokens_decoder().values()), key=len, reverse=True)) or "(?!)")
     short: dict[str, bytes] = {}
     packed = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
@@ -56,15 +57,15 @@ def word_ids(path: str) -> Callable[[list[bytes]], list[bytes]]:
             if not s.isascii() and not (LATIN.fullmatch(s) and unicodedata.is_normalized("NFC", s)):
                 rest.append((i, s))
                 continue
-            s = s.lower()
+            whole, s = s, s.lower()
             if s.isalpha():
                 out[i] = ids_of(s)
             elif s[:-1].isalpha() and s[-1] in ".,;:!?":
                 out[i] = ids_of(s[:-1]) + ids_of(s[-1])
-            elif s.isprintable():
+            elif s.isprintable() and not added.search(s):
                 out[i] = b"".join(map(ids_of, PRE_TOKEN.findall(s)))
             else:
-                rest.append((i, w.decode("utf-8", "replace")))
+                rest.append((i, whole))
         if rest:
             for (i, _), e in zip(rest, tok.encode_batch([s for _, s in rest], add_special_tokens=False)):
                 out[i] = pack(e.ids)
