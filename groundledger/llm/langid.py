@@ -2,7 +2,10 @@
 
 Each language has a probability for every piece of the vocabulary, learned from labelled texts. A word's probability in a
 language is the sum over all ways to cut it into pieces (forward algorithm); a text's is the product over its words. The
-score is the posterior of the best language under the shares of the labels.
+score is the posterior of the best language under the shares of the labels. It knows the learned languages only, so a text in no
+language has a score near 1 as well; ``surprise`` tells such texts. It says how far the text's log-likelihood per letter in the
+best language is below the mean of the labelled texts of that language, in standard deviations for its length, as a share of how
+far the strangest text of the sample is. So 1 is as strange as any text learned from.
 
 A text is lower-cased and its words are the runs of letters. A null text, or one without letters, is ``und`` with score
 0, and so is every text if nothing was learned. A tie goes to the language whose name sorts first. Runs of letters are
@@ -24,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import Memo, strips, with_columns
+from .common import Memo, settle, strips, with_columns
 
 UND = "und"
 LETTERS = regex.compile(r"\p{L}+")
@@ -91,6 +94,9 @@ class Model:
     prior: np.ndarray
     pieces: dict[str, int]
     prob: np.ndarray
+    #: Per language the mean log-likelihood of a letter, its variance between texts, that within them times letters, and the
+    #: most standard deviations by which a text of the sample is below the mean (at least 1).
+    usual: np.ndarray | None = None
 
     @cached_property
     def _tables(self) -> tuple[PieceIndex, np.ndarray]:
@@ -187,7 +193,47 @@ def fit(docs: DataFrame, path: str, per_language: int = 1000, smoothing: float =
         counts[pieces.get(r["piece"], len(pieces)), column[r["lang"]]] += r["n"]
     total = sum(shares.values())
     prior = np.log(np.array([shares[x] / total for x in languages])) if languages else np.zeros(0)
-    return Model(languages, prior, pieces, counts / counts.sum(0) if languages else counts)
+    model = Model(languages, prior, pieces, counts / counts.sum(0) if languages else counts)
+    model.usual = _usual(sample, model)
+    return model
+
+
+def _usual(sample: DataFrame, model: Model) -> np.ndarray:
+    """``Model.usual`` from the texts of the sample: sums a text, written once, and two sums over them a language."""
+    column = {name: i for i, name in enumerate(model.languages)}
+    shared = sample.sparkSession.sparkContext.broadcast(model)  # vocabulary x languages
+    names = ["s", "n", "ss", "sn", "nn"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            for part in strips(batch, 1):
+                texts = [parts(t) for t in part.column(1).to_pylist()]
+                words = list({w for ws in texts for w in ws})
+                score = dict(zip(words, known.word_scores(words)))
+                rows = []
+                for lang, ws in zip(part.column(0).to_pylist(), texts):
+                    if ws:
+                        s = np.array([score[w][column[lang]] for w in ws])
+                        n = np.array(list(map(len, ws)), float)
+                        rows.append((column[lang], s.sum(), n.sum(), s @ s, s @ n, n @ n))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["lang", *names])
+
+    texts = settle(sample.mapInArrow(run, "lang long, " + ", ".join(f"{n} double" for n in names)))
+    out = np.zeros((len(column), 4))
+    out[:, 3] = 1.0
+    sums = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("squares"), *[F.sum(n).alias(n) for n in names])
+    for r in sums.collect():  # a row a language
+        mu = r["s"] / r["n"]
+        within = max(0.0, (r["ss"] - 2 * mu * r["sn"] + mu * mu * r["nn"]) / r["n"])
+        out[r["lang"], :3] = mu, max(0.0, r["squares"] / r["n"] - mu * mu - within * r["texts"] / r["n"]), within
+    far = F.lit(None).cast("double")
+    for i, (mu, between, within, _) in enumerate(out.tolist()):
+        far = F.when(F.col("lang") == i, (mu - F.col("s") / F.col("n")) / F.greatest(F.sqrt(between + within / F.col("n")), F.lit(1e-9))).otherwise(far)
+    for r in texts.groupBy("lang").agg(F.max(far).alias("most")).collect():
+        out[r["lang"], 3] = max(1.0, r["most"])
+    return out
 
 
 class _Texts:
@@ -218,21 +264,30 @@ class _Texts:
     def __call__(self, texts: list) -> list:
         cut = [(t or b"").split() for t in texts]
         self.memo.know(w for ws in cut for w in ws)
-        names, scores = [], []
+        names, scores, surprises = [], [], []
         for ws in cut:
             total = self.rows[list(map(self.memo.known.__getitem__, ws))].sum(0) if ws else self.rows[:0].sum(0)
             if not self.model.languages or total[-1] == 0:
                 names.append(UND)
                 scores.append(0.0)
+                surprises.append(None)
                 continue
             log = total[:-1] + self.model.prior
             best = int(log.argmax())
             names.append(self.model.languages[best])
             scores.append(float(1 / np.exp(log - log[best]).sum()))
-        return [names, scores]
+            mu, between, within, most = self.model.usual[best]
+            surprises.append(float((mu - total[best] / total[-1]) / max(math.sqrt(between + within / total[-1]), 1e-9) / most))
+        return [names, scores, surprises]
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """Adds the best language and its posterior under ``names``."""
+def identify(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """Adds the best language, its posterior and, under a third of the ``names``, the surprise (null for ``und``)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # vocabulary x languages
-    return with_columns(docs, [text], lambda: _Texts(shared.value), "`{}` string, `{}` double".format(*names))
+    fields = ", ".join(f"`{n}` {t}" for n, t in zip(names, ("string", "double", "double")))
+
+    def make():
+        told = _Texts(shared.value)
+        return lambda texts: told(texts)[:len(names)]
+
+    return with_columns(docs, [text], make, fields)

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import flat_rows, settle, with_columns
+from .common import flat_rows, free_names, settle, with_columns
 from .components import components
 
 SEED = 42
@@ -186,13 +186,29 @@ def _edges(pairs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, threshold: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id, fingerprint, component_id``, one row per row of ``docs``."""
-    ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    prints = settle(with_fingerprints(ids).select("doc_id", "fp"))
+def _grouped(docs: DataFrame, threshold: int, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, copy, fp`` of every row, ``copy`` a hash of its text, and ``fp, root, component_id`` of every fingerprint."""
+    ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("copy"), F.col(text).cast("string").alias("text"))
+    prints = settle(with_fingerprints(ids).select("doc_id", "copy", "fp"))
     unique = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(unique, threshold))
     rooted = unique.join(roots, unique["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = settle(rooted.join(named, "root").select("fp", "component_id"))
+    return prints, settle(rooted.join(named, "root").select("fp", "root", "component_id"))
+
+
+def near_duplicates(docs: DataFrame, threshold: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``doc_id, fingerprint, component_id``, one row per row of ``docs``."""
+    prints, of = _grouped(docs, threshold, text, doc_id)
     return prints.join(of, "fp").select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, threshold: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row of ``docs`` for each component: that of the smallest id, rows without an id last; among texts of one id the
+    one with the smallest hash. Repeated rows of it are one."""
+    prints, of = _grouped(docs, threshold, text, doc_id)
+    first = prints.join(of, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "copy")).alias("_first"))
+    own, copy = free_names(docs, "_id", "_copy")
+    first = first.select(F.col("_first.doc_id").alias(own), F.col("_first.copy").alias(copy)).distinct()
+    same = docs[doc_id].eqNullSafe(first[own]) & (F.xxhash64(docs[text].cast("string")) == first[copy])
+    return docs.join(first, same, "left_semi").dropDuplicates([doc_id, text])

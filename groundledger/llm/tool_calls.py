@@ -101,8 +101,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, dict
     )
     placed = placed.withColumn("errors", errors).withColumn("status", F.when(F.col("result_place").isNull(), "waiting").otherwise("linked"))
     # the chunk grows along the order (depth, place), so no window holds a whole conversation
-    level = F.coalesce("depth", F.lit(1 << 20))
-    chunk = level * (1 << 40) + F.coalesce(chunk_of("place"), F.lit(-1))
+    level = F.struct(F.col("depth").isNull().alias("cycle"), F.coalesce("depth", F.lit(0)).alias("depth"))
+    chunk = F.struct(level.alias("level"), F.coalesce(chunk_of("place"), F.lit(-1)).alias("part"))
     numbered = dense_order(settle(placed), ["conv_id"], [level, "place", "call_id"], chunk, "position")
     shown = [*key, "place", "result_place", "position", "depth", "status", "errors", "json"]
     line = F.to_json(F.struct(

@@ -12,6 +12,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from groundledger.llm import bpe, components, host_rules, langid, neighbours, packing, quality, simhash, token_counts, tool_calls, url_filter, vocab
 from groundledger.llm.queries import pattern, tokenizer
@@ -230,6 +231,68 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(model.word_scores(words), want)
 
 
+def test_long_runs_are_scored_whole():
+    """A run of hundreds of letters beside the plain recursion over exact numbers: no cut, no underflow."""
+    from fractions import Fraction
+
+    pieces = {p: i for i, p in enumerate(["▁", "a", "b", "ab", "ba", "aba", "▁ab", "bbab"])}
+    prob = np.random.default_rng(2).random((len(pieces) + 1, 2)) / 50
+    model = langid.Model(["x", "y"], np.zeros(2), pieces, prob)
+    rng = random.Random(6)
+    for n in (47, 48, 49, 96, 200, 1000):
+        word = "".join(rng.choice("aabbz中") for _ in range(n))
+        marked = "▁" + word
+        for c in (0, 1):
+            exact = [Fraction(prob[r, c]) for r in range(len(prob))]
+            sums = [Fraction(1)]
+            for j in range(1, len(marked) + 1):
+                total = Fraction(0)
+                for k in range(1, min(4, j) + 1):
+                    row = pieces.get(marked[j - k:j], len(pieces) if k == 1 else None)
+                    if row is not None:
+                        total += sums[j - k] * exact[row]
+                sums.append(total.limit_denominator(10**4000) if n > 400 else total)
+            want = math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+            assert model.word_scores([word])[0, c] == pytest.approx(want, rel=1e-9), n
+
+
+def test_language_model_by_a_plain_loop(spark):
+    """Piece probabilities, priors, posterior and ties, counted without Spark."""
+    import sentencepiece
+
+    path = tokenizer("piece_bpe_32k.model")
+    rows = [(i, lang, t) for i, (lang, t) in enumerate([("de", "Der Hund und die Katze"), ("en", "the dog, the cat"), ("en", "a cat sat"), ("en", "a cat sat"), ("ßx", "12 中文中文 ü")])]
+    model = langid.fit(spark.createDataFrame([*rows, (9, "en", None), (10, None, "x")], "doc_id long, lang string, text string"), path, smoothing=0.25)
+    assert model.languages == ["de", "en", "ßx"] and np.allclose(np.exp(model.prior), [1 / 5, 3 / 5, 1 / 5])
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    known = langid.vocabulary(path)
+    for c, lang in enumerate(model.languages):
+        count = Counter()
+        for _, own, t in rows:
+            if own == lang:
+                count.update(p if p in model.pieces else None for w in re.findall(r"[^\W\d_]+", t.lower()) for p in sp.encode(w, out_type=str))
+        total = sum(count.values()) + 0.25 * (len(known) + 1)
+        assert model.prob[-1, c] == pytest.approx((count[None] + 0.25) / total)
+        assert all(model.prob[i, c] == pytest.approx((count[p] + 0.25) / total) for p, i in model.pieces.items())
+    got = langid.identify(spark.createDataFrame([(1, "the Hund"), (2, "cat")], "doc_id long, text string"), model, names=("a", "b", "c")).collect()
+    for r in got:
+        log = model.prior + model.word_scores(re.findall("[a-z]+", r["text"].lower())).sum(0)
+        assert r["a"] == model.languages[int(log.argmax())] and r["b"] == pytest.approx(1 / np.exp(log - log.max()).sum())
+    alike = langid.Model(["a", "b", "c"], np.log([0.3, 0.35, 0.35]), {"▁": 0, "x": 1}, np.full((3, 3), 0.2), np.array([[-3.0, 0, 1, 1]] * 3))
+    tie = langid.identify(spark.createDataFrame([("xx yx",)], "text string"), alike).first()
+    assert tie["lang_pred"] == "b" and tie["score"] == pytest.approx(0.35)
+
+
+def test_surprise_tells_texts_in_no_learned_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(docs, tokenizer("piece_bpe_32k.model"))
+    told = langid.identify(docs, model, names=("l", "s", "surprise")).agg(F.max("surprise"), F.min("surprise")).first()
+    assert told[0] == pytest.approx(1.0) and told[1] < 0
+    odd = [(1, "xqzvk wpfjh gkrtz bnmxw qqkzj plvbx kjzrw"), (2, "我们今天去北京看看天安门广场"), (3, "zzzzzzzzzzqqqqqqqq" * 50), (4, None)]
+    got = {r["doc_id"]: r["surprise"] for r in langid.identify(spark.createDataFrame(odd, "doc_id long, text string"), model, names=("l", "s", "surprise")).collect()}
+    assert got[4] is None and min(got[i] for i in (1, 2, 3)) > 2.5
+
+
 def test_language_of_texts(spark, docs, empty):
     de, en = "der hund und die katze schlafen nicht gern zusammen", "the dog and the cat sleep here with the children"
     train = spark.createDataFrame([(i, de if i % 2 else en, "de" if i % 2 else "en") for i in range(40)] + [(90, None, "en"), (91, en, None)],
@@ -287,6 +350,20 @@ def test_quality_learns_and_scores_everything(spark, docs, empty):
         d = z - model.mean[c]
         out.append(model.offset[c] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d))
     assert np.allclose(model.scores(x), 1 / (1 + np.exp(np.clip(out[0] - out[1], -700, 700))), atol=1e-6)
+    labelled = [(i, int(i < 150)) for i in range(210) if i % 3]  # the fit itself, from the raw rows; ids 1 and 2 have useless labels as well
+    rows_of = {c: x[[i for i, y in labelled if y == c]] for c in (0, 1)}
+    both = np.vstack([rows_of[0], rows_of[1]])
+    centre, scale = both.mean(0), np.where(both.std(0) > 1e-9, both.std(0), 1.0)
+    own = {c: np.cov(((rows_of[c] - centre) / scale).T, bias=True) for c in (0, 1)}
+    within = sum(len(rows_of[c]) * own[c] for c in (0, 1)) / len(both)
+    target = 0.98 * within + 0.02 * max(np.trace(within) / len(within), 1e-3) * np.eye(len(within))
+    out = []
+    for c in (0, 1):
+        cov = 0.85 * 0.98 * own[c] + (1 - 0.85 * 0.98) * target
+        d = (x - rows_of[c].mean(0)) / scale
+        out.append(math.log(len(rows_of[c]) / len(both)) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,ij->i", d, np.linalg.solve(cov, d.T).T))
+    want = 1 / (1 + np.exp(np.clip(out[0] - out[1], -700, 700)))
+    assert np.allclose([got[i] for i in range(210)], want, atol=1e-6)
     every = quality.score_texts(docs, model).collect()
     assert len(every) == len(TEXTS) + 2 and all(0 <= r["score"] <= 1 for r in every)
     none = quality.fit(quality.with_statistics(empty), labels)
@@ -296,7 +373,8 @@ def test_quality_learns_and_scores_everything(spark, docs, empty):
 # 9
 def test_packing_places_every_id_once(spark, docs, empty):
     path = tokenizer("word_bpe_49k.json")
-    tok = vocab.load(path)
+    tok = Tokenizer.from_file(path)  # as the library loads it, special strings of a text included
+    assert tok.encode("a <|endoftext|> b", add_special_tokens=False).ids == [320, 49407, 321]
     got = packing.pack(docs, path, capacity=128).collect()
     want = {r["doc_id"]: tok.encode(r["text"] or "", add_special_tokens=False).ids + [2] for r in docs.collect()}
     by = {}
@@ -319,6 +397,16 @@ def test_packing_places_every_id_once(spark, docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_words_equal_the_tokenizer_library():
+    path = tokenizer("word_bpe_49k.json")
+    plain, ours, rng = Tokenizer.from_file(path), vocab.word_ids(path), random.Random(9)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|", "|>", "<|ENDOFTEXT|>", "<", "a", "don't", "É", "é", "中", "İ", "x1.", ",", " ", "\n", "\t", "\x85", "🙂"]
+    for _ in range(5000):
+        s = "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
+        got = [i for b in ours(s.encode().split()) for (i,) in struct.iter_unpack("<I", b)]
+        assert got == plain.encode(s, add_special_tokens=False).ids, repr(s)
+
+
 def test_differencing_is_near_even():
     rng = random.Random(4)
     sizes = [rng.randint(1, 900) for _ in range(400)]
@@ -408,6 +496,30 @@ def test_pipeline_keeps_clean_documents_and_one_of_each_group(spark, tmp_path):
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
 
 
+def test_near_duplicates_keep_rows_without_ids_and_second_texts(spark):
+    import corpus_pipeline
+
+    alone, left, right = ("a text that nobody else has, " * 9, "alpha beta gamma delta " * 8, "completely other words are here " * 8)
+    rows = [(None, alone), (1, left), (1, right), (0, right), (2, left), (2, left), (None, None), (3, "")]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, _id string"), "")
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, [(None, alone, "x"), (1, left, "x"), (0, right, "x"), (3, "", "x")]))
+
+
+def test_language_stage_rejects_what_is_no_language(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = [(10**6 + i, t, None, "s", 1) for i, t in enumerate(["xqzvk wpfjh gkrtz bnmxw qqkzj plvbx kjzrw " * 3, "我们今天去北京看看天安门广场", "", "123"])]
+    kept = corpus_pipeline.language(spark, docs.unionByName(spark.createDataFrame(odd, docs.schema)), "")
+    assert kept.count() == docs.count() and kept.agg(F.max("doc_id")).first()[0] < 10**6
+
+
+def test_operators_leave_the_session_alone(spark, docs):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")}
+    packing.pack(docs, tokenizer("word_bpe_49k.json")).count()
+    assert before == {k: spark.conf.get(k) for k in before}
+
+
 def test_pipeline_stages_on_odd_tables(spark, docs, empty):
     import corpus_pipeline
 
