@@ -1,8 +1,8 @@
 """A corpus from raw documents to packed sequences: language, quality, near-duplicates, packing.
 
-Every stage but the last returns rows of ``documents`` as they are, extra columns included. Null texts and texts without
-letters go in the first stage. Documents without an id can't stand for a group of copies and go in the third. Empty tables
-pass through all stages.
+Every stage but the last returns rows of ``documents`` as they are, extra columns included. Null texts, texts without letters and
+texts whose letters are far less likely than those of the labelled texts of their language go in the first stage. A group of
+near copies keeps the row of its smallest id; a group without ids keeps one row as well. Empty tables pass through all stages.
 """
 
 from __future__ import annotations
@@ -16,15 +16,17 @@ from groundledger.llm.common import fold, free_names, table
 from groundledger.llm.queries import tokenizer
 from groundledger.session import checkpoint_dir
 
-#: Rows must be more likely than not in one language; quality as in the query of its own.
-LANGUAGE_SCORE, QUALITY_SCORE = 0.5, 0.3
+#: Rows must be more likely than not in one language, and at most this many times as strange as the strangest labelled text; quality as
+#: in the query of its own.
+LANGUAGE_SCORE, SURPRISE, QUALITY_SCORE = 0.5, 2.5, 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in one of the languages of the labelled ones."""
     model = langid.fit(docs.where(fold("doc_id", 4) != 2), tokenizer("piece_bpe_32k.model"))
-    told, score = free_names(docs, "lang_pred", "score")
-    kept = langid.identify(docs, model, names=(told, score)).where((F.col(told) != langid.UND) & (F.col(score) >= LANGUAGE_SCORE))
+    told, score, surprise = free_names(docs, "lang_pred", "score", "surprise")
+    kept = langid.identify(docs, model, names=(told, score, surprise)).where(
+        (F.col(told) != langid.UND) & (F.col(score) >= LANGUAGE_SCORE) & (F.col(surprise) <= SURPRISE))
     return kept.select(*docs.columns)
 
 
@@ -37,10 +39,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each component; repeated rows of it stay once."""
-    found = simhash.near_duplicates(docs)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    """Keeps one document of each component."""
+    return simhash.representatives(docs).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
