@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import Memo, settle, strips, with_columns
+from .common import Memo, in_small_batches, settle, strips, with_columns
 
 UND = "und"
 LETTERS = regex.compile(r"\p{L}+")
@@ -164,7 +164,7 @@ def _count_pieces(docs: DataFrame, path: str) -> DataFrame:
             lang, p, n = zip(*rows[at:at + 50_000])
             yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(p), pa.array(n, pa.int64())], ["lang", "piece", "n"])
 
-    return docs.mapInArrow(run, "lang string, piece string, n long")
+    return in_small_batches(docs).mapInArrow(run, "lang string, piece string, n long")
 
 
 def fit(docs: DataFrame, path: str, per_language: int = 1000, smoothing: float = 0.5, text: str = "text", lang: str = "lang",
@@ -220,7 +220,7 @@ def _usual(sample: DataFrame, model: Model) -> np.ndarray:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["lang", *names])
 
-    texts = settle(sample.mapInArrow(run, "lang long, " + ", ".join(f"{n} double" for n in names)))
+    texts = settle(in_small_batches(sample).mapInArrow(run, "lang long, " + ", ".join(f"{n} double" for n in names)))
     out = np.zeros((len(column), 4))
     out[:, 3] = 1.0
     sums = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("squares"), *[F.sum(n).alias(n) for n in names])

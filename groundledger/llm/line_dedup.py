@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import free_names, settle, strips, with_columns
+from .common import free_names, in_small_batches, settle, strips, with_columns
 
 #: Keys of a full shard, entries of a bucket, moves before a filter is built larger.
 SHARD_KEYS, WAYS, MOVES = 50_000, 4, 200
@@ -156,7 +156,7 @@ def _keys(docs: DataFrame, text: str, doc_id: str, least_chars: int, passes: Cal
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0).take(pa.array(rows)), pa.array(keys, pa.binary()), pa.array(lines, pa.int64())], ["doc_id", "key", "lines"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return in_small_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))).mapInArrow(run, schema)
 
 
 def _counted(references: DataFrame, least_docs: int) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from .common import Memo, _arrow, strips
+from .common import Memo, _arrow, in_small_batches, strips
 from .vocab import word_ids
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -198,4 +198,4 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 4096, grai
         put(packer.flush())
         yield from sent()
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, StructType.fromDDL(PIECES))
+    return in_small_batches(docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string"))).mapInArrow(run, StructType.fromDDL(PIECES))

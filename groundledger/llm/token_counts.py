@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import codec
-from .common import Memo, flat_rows, strips
+from .common import Memo, flat_rows, in_small_batches, strips
 
 FIELDS = "doc_id long, section int, name string, start long, end long, n_tokens long, n_crossing long, doc_tokens long"
 
@@ -127,4 +127,4 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, sections: str | None
     cols = [F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")]
     if sections:
         cols.append(F.col(sections).cast("array<struct<name:string,start:long,end:long>>").alias("sections"))
-    return flat_rows(docs.select(*cols), make, FIELDS)
+    return flat_rows(in_small_batches(docs.select(*cols)), make, FIELDS)
