@@ -1,9 +1,12 @@
 """One case per reject reason, applied edits and spoken symbols."""
 
+import random
+import re
 from collections import Counter
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from groundledger import constants as C
 from groundledger.catalog import q_guard, q_sinks
@@ -92,6 +95,24 @@ def test_spoken_symbols(meeting):
     assert {r.meeting_id for r in edits.collect()} == {0, 1, 2, 3}
 
 
+def rewritten(text, left=C.SYMBOL_PASSES):
+    """Edits of a text, one after the other, by Python's own patterns."""
+    for pattern, written, why in C.SYMBOL_RULES if left else ():
+        if found := re.search(pattern, text, re.I):
+            new = found.expand(written.replace("$", "\\"))
+            return [(found[0], new, why), *rewritten(text.replace(found[0], new, 1), left - 1)]
+    return []
+
+
+def test_symbol_edits_on_random_lines(spark):
+    rng = random.Random(1)
+    bits = ["a", "user", "underscore", "dot", "com", "py", "at the rate", "at the rate of", "of", "5", "hashtag", "hash tag", "frontend", "gmail", "é", "x-y",
+            "Underscore", "DOT", "md", "at sign", "at symbol", ".", ",", None]
+    rows = [(" ".join(filter(None, (rng.choice(bits) for _ in range(rng.randint(1, 14))))),) for _ in range(1500)] + [("a underscore " * 40 + "b",), (None,)]
+    for r in spark.createDataFrame(rows, "t string").select("t", guard.symbol_edits(F.col("t")).alias("e")).collect():
+        assert [tuple(x) for x in r.e or []] == rewritten(r.t or ""), r.t
+
+
 @pytest.mark.parametrize("a, b, want", [("martha", "marhta", 0.9611), ("dixon", "dicksonx", 0.8133), ("abc", "xyz", 0.0)])
 def test_jaro_winkler(a, b, want):
     from groundledger.functions.fuzzy import jaro_winkler
