@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import constants as C
 from ..functions import text as T
+from .matching import greedy_matching
 from .ordered import settle, with_neighbours
 
 KEYS = ["meeting_id"]
@@ -246,17 +247,11 @@ def verify_names(proposals: DataFrame, segments: DataFrame) -> DataFrame:
         F.col("before") == F.col("label"), F.lit(False))
     ok = F.when(F.col("speaker") == F.col("label"), itself).otherwise(addressed & answers)
     good = settle(p.where(upto.isNotNull() & (upto != "") & ok))
-    # First come, first served on labels and on names: a label or name is free only if no kept earlier
-    # proposal uses it; per meeting the kept set is at most one per label.
-    best = good.groupBy("meeting_id", "label", "name", "_low").agg(
-        F.min(F.struct("pos", "seg_id", "text")).alias("x"))
-    pair = F.struct(F.col("x.pos").alias("pos"), "label", "name", "_low", F.col("x.seg_id").alias("seg_id"), F.col("x.text").alias("text"))
-    empty = F.array().cast("array<struct<pos:bigint,label:string,name:string,_low:string,seg_id:string,text:string>>")
-    add = lambda acc, q: F.when(
-        F.exists(acc, lambda k: (k["label"] == q["label"]) | (k["_low"] == q["_low"])), acc).otherwise(F.concat(acc, F.array(q)))
-    lists = best.groupBy("meeting_id").agg(F.array_sort(F.collect_list(pair)).alias("_q"))
-    return lists.select("meeting_id", F.explode(F.aggregate("_q", empty, add)).alias("k")).select(
-        "meeting_id", F.col("k.label").alias("speaker"), F.col("k.name").alias("name"), F.col("k.seg_id").alias("seg_id"))
+    # First come, first served on labels and on names: one row a pair, then rounds over all meetings at once.
+    best = good.groupBy("meeting_id", "label", "name", "_low").agg(F.min(F.struct("pos", "seg_id", "text")).alias("x"))
+    first_come = F.struct(F.col("x.pos").alias("pos"), "label", "name")
+    return greedy_matching(best, KEYS, "label", "_low", first_come).select(
+        "meeting_id", F.col("label").alias("speaker"), "name", F.col("x.seg_id").alias("seg_id"))
 
 
 def rename_items(items: DataFrame, names: DataFrame, column: str) -> DataFrame:
