@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import text as T
-from ..functions.fuzzy import repeated_phrase_col
+from ..functions.repeats import repeated_phrase_col
 from ..operators import transcripts
 from .oracle_views import lit
 from .registry import query

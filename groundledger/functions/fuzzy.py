@@ -8,7 +8,6 @@ from __future__ import annotations
 import math
 import re
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
@@ -253,38 +252,3 @@ def token_set_col(a: Column, b: Column) -> Column:
 
 def partial_ratio_col(a: Column, b: Column, floor: float = 0.0) -> Column:
     return _pairwise(lambda x, y: partial_ratio(x, y, floor), "double")(a, b)
-
-
-def says_three_times(text: str, min_words: int = 4, repeats: int = 3) -> bool:
-    """Some phrase of ``min_words`` or more words is said ``repeats`` or more times in a row.
-
-    A phrase of n words said three times is a stretch of 2n positions that equal the token n further on.
-    """
-    tokens = re.findall(r"[\w']+", text.lower())
-    size = len(tokens)
-    if size < min_words * repeats or size - len(set(tokens)) < min_words * (repeats - 1):
-        return False
-    codes = pd.factorize(np.asarray(tokens, dtype=object))[0].astype(np.int64)
-    # The n - min_words + 1 runs of min_words tokens that lie inside one copy occur in every copy: this bounds n.
-    grams = codes[: size - min_words + 1].copy()
-    for k in range(1, min_words):
-        grams = pd.factorize(grams * (size + 1) + codes[k : size - min_words + 1 + k])[0].astype(np.int64)
-    frequent = int((np.bincount(grams)[grams] >= repeats).sum())
-    longest = min(size // repeats, frequent // repeats + min_words - 1) if frequent else 0
-    for n in range(min_words, longest + 1):
-        need = n * (repeats - 1)
-        differs = np.flatnonzero(codes[:-n] != codes[n:])
-        if size - n - len(differs) < need:
-            continue
-        edges = np.concatenate(([-1], differs, [size - n]))
-        if (np.diff(edges) - 1 >= need).any():
-            return True
-    return False
-
-
-def repeated_phrase_col(text: Column) -> Column:
-    @F.pandas_udf("boolean")
-    def run(t: pd.Series) -> pd.Series:
-        return t.map(lambda x: bool(x) and says_three_times(x))
-
-    return run(text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as C
-from ..functions.fuzzy import repeated_phrase_col
+from ..functions.repeats import repeated_phrase_col
 
 
 def low_confidence(words: DataFrame, threshold: float = C.LOWCONF_DISPUTE) -> DataFrame:

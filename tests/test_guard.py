@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 from types import SimpleNamespace
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from groundledger import constants as C
 from groundledger.catalog import q_guard, q_sinks
+from groundledger.functions import repeats
 from groundledger.operators import guard, lexicon
 
 CASES = [  # (text, original, replacement, category, confidence, disputed, expected)
@@ -127,23 +129,38 @@ def test_fuzzy_helpers():
     assert fuzzy.partial_ratio("abcd", "xxabcdxx") == 100
     assert fuzzy.partial_ratio("the ladder stands behind the shed", "orders grew from twelve to ninety", 90) == 0
     assert fuzzy.token_set_ratio("blue door left", "left blue blue door") == 100
-    assert fuzzy.says_three_times("and round we go again " * 3) and not fuzzy.says_three_times("and round we go again " * 2)
-    assert not fuzzy.says_three_times("red green blue " * 3) and fuzzy.says_three_times("no " * 12)
 
 
-def test_repeated_phrase_against_brute_force():
-    import random
-
-    from groundledger.functions.fuzzy import says_three_times
-
+def test_repeated_phrase_against_brute_force(spark):
     def brute(toks):
         return any(toks[i:i + n] == toks[i + n:i + 2 * n] == toks[i + 2 * n:i + 3 * n]
                    for n in range(4, len(toks) // 3 + 1) for i in range(len(toks) - 3 * n + 1))
 
     rng = random.Random(1)
-    for _ in range(300):
-        toks = [rng.choice("ab") for _ in range(rng.randint(8, 40))]
-        assert says_three_times(" ".join(toks)) == brute(toks)
+    said = [[rng.choice(pool) for _ in range(rng.randint(8, 40))] for pool in (["a", "b"], ["a", "b", "c'd"], ["é", "b", "2"], ["中", "x"]) for _ in range(300)]
+    phrase = lambda: [rng.choice(["w1", "Ünder", "stop", "x²", "n"]) for _ in range(rng.randint(3, 7))]
+    said += [[*phrase(), *(phrase() * rng.randint(2, 4)), *phrase()] for _ in range(300)]
+    texts = [rng.choice([" ", ", ", " – "]).join(t if rng.random() < 0.7 else t.upper() for t in toks) for toks in said]
+    want = [brute(re.findall(r"[\w']+", t.lower())) for t in texts]
+    assert repeats.say_again(texts) == want and any(want) and not all(want)
+    assert repeats.say_again([None, "", "and round we go again " * 3, "and round we go again " * 2, "red green blue " * 3, "no " * 12]) == [
+        False, False, True, False, False, True]
+    rows = spark.createDataFrame(list(enumerate([*texts, None, ""])), "i long, t string")
+    got = {r.i: (r.may, r.hit) for r in rows.select("i", repeats.may_repeat(F.col("t")).alias("may"), repeats.repeated_phrase_col(F.col("t")).alias("hit")).collect()}
+    assert [got[i][1] for i in range(len(texts))] == want and got[len(texts)][1] is False and got[len(texts) + 1][1] is False
+    assert all(may or not hit for may, hit in got.values())
+    plain = spark.createDataFrame([("The quick brown fox jumps over the lazy dog and runs on through the wood.",), ("le café é " * 4,)], "t string")
+    assert [r[0] for r in plain.select(repeats.may_repeat(F.col("t"))).collect()] == [False, True]  # the first never reaches Python
+
+
+def test_repeated_phrase_in_long_texts():
+    rng = random.Random(2)
+    loop = [f"w{k}" for k in range(30_000)]
+    texts = [" ".join(loop * 3), " ".join(loop * 2 + loop[:-1]), " ".join(["a b c"] * 33_000), " ".join(f"v{rng.randrange(3)}" for _ in range(100_000))]
+    began = time.perf_counter()
+    assert repeats.say_again(texts[:2]) == [True, False]
+    assert repeats.say_again([texts[2]]) == [True] and len(repeats.say_again([texts[3]])) == 1
+    assert time.perf_counter() - began < 30  # seconds on a busy machine; a second or so a text on an idle one
 
 
 def test_partial_ratio_floor_is_exact():
