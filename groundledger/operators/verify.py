@@ -46,16 +46,43 @@ def plain_lines(cited: Column) -> Column:
     return F.transform(cited, lambda c: F.struct(c["ord"].alias("ord"), c["seg_id"].alias("seg_id"), c["speaker"].alias("speaker"), c["text"].alias("text")))
 
 
+def may_match(quote: Column, text: Column, threshold: float) -> Column:
+    """False only if no window of the longer text comes near the shorter one; a test by groups of three letters.
+
+    With ``e = 1 - threshold / 100`` a window of ``w <= m`` letters is at most ``e (m + w)`` letters put in or left out away from
+    the ``m`` letters of the shorter text. A letter left out breaks three of its groups, one put in two of them. So all but
+    ``loss m`` of its ``m - 2`` groups stand in the longer text, wherever they stand.
+    """
+    e = 1 - threshold / 100
+    loss = 5 * e + e * max(0.0, 1 - 5 * e) / (1 + e)
+
+    def kept(short: Column, long: Column) -> Column:
+        m = F.length(short)
+        places = F.when(m > 2, F.sequence(F.lit(1), m - 2)).otherwise(F.array().cast("array<int>"))
+        return F.size(F.filter(places, lambda i: F.contains(long, F.substring(short, i, F.lit(3))))) >= m - 2 - loss * m - 1e-9
+
+    gap = F.length(quote) - F.length(text)
+    return F.when(gap < 0, kept(quote, text)).when(gap > 0, kept(text, quote)).otherwise(kept(quote, text) | kept(text, quote))
+
+
+def likely_texts(quote: Column, texts: Column, threshold: float) -> Column:
+    """Of the lines, and of all of them joined, those that the quote may stand in."""
+    every = F.concat(texts, F.array(F.array_join(texts, " ")))
+    return F.filter(every, lambda t: F.coalesce(may_match(quote, t, threshold), F.lit(False)))
+
+
 def _score(quote: Column, texts: Column, threshold: float) -> Column:
+    """Whether the quote comes near one of the texts; each pair of a batch is compared once."""
     @F.pandas_udf("boolean")
     def run(q: pd.Series, t: pd.Series) -> pd.Series:
-        def one(a, lines):
-            if a is None or lines is None:
-                return None
-            lines = list(lines)
-            return any(partial_ratio(a, x, threshold) >= threshold for x in [*lines, " ".join(lines)])
+        known: dict[tuple[str, str], bool] = {}
+
+        def near(a: str, x: str) -> bool:
+            if (a, x) not in known:
+                known[a, x] = partial_ratio(a, x, threshold) >= threshold
+            return known[a, x]
 
-        return pd.Series([one(a, b) for a, b in zip(q, t)], dtype="object")
+        return pd.Series([None if a is None or lines is None else any(near(a, x) for x in lines) for a, lines in zip(q, t)], dtype="object")
 
     return run(quote, texts)
 
@@ -63,14 +90,17 @@ def _score(quote: Column, texts: Column, threshold: float) -> Column:
 def quote_matches(items: DataFrame, quote: Column, name: str, threshold: float = C.QUOTE_MATCH) -> DataFrame:
     """Adds ``name``: the quote fuzzily occurs in a cited line or in all of them joined.
 
-    Verbatim quotes and items without lines are settled in the JVM; only the rest goes to Python.
+    Verbatim quotes and items without lines are settled in the JVM; of the rest, only lines that :func:`may_match` lets through
+    go to Python.
     """
     q = F.lower(F.trim(quote))
     texts = F.transform("cited", lambda c: F.lower(c["text"]))
     verbatim = F.coalesce((q != "") & F.contains(F.array_join(texts, " "), q), F.lit(False))
     open_ = (F.coalesce(q, F.lit("")) != "") & ~verbatim & (F.size("cited") > 0)
-    scored = _score(F.when(open_, q), F.when(open_, texts), threshold)
-    return items.withColumn(name, verbatim | F.coalesce(scored, F.lit(False)))
+    likely = F.when(open_, likely_texts(q, texts, threshold))
+    items = items.withColumn("_likely", F.when(F.size(likely) > 0, likely))
+    scored = _score(F.when(F.col("_likely").isNotNull(), q), F.col("_likely"), threshold)
+    return items.withColumn(name, verbatim | F.coalesce(scored, F.lit(False))).drop("_likely")
 
 
 def unsupported(sentence: Column, cited_text: Column) -> Column:
