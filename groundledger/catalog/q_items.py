@@ -132,15 +132,15 @@ def tk3(t):
 def jn19(t):
     both = t.decisions.select("meeting_id", "pos", F.col("decision").alias("item"), "evidence_ids").unionByName(
         t.proposals.select("meeting_id", (F.col("pos") + 100_000).alias("pos"), F.col("proposal").alias("item"), "evidence_ids"))
-    return I.dedupe_items(both, "item", t.segments).select("meeting_id", "pos", "merged_into", F.array_join("evidence_ids", "|").alias("ids"))
+    return I.dedupe_items(both, "item").select("meeting_id", "pos", "merged_into", F.array_join("evidence_ids", "|").alias("ids"))
 
 
 @query("jb9_merge_parts")
 def jb9(t):
     topics = I.merge_topics(t.sentences.where(F.col("section") == "minutes"))
-    d = I.dedupe_items(t.decisions, "decision", t.segments).where(F.col("merged_into").isNull())
-    k = I.dedupe_items(t.tasks, "task", t.segments).where(F.col("merged_into").isNull())
-    out = topics.select("meeting_id", F.lit("point").alias("kind"), "pos", "text", "evidence_ids")
-    for kind, df in (("decision", d), ("task", k)):
-        out = out.unionByName(df.select("meeting_id", F.lit(kind).alias("kind"), "pos", "text", "evidence_ids"))
+    both = t.decisions.select("meeting_id", F.lit("decision").alias("kind"), "pos", F.col("decision").alias("item"), "evidence_ids").unionByName(
+        t.tasks.select("meeting_id", F.lit("task").alias("kind"), "pos", F.col("task").alias("item"), "evidence_ids"))
+    kept = I.dedupe_items(both, "item", ["meeting_id", "kind"]).where(F.col("merged_into").isNull())
+    out = topics.select("meeting_id", F.lit("point").alias("kind"), "pos", "text", "evidence_ids").unionByName(
+        kept.select("meeting_id", "kind", "pos", "text", "evidence_ids"))
     return out.select("meeting_id", "kind", "pos", "text", F.array_join("evidence_ids", "|").alias("ids"))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import constants as C
 from ..functions import text as T
-from ..functions.fuzzy import token_set_ratio
-from .intervals import island_starts
+from ..functions.fuzzy import token_set_col
 from .ordered import chunk_of, dense_order, settle, with_neighbours
 
 KEYS = ["meeting_id"]
@@ -99,59 +97,90 @@ def last_by(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(value, "pos").alias(value))
 
 
-_MERGED = "array<struct<pos:bigint,text:string,evidence_ids:array<string>,merged_into:bigint>>"
+def text_classes(items: DataFrame, keys: list[str]) -> DataFrame:
+    """The different word sets of the texts, ``class`` (the sorted words), each with one text."""
+    return items.groupBy(*keys, "class").agg(F.min("text").alias("text")).where(F.col("class") != "")
 
 
-def _dedupe(items: list) -> list[dict]:
-    """First keeper with a similar text and a shared line takes the item's evidence."""
-    kept: list[dict] = []
-    by_id: dict[str, set[int]] = {}
-    out = []
-    for item in items:
-        ids = list(item["evidence_ids"])
-        near = sorted({k for i in ids for k in by_id.get(i, ())})
-        twin = next((k for k in near if token_set_ratio(kept[k]["text"], item["text"]) >= C.DEDUPE_RATIO), None)
-        row = {"pos": item["pos"], "text": item["text"], "evidence_ids": [], "merged_into": None}
-        if twin is None:
-            twin = len(kept)
-            row["evidence_ids"] = ids
-            kept.append(row)
-        else:
-            row["merged_into"] = kept[twin]["pos"]
-            have = kept[twin]["evidence_ids"]
-            have.extend(i for i in ids if i not in have)
-        for i in ids:
-            by_id.setdefault(i, set()).add(twin)
-        out.append(row)
-    return out
+def _groups_of_three(words: Column) -> Column:
+    """Letter groups of the words with a mark on both sides, copies numbered."""
+    marked = F.transform(words, lambda w: F.concat(F.lit("^"), w, F.lit("$")))
+    groups = F.array_sort(F.flatten(F.transform(marked, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))))
+    return F.transform(groups, lambda g, i: F.struct(g.alias("g"), (i - F.array_position(groups, g).cast("int")).alias("k")))
 
 
-def dedupe_items(items: DataFrame, text: str, segments: DataFrame) -> DataFrame:
-    """Near-duplicate items of a meeting that share evidence become one.
+def similar_classes(classes: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs ``class, other`` of word sets with a ratio of at least ``DEDUPE_RATIO``, in both directions and with themselves.
 
-    Items can only meet when their cited ranges of lines touch, so a meeting is first cut into islands of
-    touching ranges, which are independent; each island is small compared with the meeting.
+    Of two such texts one has all but ``0.5 n`` of its letter groups in the other, ``n`` its length: a letter left out breaks three
+    groups, one put in two, and at a ratio of 90 there are few of them; where all or most words of one are shared even more stay.
+    So one of its rarest groups, so many that not all can be missing, is among all groups of the other. Pairs that meet there are
+    compared once each.
+    """
+    words = F.split("class", " ")
+    n = F.length("class")
+    rows = settle(classes.select(*keys, "class", "text", n.alias("n"), F.explode(_groups_of_three(words)).alias("x")).select(*keys, "class", "text", "n", "x.g", "x.k"))
+    common = rows.groupBy("g", "k").agg(F.count(F.lit(1)).alias("often"))
+    w = Window.partitionBy(*keys, "class")
+    ranked = rows.join(common, ["g", "k"]).withColumn("r", F.row_number().over(w.orderBy("often", "g", "k"))).withColumn("all", F.count(F.lit(1)).over(w))
+    need = F.greatest(F.lit(1), F.ceil(F.col("all") - F.col("n") * (5 * (1 - C.DEDUPE_RATIO / 100)) - 1e-9))
+    asked = ranked.where(F.col("r") <= F.col("all") - need + 1).select(*keys, "g", "k", "class", "text")
+    held = rows.select(*keys, "g", "k", F.col("class").alias("other"), F.col("text").alias("other_text"))
+    met = asked.join(held, [*keys, "g", "k"]).where(F.col("class") != F.col("other"))
+    first = F.col("class") < F.col("other")
+    pairs = met.select(*keys, *[F.when(first, F.col(x)).otherwise(F.col(y)).alias(n) for n, x, y in (
+        ("class", "class", "other"), ("other", "other", "class"), ("text", "text", "other_text"), ("other_text", "other_text", "text"))]).distinct()
+    near = settle(pairs.withColumn("ratio", token_set_col(F.col("text"), F.col("other_text"))).where(F.col("ratio") >= C.DEDUPE_RATIO).select(*keys, "class", "other"))
+    own = classes.select(*keys, "class", F.col("class").alias("other"))
+    return near.unionByName(near.select(*keys, F.col("other").alias("class"), F.col("class").alias("other"))).unionByName(own)
+
+
+def dedupe_items(items: DataFrame, text: str, keys: list[str] | None = None) -> DataFrame:
+    """Near-duplicate items that share evidence become one: walking by ``pos``, an item joins the first kept one with a similar text
+    that has one of its lines, own or taken over, and hands its lines over; else it is kept.
+
+    Decided in rounds of joins over all meetings. What an item does depends only on earlier items that cite one of its lines and
+    whose text is similar to its own, or to one similar to its own; once these are decided, it is decided. Gives ``pos, text,
+    evidence_ids, merged_into``; joined items have no lines left. No evidence or no words: kept.
     """
-    flat = items.select("meeting_id", "pos", F.explode("evidence_ids").alias("seg_id"))
-    # An unknown id still links items that cite it: it is placed after the known lines by its number.
-    number = F.expr("try_cast(regexp_extract(seg_id, '([0-9]+)$', 1) AS BIGINT)")
-    ranges = flat.withColumn("_o", F.coalesce(number, F.lit(0))).groupBy("meeting_id", "pos").agg(F.min("_o").alias("a"), F.max("_o").alias("b"))
-    starts = settle(ranges.groupBy("meeting_id", "a").agg(F.max("b").alias("b")))
-    islands = island_starts(starts, KEYS, "a", "b", 4096).select("meeting_id", "a", "island")
-    placed = items.select("meeting_id", "pos", F.col(text).alias("text"), "evidence_ids").join(ranges, ["meeting_id", "pos"], "left").join(
-        islands, ["meeting_id", "a"], "left").withColumn("island", F.coalesce("island", -1 - F.col("pos")))
-    row = F.struct("pos", "text", "evidence_ids")
-    lists = placed.groupBy("meeting_id", "island").agg(F.array_sort(F.collect_list(row)).alias("_items"))
-    alone = F.transform("_items", lambda i: F.struct(i["pos"].alias("pos"), i["text"].alias("text"), i["evidence_ids"].alias("evidence_ids"),
-                                                     F.lit(None).cast("long").alias("merged_into")))
-
-    @F.pandas_udf(_MERGED)
-    def merge(x: pd.Series) -> pd.Series:
-        return x.map(lambda items: None if items is None else _dedupe(items))
-
-    # An item that meets no other needs no comparison.
-    merged = F.coalesce(merge(F.when(F.size("_items") > 1, F.col("_items"))), alone)
-    return lists.select("meeting_id", F.explode(merged).alias("m")).select("meeting_id", "m.*")
+    keys = keys or KEYS
+    lines = F.coalesce("evidence_ids", F.array().cast("array<string>"))
+    words = F.array_sort(F.array_distinct(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")))
+    rows = settle(items.select(*keys, "pos", F.col(text).alias("text"), lines.alias("evidence_ids"), F.coalesce(F.array_join(words, " "), F.lit("")).alias("class")))
+    near = settle(similar_classes(text_classes(rows, keys), keys).distinct())
+    beyond = near.select(*keys, "class", F.col("other").alias("_o")).join(near.select(*keys, F.col("class").alias("_o"), "other"), [*keys, "_o"]).select(
+        *keys, "class", "other").distinct()
+    flat = settle(rows.select(*keys, "pos", "class", F.posexplode("evidence_ids").alias("at", "seg_id")))
+    alone = rows.select(*keys, "pos").join(flat.select(*keys, "pos").distinct(), [*keys, "pos"], "left_anti")
+    decided = alone.withColumn("merged_into", F.lit(None).cast("long"))
+    owned, left = None, flat
+    while not left.isEmpty():
+        # items behind no undecided one
+        ahead = left.groupBy(*keys, F.col("class").alias("other"), "seg_id").agg(F.min("pos").alias("_first"))
+        waits = left.join(beyond, [*keys, "class"]).join(ahead, [*keys, "other", "seg_id"]).where(F.col("_first") < F.col("pos")).select(*keys, "pos").distinct()
+        ready = left.join(waits, [*keys, "pos"], "left_anti")
+        each = ready.groupBy(*keys, "pos").agg(F.first("class").alias("class"))
+        if owned is None:
+            now = settle(each.withColumn("merged_into", F.lit(None).cast("long")))
+        else:
+            found = ready.join(near, [*keys, "class"]).join(owned, [*keys, "other", "seg_id"]).where(
+                (F.col("_keeper") < F.col("pos")) & (F.col("_since") < F.col("pos"))).groupBy(*keys, "pos").agg(F.min("_keeper").alias("merged_into"))
+            now = settle(each.join(found, [*keys, "pos"], "left"))
+        decided = decided.unionByName(now.select(*keys, "pos", "merged_into"))
+        # the keeper's class is that of the item it was, so it comes with the first line it owns
+        news = flat.join(now.withColumnRenamed("class", "_c"), [*keys, "pos"]).select(
+            *keys, F.coalesce("merged_into", "pos").alias("_keeper"), F.when(F.col("merged_into").isNull(), F.col("class")).alias("_class"), "seg_id", F.col("pos").alias("_since"))
+        every = news if owned is None else owned.withColumnRenamed("other", "_class").unionByName(news)
+        named = every.where(F.col("_class").isNotNull()).groupBy(*keys, "_keeper").agg(F.min("_class").alias("other"))
+        owned = settle(every.groupBy(*keys, "_keeper", "seg_id").agg(F.min("_since").alias("_since")).join(named, [*keys, "_keeper"]))
+        left = left.join(now.select(*keys, "pos"), [*keys, "pos"], "left_anti")
+    taken = flat.join(decided.where(F.col("merged_into").isNotNull()), [*keys, "pos"]).groupBy(*keys, "merged_into", "seg_id").agg(F.min(F.struct("pos", "at")).alias("_w"))
+    more = taken.groupBy(*keys, "merged_into").agg(F.array_sort(F.collect_list(F.struct("_w", "seg_id"))).alias("_m")).select(
+        *keys, F.col("merged_into").alias("pos"), F.col("_m.seg_id").alias("_more"))
+    out = rows.join(decided, [*keys, "pos"]).join(more, [*keys, "pos"], "left")
+    extra = F.coalesce(F.array_except("_more", "evidence_ids"), F.array().cast("array<string>"))
+    kept = F.when(F.col("merged_into").isNull(), F.concat("evidence_ids", extra)).otherwise(F.array().cast("array<string>"))
+    return out.select(*keys, "pos", "text", kept.alias("evidence_ids"), "merged_into")
 
 
 def pick_summary(sentences: DataFrame, picks: DataFrame | None = None, cap: int = C.SUMMARY_CAP) -> DataFrame:

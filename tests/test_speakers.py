@@ -1,7 +1,10 @@
 """Names said in meetings, names proposed by a model, and short-line fixes."""
 
+import random
+
 from groundledger.operators import items, speakers, verify
 from groundledger.functions import text as T
+from groundledger.functions.fuzzy import token_set_ratio
 from pyspark.sql import functions as F
 
 #: {meeting: (lines, names by speaker)}
@@ -85,13 +88,12 @@ def test_capitalized_tokens_and_json(spark):
     assert [r.x for r in raw.select(T.extract_json(F.col("t")).alias("x")).collect()] == ['{"x": {"y": 1}}', None]
 
 
-def test_near_duplicates_merge_evidence(spark, meeting):
-    segs = meeting({1: [("A", f"line {i}") for i in range(9)]})
+def test_near_duplicates_merge_evidence(spark):
     d = spark.createDataFrame([
         (1, 1, "paint the north fence", ["S001", "S002"]), (1, 2, "paint the north fence now", ["S002", "S003"]),
         (1, 3, "north fence paint the", ["S003"]), (1, 4, "paint the north fence", ["S008"]), (1, 5, "something else", ["S001"])],
         "meeting_id long, pos long, item string, evidence_ids array<string>")
-    got = {r.pos: (r.merged_into, r.evidence_ids) for r in items.dedupe_items(d, "item", segs).collect()}
+    got = {r.pos: (r.merged_into, r.evidence_ids) for r in items.dedupe_items(d, "item").collect()}
     assert got[1] == (None, ["S001", "S002", "S003"]) and got[2][0] == 1 and got[3][0] == 1
     assert got[4] == (None, ["S008"]) and got[5] == (None, ["S001"])
 
@@ -107,3 +109,45 @@ def test_capitals_after_many_blanks_start_a_sentence(spark):
 
     df = spark.createDataFrame([("Done." + " " * n + "Nora came with Petra",) for n in (1, 80)], "t string")
     assert [r[0] for r in df.select(T.capitalized_non_initial(F.col("t"))).collect()] == [["Petra"], ["Petra"]]
+
+
+def walked(rows):
+    """Kept and joined items of one meeting, by a walk over all earlier kept ones."""
+    kept, out = {}, {}
+    for pos, text, ids in sorted(rows):
+        first = min((k for k, (said, own) in kept.items() if set(own) & set(ids or []) and token_set_ratio(said, text) >= 90), default=None)
+        if first is None:
+            kept[pos] = (text, list(ids or []))
+        else:
+            kept[first][1].extend(x for x in dict.fromkeys(ids) if x not in kept[first][1])
+        out[pos] = first
+    return {p: (m, kept[p][1] if m is None else []) for p, m in out.items()}
+
+
+def test_near_duplicates_equal_a_walk(spark):
+    """Random items; in one meeting, which holds a third of them, all cite the first and the last line."""
+    rng = random.Random(9)
+    base = ["paint the north fence", "paint the north fence now", "north fence the paint", "paint a fence", "colour of the doors", "color of the doors", "doors color of the",
+            "x", "x y", "order ninety hinges at once", "order nine hinges at once", "", "  ", "call Petra", "calls Petra", "call petra and Tomas about hinges"]
+    rows = []
+    for m in range(7):
+        for p in range(60 if m == 0 else 20):
+            ids = ["S000", "S999"] if m == 0 and p % 3 else [f"S{rng.randrange(12 if m else 40):03d}" for _ in range(rng.randint(0, 3))]
+            text = rng.choice(base) + (f" {rng.choice('abc')}" if rng.random() < 0.2 else "")
+            rows.append((m, p, text, None if rng.random() < 0.03 else ids))
+    df = spark.createDataFrame(rows, "meeting_id long, pos long, item string, evidence_ids array<string>")
+    got = {}
+    for r in items.dedupe_items(df, "item").collect():
+        got.setdefault(r.meeting_id, {})[r.pos] = (r.merged_into, r.evidence_ids)
+    for m in range(7):
+        assert got[m] == walked([x[1:] for x in rows if x[0] == m]), m
+    assert items.dedupe_items(df.limit(0), "item").count() == 0
+
+
+def test_similar_word_sets_are_all_found(spark):
+    rng = random.Random(10)
+    pool = ["plan", "plans", "ab", "a", "b", "the", "doors", "door", "naïve", "ninety", "ninty", "qq", "qqq"]
+    texts = sorted({" ".join(sorted({rng.choice(pool) for _ in range(rng.randint(1, 6))})) for _ in range(150)})
+    df = spark.createDataFrame([(1, t, t) for t in texts], "meeting_id long, class string, text string")
+    got = {(r["class"], r["other"]) for r in items.similar_classes(df, ["meeting_id"]).collect()}
+    assert got == {(a, b) for a in texts for b in texts if a == b or token_set_ratio(a, b) >= 90}
