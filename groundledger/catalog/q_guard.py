@@ -7,6 +7,7 @@ from ..functions import text as T
 from ..operators import guard as G, lexicon
 from ..operators.ordered import settle
 from .q_features import KEY, count_sql, has_sql, modal_sql, numbers_sql
+from .oracle_views import lit
 from .registry import query
 
 _EARLY = f"""CASE WHEN e.confidence < 0.7 THEN 'low_confidence' WHEN s.text IS NULL OR e.original = '' OR NOT contains(s.text, e.original) THEN 'not_found'
@@ -106,7 +107,29 @@ def ag4_all(t):
     return checked(t).where(F.col("reject_reason").isNotNull()).groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("sf11_symbols")
+def _symbol_hit(pattern: str) -> str:
+    """First match of a rule; DuckDB can't look ahead, so the rule that must not meet "of" takes the first match of those left."""
+    plain, ahead = pattern.replace(r"(?!of\b)", ""), r"(?!of\b)" in pattern
+    if not ahead:
+        return f"regexp_extract(t, {lit('(?i)' + plain)}, 0)"
+    return f"coalesce(list_filter(regexp_extract_all(t, {lit('(?i)' + plain)}), lambda x: NOT regexp_matches(x, {lit('(?i)^' + C.SPOKEN_AT + ' of' + chr(92) + 'b')}))[1], '')"
+
+
+def _symbol_written(k: int, pattern: str, written: str) -> str:
+    into = written.replace("$", chr(92))
+    return f"regexp_replace(h{k}, {lit('(?i)' + pattern.replace('(?!of' + chr(92) + 'b)', ''))}, {lit(into)})"
+
+
+_HITS = ", ".join(f"{_symbol_hit(p)} AS h{k}" for k, (p, _, _) in enumerate(C.SYMBOL_RULES))
+_FIRST = lambda what: "CASE " + " ".join(f"WHEN h{k} <> '' THEN {what(k, *r)}" for k, r in enumerate(C.SYMBOL_RULES)) + " END"
+SYMBOLS = {"v_fold": f"""SELECT doc_id, 0 AS pass, 'see user underscore id at ' || text AS t, '' AS original, '' AS replacement, '' AS rationale FROM documents
+    WHERE text IS NOT NULL UNION ALL SELECT doc_id, pass + 1, substr(t, 1, strpos(t, hit) - 1) || written || substr(t, strpos(t, hit) + length(hit)), hit, written, why FROM (
+    SELECT *, {_FIRST(lambda k, p, r, why: f'h{k}')} AS hit, {_FIRST(lambda k, p, r, why: _symbol_written(k, p, r))} AS written,
+      {_FIRST(lambda k, p, r, why: lit(why))} AS why FROM (SELECT doc_id, pass, t, {_HITS} FROM v_fold WHERE pass < {C.SYMBOL_PASSES}))
+    WHERE hit IS NOT NULL"""}
+
+
+@query("sf11_symbols", "SELECT doc_id, original, replacement, rationale FROM v_fold WHERE pass > 0", SYMBOLS)
 def sf11(t):
     d = t.given("documents").select("doc_id", F.concat(F.lit("see user underscore id at "), "text").alias("text"))
     edits = d.select("doc_id", F.explode(G.symbol_edits(F.col("text"))).alias("e"))

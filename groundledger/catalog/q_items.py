@@ -7,6 +7,8 @@ from ..functions import text as T
 from ..operators import items as I, verify as V
 from ..operators.ordered import settle
 from .q_features import KEY, agree_sql, has_sql
+from .oracle_views import lit
+from .q_ordered import CHUNKS, MEMBERS
 from .registry import query
 
 
@@ -30,13 +32,23 @@ def jb7(t):
     return c.groupBy("meeting_id", F.array_join("kinds", "/").alias("kinds")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("sf26_checklist")
+_CHECK = """{head} || string_agg('- [' || replace(c.ids, '|', ', ') || '] looks like: ' || replace(c.kinds, '|', ' / '), chr(10) ORDER BY s.ord)""".format(head=lit(C.CHECKLIST_HEAD))
+
+
+@query("sf26_checklist", f"""SELECT s.meeting_id, s.ord // 4 AS part, {_CHECK} AS checklist FROM v_cand c JOIN v_segments s USING (meeting_id, seg_id)
+    GROUP BY s.meeting_id, s.ord // 4""", CAND)
 def sf26(t):
     c = I.find_candidates(V.line_context(t.segments)).withColumn("part", F.floor(F.col("ord") / 4))
     return I.checklist(c, ["meeting_id", "part"])
 
 
-@query("jb8_prompt_batches")
+_BATCH = {**CHUNKS, **CAND, "v_members": f"SELECT m.*, s.ord, s.speaker, s.text FROM ({MEMBERS}) m JOIN v_segments s USING (meeting_id, seg_id)",
+          "v_checks": f"SELECT s.meeting_id, s.chunk_no, {_CHECK} AS checklist FROM v_members s JOIN v_cand c USING (meeting_id, seg_id) GROUP BY s.meeting_id, s.chunk_no"}
+
+
+@query("jb8_prompt_batches", """SELECT meeting_id, chunk_no, CAST(count(*) AS INTEGER) AS n_lines, 'TRANSCRIPT' || chr(10)
+    || string_agg('[' || seg_id || '] (' || speaker || ') ' || text, chr(10) ORDER BY ord) || coalesce(any_value(checklist), '') AS prompt
+    FROM v_members LEFT JOIN v_checks USING (meeting_id, chunk_no) GROUP BY meeting_id, chunk_no""", _BATCH)
 def jb8(t):
     return I.prompt_batches(t.segments, 60)
 
@@ -114,7 +126,7 @@ def tk2(t):
     return I.pick_summary(t.sentences, picks, 3).select("meeting_id", "pos")
 
 
-_X = {"v_x": "SELECT s.* FROM v_sentences s WHERE NOT (meeting_id % 3 = 0 AND section = 'minutes') AND NOT (meeting_id % 3 = 1 AND section = 'summary')",
+_X = {"v_x": "SELECT s.* REPLACE (CASE meeting_id % 3 WHEN 0 THEN 'summary' WHEN 1 THEN 'minutes' ELSE section END AS section) FROM v_sentences s",
       "v_h": "SELECT meeting_id, bool_or(section = 'summary') AS s, bool_or(section = 'minutes') AS m FROM v_x GROUP BY meeting_id"}
 
 
@@ -123,8 +135,8 @@ _X = {"v_x": "SELECT s.* FROM v_sentences s WHERE NOT (meeting_id % 3 = 0 AND se
     SELECT meeting_id, 'summary', '', pos FROM v_x JOIN v_h USING (meeting_id) WHERE m AND NOT s AND len(evidence_ids) > 0
     QUALIFY row_number() OVER (PARTITION BY meeting_id ORDER BY pos) <= 5""", _X)
 def tk3(t):
-    m, s = F.col("meeting_id") % 3, F.col("section")
-    rows = t.sentences.where(~((m == 0) & (s == "minutes")) & ~((m == 1) & (s == "summary")))
+    m = F.col("meeting_id") % 3
+    rows = t.sentences.withColumn("section", F.when(m == 0, "summary").when(m == 1, "minutes").otherwise(F.col("section")))
     return I.cross_populate(rows).select("meeting_id", "section", "topic", "pos")
 
 

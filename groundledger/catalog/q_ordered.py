@@ -275,9 +275,12 @@ CHUNKS = {"v_cost": "SELECT *, greatest(1, length('[' || seg_id || '] (' || spea
     row_number() OVER (PARTITION BY meeting_id, head ORDER BY ord) AS i FROM v_chunk"""}
 
 
-@query("wn13_token_chunks", """SELECT meeting_id, chunk_no, seg_id, false AS overlap FROM v_numbered UNION ALL
+MEMBERS = """SELECT meeting_id, chunk_no, seg_id, false AS overlap FROM v_numbered UNION ALL
     SELECT a.meeting_id, a.chunk_no + 1, a.seg_id, true FROM v_numbered a WHERE a.i > a.n - greatest(1, a.n // 10)
-    AND EXISTS (SELECT 1 FROM v_numbered b WHERE b.meeting_id = a.meeting_id AND b.chunk_no = a.chunk_no + 1)""", CHUNKS)
+    AND EXISTS (SELECT 1 FROM v_numbered b WHERE b.meeting_id = a.meeting_id AND b.chunk_no = a.chunk_no + 1)"""
+
+
+@query("wn13_token_chunks", MEMBERS, CHUNKS)
 def wn13(t):
     return windows.token_chunks(t.segments, 60).select("meeting_id", "chunk_no", "seg_id", "overlap")
 
@@ -313,11 +316,10 @@ def jb2(t):
 
 
 def second_reading(t):
-    """A second recogniser that hears some words differently, drops some and adds some."""
+    """A second recogniser that hears some words differently, some as fillers, and adds some."""
     i = F.col("word_idx")
-    w = stt_words(t).where(i % 11 != 5)
-    said = F.when(i % 9 == 2, F.concat("w", F.lit("s"))).when(i % 13 == 4, F.concat(F.lit("really "), F.col("w"))).otherwise(F.col("w"))
-    return w.select("meeting_id", i.alias("other_idx"), "start_ms", "end_ms", F.explode(F.split(said, " ")).alias("w"))
+    said = F.when(i % 11 == 5, "uh").when(i % 9 == 2, F.concat("w", F.lit("s"))).when(i % 13 == 4, F.concat(F.lit("really "), F.col("w"))).otherwise(F.col("w"))
+    return stt_words(t).select("meeting_id", i.alias("other_idx"), "start_ms", "end_ms", F.explode(F.split(said, " ")).alias("w"))
 
 
 @query("jn13_cross_check")
