@@ -150,7 +150,7 @@ class Memo:
             if Memo.latest is not None:
                 Memo.latest.forget()
             Memo.latest = self
-        keys = set(keys)
+        keys = keys if isinstance(keys, set) else set(keys)
         new = keys.difference(self.known)
         if len(self.known) + len(new) > self.most:
             self.known.clear()

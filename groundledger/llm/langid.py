@@ -263,7 +263,7 @@ class _Texts:
 
     def __call__(self, texts: list) -> list:
         cut = [(t or b"").split() for t in texts]
-        self.memo.know(w for ws in cut for w in ws)
+        self.memo.know(set().union(*cut))
         names, scores, surprises = [], [], []
         for ws in cut:
             total = self.rows[list(map(self.memo.known.__getitem__, ws))].sum(0) if ws else self.rows[:0].sum(0)

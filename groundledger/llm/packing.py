@@ -155,7 +155,7 @@ class Packer:
 
 @lru_cache(2)
 def _memo(path: str) -> Memo:
-    return Memo(word_ids(path), most=250_000)
+    return Memo(word_ids(path), most=350_000)
 
 
 def pack(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 4096, grain: int = 4096, block: int = 128,
@@ -188,7 +188,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 4096, grai
         for batch in batches:
             for part in strips(batch, 1):
                 words = [(t or b"").split() for t in part.column(1).cast(pa.binary()).to_pylist()]
-                memo.know(w for ws in words for w in ws)
+                memo.know(set().union(*words))
                 for key, ws in zip(part.column(0).to_pylist(), words):
                     ids = b"".join(map(memo.known.__getitem__, ws)) + end
                     held[seen] = (key, ids)

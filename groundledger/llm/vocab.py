@@ -34,8 +34,7 @@ def word_ids(path: str) -> Callable[[list[bytes]], list[bytes]]:
 
     tok = load(path)
     tokenize, symbols = tok.model.tokenize, ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-    # no blank is inside of an added token, so a word holds all of it
-    added = regex.compile("|".join(sorted((regex.escape(t.content.lower()) for t in tok.get_added_tokens_decoder().values()), key=len, reverse=True)) or "(?!)")
+    added = [t.content.lower() for t in tok.get_added_tokens_decoder().values()]  # none has a blank, so a word holds all of it
     short: dict[str, bytes] = {}
     packed = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
@@ -62,7 +61,7 @@ def word_ids(path: str) -> Callable[[list[bytes]], list[bytes]]:
                 out[i] = ids_of(s)
             elif s[:-1].isalpha() and s[-1] in ".,;:!?":
                 out[i] = ids_of(s[:-1]) + ids_of(s[-1])
-            elif s.isprintable() and not added.search(s):
+            elif s.isprintable() and not any(t in s for t in added):
                 out[i] = b"".join(map(ids_of, PRE_TOKEN.findall(s)))
             else:
                 rest.append((i, whole))
