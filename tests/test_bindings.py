@@ -8,7 +8,7 @@ import pytest
 from groundledger import catalog
 
 
-@pytest.mark.parametrize("name", ["jn24_error_messages"])
+@pytest.mark.parametrize("name", ["src8_manifest", "jn24_error_messages"])
 def test_sizes_of_long_pages_pass_two_gigabytes(spark, tmp_path, name):
     rows = [(i, "https://example.com/a", "x" * n) for i, n in enumerate([1, 10, 71_583, 71_582, 200_000, 6_990, 8_000, 101_528, 0, 9_000, 72_000])]
     spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
