@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import constants as C
@@ -132,35 +133,61 @@ def ends_sentence(word: Column) -> Column:
 
 
 def _segment_step(rows: dict):
-    start, end, hard, soft = (rows[c].tolist() for c in ("start_ms", "end_ms", "_hard", "_soft"))
-    n, longest, most, few = len(start), C.MAX_SEGMENT_MS, C.MAX_SEGMENT_WORDS, C.SOFT_SEGMENT_WORDS
-
-    def step(i: int) -> int:
-        limit = start[i] + longest
-        for j in range(i + 1, min(n, i + most)):
-            if hard[j] or end[j] > limit or (soft[j] and j - i >= few):
-                return j
-        return min(n, i + most)
-
-    return step
+    start, end = rows["start_ms"], rows["end_ms"]
+    n, most, few = len(start), C.MAX_SEGMENT_WORDS, C.SOFT_SEGMENT_WORDS
+    at = np.arange(n)
+
+    def first_from(marked, begin):
+        """Per row, the first marked row at or after row ``begin``; n if there is none."""
+        found = np.append(np.minimum.accumulate(np.where(marked, at, n)[::-1])[::-1], n)
+        return found[np.minimum(begin, n)]
+
+    limit = start + C.MAX_SEGMENT_MS
+    known = np.where(np.isnan(end), -np.inf, end) if end.dtype.kind == "f" else end
+    reached = np.maximum.accumulate(known)
+    late = np.searchsorted(reached, limit, side="right")
+    nexts = np.minimum.reduce([
+        first_from(rows["_hard"].astype(bool), at + 1), first_from(rows["_soft"].astype(bool), at + few), np.minimum(at + most, n)])
+    # Where an earlier word, or the line's first, ends past the limit already, the words are looked at one by one.
+    for i in np.flatnonzero(late <= at):
+        over = np.flatnonzero(known[i + 1:nexts[i]] > limit[i])
+        late[i] = i + 1 + over[0] if len(over) else n
+    return np.minimum(nexts, late).tolist().__getitem__
+
+
+def _differs(a):
+    """Whether each value differs from the one before it; the first does."""
+    same = a[1:] == a[:-1]
+    if a.dtype.kind == "f":
+        same |= np.isnan(a[1:]) & np.isnan(a[:-1])
+    return np.append(True, ~same.astype(bool))[:len(a)]
+
+
+def _line_step(rows: dict):
+    """Steps from words; a cut never looks at the first row of a chunk, so none needs the row before it."""
+    if "_ms" in rows:
+        rows = {**rows, "end_ms": rows["start_ms"] + rows["_ms"]}
+    before = lambda x, first: np.append([first], x[:-1])
+    ended = before(rows["_ends"].astype(bool), False)
+    near = rows["start_ms"][1:] - rows["end_ms"][:-1] <= C.PAUSE_MS
+    hard = _differs(rows["speaker"]) | np.append(True, ~near) | (ended & _differs(rows["stt_seg"]))
+    return _segment_step({**rows, "_hard": hard, "_soft": ended})
 
 
 def cut_segments(words: DataFrame) -> DataFrame:
     """Adds ``head``, the index of the first word of each transcript line."""
-    lagged = with_neighbours(
-        words, KEYS, "word_idx", 1, 0,
-        lambda w: {"_pe": F.lag("end_ms").over(w), "_ps": F.lag("speaker").over(w), "_pw": F.lag("w").over(w),
-                   "_pg": F.lag("stt_seg").over(w)},
-        size=WORD_CHUNK,
-    )
-    ended = F.coalesce(ends_sentence(F.col("_pw")), F.lit(False))
-    hard = (
-        ~F.col("_ps").eqNullSafe(F.col("speaker"))
-        | F.coalesce(F.col("start_ms") - F.col("_pe") > C.PAUSE_MS, F.lit(True))
-        | (ended & ~F.col("_pg").eqNullSafe(F.col("stt_seg")))
-    )
-    marked = lagged.withColumn("_hard", hard).withColumn("_soft", ended).drop("_pe", "_ps", "_pw", "_pg")
-    return cut_pieces(marked, KEYS, "word_idx", _segment_step, C.MAX_SEGMENT_WORDS, WORD_CHUNK).drop("_hard", "_soft")
+    marked = words.withColumn("_ends", F.coalesce(ends_sentence(F.col("w")), F.lit(False)))
+    return cut_pieces(marked, KEYS, "word_idx", _line_step, C.MAX_SEGMENT_WORDS, WORD_CHUNK).drop("_ends")
+
+
+def line_heads(words: DataFrame) -> DataFrame:
+    """``meeting_id``, ``word_idx``, ``end_ms`` and ``head`` as in ``cut_segments``; the words themselves stay where they are."""
+    # Lengths repeat where ends never do, so they shuffle in fewer bytes.
+    marked = words.select(
+        "meeting_id", "word_idx", "start_ms", (F.col("end_ms") - F.col("start_ms")).alias("_ms"), "speaker", "stt_seg",
+        F.coalesce(ends_sentence(F.col("w")), F.lit(False)).alias("_ends"))
+    cut = cut_pieces(marked, KEYS, "word_idx", _line_step, C.MAX_SEGMENT_WORDS, WORD_CHUNK, keep=["meeting_id", "word_idx", "start_ms", "_ms"])
+    return cut.select("meeting_id", "word_idx", (F.col("start_ms") + F.col("_ms")).alias("end_ms"), "head")
 
 
 def number_segments(lines: DataFrame) -> DataFrame:

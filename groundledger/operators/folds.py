@@ -15,9 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .ordered import chunk_of
+from .ordered import chunk_of, settle
 
 SUPER = 256
+#: Long keys that are sent to every task; more are joined.
+FEW_KEYS = 1_000_000
 ARRAY = ArrayType(IntegerType())
 Columns = dict[str, np.ndarray]
 
@@ -60,12 +62,16 @@ def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[t
 def entry_rows(
     df: DataFrame, rows: DataFrame, keys: list[str], position: str, make_step: Callable[[Columns], Callable[[int], int]],
     reach: int, size: int,
-) -> DataFrame:
-    """Where each later chunk of a long key is entered: ``(keys, _chunk, _entry, _open)``.
+) -> DataFrame | None:
+    """Where each later chunk of a long key is entered: ``(keys, _chunk, _entry, _open)``; None without a long key.
 
-    Only keys of more than one chunk take part; when there is none, the plan below runs on no rows.
+    Only keys of more than one chunk take part, which are fewer than one in ``size`` rows.
     """
-    longer = df.groupBy(*keys).agg(F.max(position).alias("_max")).where(F.col("_max") >= size).select(*keys)
+    longer = settle(df.groupBy(*keys).agg(F.max(position).alias("_max")).where(F.col("_max") >= size).select(*keys))
+    n = longer.count()
+    if not n:
+        return None
+    longer = F.broadcast(longer) if n <= FEW_KEYS else longer
     key_fields = [df.schema[k] for k in keys]
     longs = lambda *names: [StructField(n, LongType()) for n in names]
     map_schema = StructType(key_fields + longs("_chunk", "_super")).add("exits", ARRAY).add("lasts", ARRAY)
@@ -119,9 +125,9 @@ def entry_rows(
 
 def cut_pieces(
     df: DataFrame, keys: list[str], position: str, make_step: Callable[[Columns], Callable[[int], int]],
-    reach: int, size: int = 16384, name: str = "head",
+    reach: int, size: int = 16384, name: str = "head", keep: list[str] | None = None,
 ) -> DataFrame:
-    """Adds ``name``: the position of the first row of each row's piece.
+    """Adds ``name``: the position of the first row of each row's piece (to the columns ``keep``, if given).
 
     ``position`` is dense and 0-based per key.  ``make_step(columns)`` gets the rows of a chunk as arrays and
     returns a function giving, for a piece that starts at row i, the row where the next piece starts (the
@@ -136,12 +142,14 @@ def cut_pieces(
     entries = entry_rows(df, rows, keys, position, make_step, reach, size)
 
     # An entry travels as one extra row that sorts before the rows of its chunk; one shuffle serves both.
-    marks = entries.withColumn(position, F.lit(-1).cast(df.schema[position].dataType))
     group = [*keys, "_chunk"]
-    both = rows.withColumn("_entry", F.lit(None).cast("long")).withColumn("_open", F.lit(None).cast("long")).unionByName(
-        marks, allowMissingColumns=True)
-    out_schema = StructType([*[StructField(f.name, f.dataType, True) for f in df.schema.fields], StructField(name, LongType())])
-    columns = df.columns
+    both = rows
+    if entries is not None:
+        marks = entries.withColumn(position, F.lit(-1).cast(df.schema[position].dataType))
+        both = rows.withColumn("_entry", F.lit(None).cast("long")).withColumn("_open", F.lit(None).cast("long")).unionByName(
+            marks, allowMissingColumns=True)
+    columns = keep or df.columns
+    out_schema = StructType([*[StructField(c, df.schema[c].dataType, True) for c in columns], StructField(name, LongType())])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf, starts in whole_groups(batches, group):
@@ -163,9 +171,9 @@ def cut_pieces(
                     j = step(i)
                     head[a + i:a + min(j, own)] = at[a + i]
                     i = j
-            keep = head != -2
-            out = pdf.loc[keep, columns].copy()
-            out[name] = head[keep]
+            own_rows = head != -2
+            out = pdf.loc[own_rows, columns].copy()
+            out[name] = head[own_rows]
             yield out
 
     return both.repartition(*group).sortWithinPartitions(*group, position).mapInPandas(cut, out_schema)

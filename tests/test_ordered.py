@@ -140,3 +140,31 @@ def test_a_piece_longer_than_its_reach_is_an_error(spark):
     df = spark.range(300).select(F.lit(1).alias("meeting_id"), F.col("id").alias("word_idx"))
     with pytest.raises(Exception, match="more than 8 rows"):
         folds.cut_pieces(df, ["meeting_id"], "word_idx", lambda c: lambda i: min(i + 20, len(c["word_idx"])), 8, 64).collect()
+
+
+def test_line_heads_equal_a_plain_loop(spark, monkeypatch):
+    monkeypatch.setattr(assemble, "WORD_CHUNK", 70)
+    rng, data, want = random.Random(3), [], {}
+    for m, n in ((1, 900), (2, 150), (3, 1)):
+        t, head, before = 0, 0, None
+        for i in range(n):
+            t += rng.choice([200, 300, 300, 1200, 900]) if rng.random() < 0.2 else 250
+            end = t + (40_000 if rng.random() < 0.01 else rng.choice([180, 700]))
+            w = (m, i, i // 9 if i % 50 else None, rng.choice(["so", "it", "ends.", "Dr."]), t, end, rng.choice(["A", None]) if rng.random() < 0.05 else "A")
+            data.append(w)
+            if before is not None:
+                ended = before[3] == "ends."
+                if (before[6] != w[6] or w[4] - before[5] > C.PAUSE_MS or w[5] - data[-1 - (i - head)][4] > C.MAX_SEGMENT_MS or i - head >= C.MAX_SEGMENT_WORDS
+                        or (ended and (before[2] != w[2] or i - head >= C.SOFT_SEGMENT_WORDS))):
+                    head = i
+            want[m, i], before = (end, head), w
+    df = spark.createDataFrame(data, "meeting_id long, word_idx long, stt_seg long, w string, start_ms long, end_ms long, speaker string").repartition(5)
+    assert {(r.meeting_id, r.word_idx): (r.end_ms, r.head) for r in assemble.line_heads(df).collect()} == want
+    assert {(r.meeting_id, r.word_idx): (r.end_ms, r.head) for r in assemble.cut_segments(df).collect()} == want
+
+
+def test_lines_of_a_monologue_shuffle_their_words_once(spark):
+    from groundledger import catalog
+
+    plan = catalog.queries()["wn10_monologue_cut"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Window" not in plan
