@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import constants as C
 from ..functions import text as T
+from ..operators.ordered import settle
 
 WORD = "struct<w:string,start_ms:bigint,end_ms:bigint,conf:double,disputed:boolean,alt:string>"
 SEGMENT = f"meeting_id bigint, seg_id string, ord bigint, start_ms bigint, end_ms bigint, speaker string, text string, words array<{WORD}>"
@@ -64,13 +65,16 @@ def provider_turns(answers: DataFrame, column: str) -> DataFrame:
 
 def ingest_answers(raw: DataFrame, column: str, schema: str, list_field: str = "edits") -> tuple[DataFrame, DataFrame]:
     """``(typed rows, quarantine)`` from raw model answers: think blocks, fences and chatter are stripped."""
-    body = T.extract_json(F.col(column))
     typed = ", ".join(f"{p.split()[0]}: {' '.join(p.split()[1:])}" for p in schema.split(", "))
-    parsed = raw.withColumn("_body", body).withColumn(
-        "_p", F.from_json("_body", f"struct<{list_field}: array<struct<{typed}>>, _corrupt: string>", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    # Answers are dealt anew, as few bytes of them may be much work; exploding a list of one keeps each step from running again
+    # wherever its result is used.
+    once = lambda x, name: F.explode(F.array(x)).alias(name)
+    dealt = raw.repartition(max(raw.sparkSession.sparkContext.defaultParallelism, int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    parsed = dealt.select("*", once(T.extract_json(F.col(column)), "_body")).select("*", once(
+        F.from_json("_body", f"struct<{list_field}: array<struct<{typed}>>, _corrupt: string>", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}), "_p"))
     reason = F.when(F.col("_body").isNull(), "no JSON object found").when(
         F.col("_p._corrupt").isNotNull() | F.col("_p").isNull(), "invalid JSON")
-    marked = parsed.withColumn("reason", reason)
+    marked = settle(parsed.withColumn("reason", reason))
     good = marked.where(F.col("reason").isNull()).select(*[c for c in raw.columns if c != column], F.posexplode(f"_p.{list_field}").alias("i", "x"))
     return good.select("*", "x.*").drop("x"), marked.where(F.col("reason").isNotNull()).select(*raw.columns, "reason")
 

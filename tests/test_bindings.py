@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from groundledger import catalog
+from groundledger.sources import readers
 
 
 @pytest.mark.parametrize("name", ["src8_manifest", "jn24_error_messages"])
@@ -17,3 +18,15 @@ def test_sizes_of_long_pages_pass_two_gigabytes(spark, tmp_path, name):
     rel = con.sql(catalog.oracles()[name])
     got = catalog.queries()[name](spark, str(tmp_path)).select(*rel.columns).collect()
     assert sorted(map(tuple, got)) == sorted(rel.fetchall())
+
+
+def test_model_answers_are_read_once(spark):
+    edit = '{"segment_id": "S001", "original": "a", "replacement": "b", "category": "c", "rationale": "", "confidence": 0.5}'
+    raw = spark.createDataFrame(
+        [(1, "<think>{no}</think> ```json\n{\"edits\": [" + edit + "]}\n```"), (2, "sorry"), (3, "{\"edits\": [oops]}"), (4, None),
+         (5, "Here: {\"edits\": []} Done.")], "id long, answer string")
+    good, bad = readers.ingest_answers(raw, "answer", readers.EDIT)
+    assert [(r.id, r.i, r.original, r.confidence) for r in good.collect()] == [(1, 0, "a", 0.5)]
+    assert sorted((r.id, r.reason) for r in bad.collect()) == [(2, "no JSON object found"), (3, "invalid JSON"), (4, "no JSON object found")]
+    plans = "".join(df._jdf.queryExecution().optimizedPlan().toString().lower() for df in (good, bad))
+    assert "regexp" not in plans and "from_json" not in plans
