@@ -12,7 +12,7 @@ WIDX = {"v_widx": "SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY
 
 
 def stt_words(t):
-    return ordered.settle(A.flatten_words(t.segments_words.withColumnRenamed("ord", "stt_seg")))
+    return ordered.settle(t.placed_words)
 
 
 def voiced(t):
@@ -83,7 +83,8 @@ def jn20w(t):
 
 @query("src2_explode_words", "SELECT meeting_id, ord AS stt_seg, word_idx, w, start_ms, end_ms, conf FROM v_widx", WIDX)
 def src2(t):
-    return stt_words(t).select("meeting_id", "stt_seg", "word_idx", "w", "start_ms", "end_ms", "conf")
+    words = A.flatten_words(t.segments_words.withColumnRenamed("ord", "stt_seg"))
+    return words.select("meeting_id", "stt_seg", "word_idx", "w", "start_ms", "end_ms", "conf")
 
 
 @query("wn1_relabel", "SELECT meeting_id, label, speaker FROM v_labels")

@@ -8,19 +8,24 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import constants as C
 from .folds import cut_pieces
 from .intervals import forward_asof, overlap_pairs
-from .ordered import carry_in, chunk_of, dense_order, running_max, settle, with_neighbours
+from .ordered import carry_in, chunk_of, dense_order, running_max, running_sum, settle, with_neighbours
 
 KEYS = ["meeting_id"]
 WORD_CHUNK = 16384
 
 
+def place_words(stt_segments: DataFrame, n_words: Column) -> DataFrame:
+    """Adds ``first_idx``, the 0-based index per meeting of each segment's first word; no word is shuffled or sorted."""
+    upto = running_sum(stt_segments, KEYS, ["stt_seg"], chunk_of("stt_seg", 512), n_words.cast("long"), "_upto")
+    return upto.withColumn("first_idx", F.col("_upto") - n_words).drop("_upto")
+
+
 def flatten_words(stt_segments: DataFrame) -> DataFrame:
-    """Nested recogniser segments to words with a 0-based global index per meeting."""
-    flat = stt_segments.select("meeting_id", "stt_seg", F.posexplode("words").alias("pos", "word")).select(
-        "meeting_id", "stt_seg", F.col("pos").cast("long").alias("pos"), "word.*"
-    )
-    numbered = dense_order(flat, KEYS, ["stt_seg", "pos"], chunk_of("stt_seg", 512), "word_idx")
-    return numbered.withColumn("word_idx", F.col("word_idx") - 1)
+    """Nested recogniser segments to words with a 0-based global index per meeting; segments may be placed already."""
+    if "first_idx" not in stt_segments.columns:
+        stt_segments = place_words(stt_segments, F.greatest(F.coalesce(F.size("words"), F.lit(0)), F.lit(0)))
+    return stt_segments.select("meeting_id", "stt_seg", "first_idx", F.posexplode("words").alias("pos", "word")).select(
+        "meeting_id", "stt_seg", F.col("pos").cast("long").alias("pos"), "word.*", (F.col("first_idx") + F.col("pos")).alias("word_idx"))
 
 
 def apply_updates(words: DataFrame, updates: DataFrame) -> DataFrame:

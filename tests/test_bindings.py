@@ -6,8 +6,12 @@ import duckdb
 import pytest
 
 from groundledger import catalog
+from groundledger.catalog.bindings import Tables
+from groundledger.operators import assemble
 from groundledger.sources import readers
 
+from conftest import SF
+
 
 @pytest.mark.parametrize("name", ["src8_manifest", "jn24_error_messages"])
 def test_sizes_of_long_pages_pass_two_gigabytes(spark, tmp_path, name):
@@ -30,3 +34,21 @@ def test_model_answers_are_read_once(spark):
     assert sorted((r.id, r.reason) for r in bad.collect()) == [(2, "no JSON object found"), (3, "invalid JSON"), (4, "no JSON object found")]
     plans = "".join(df._jdf.queryExecution().optimizedPlan().toString().lower() for df in (good, bad))
     assert "regexp" not in plans and "from_json" not in plans
+
+
+def test_lines_are_derived_once(spark):
+    t = Tables(spark, SF)
+    placed = t.placed_words
+    for df in (placed, t.words, t.turns, t.segments_words):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "conversations" not in plan and "regexp" not in plan.lower()
+    nested = assemble.flatten_words(t.segments_words.withColumnRenamed("ord", "stt_seg"))
+    assert sorted(map(str, placed.collect())) == sorted(map(str, nested.select(*placed.columns).collect()))
+
+
+def test_words_are_numbered_past_segments_without_words(spark):
+    word = "struct<w:string,start_ms:bigint>"
+    rows = [(1, 600, [("d", 9)]), (1, 0, [("a", 0), ("b", 1)]), (1, 3, []), (1, 4, None), (1, 5, [("c", 5)]), (2, 1, [("x", 0)])]
+    df = spark.createDataFrame(rows, f"meeting_id long, stt_seg long, words array<{word}>")
+    got = assemble.flatten_words(df).orderBy("meeting_id", "word_idx").collect()
+    assert [(r.meeting_id, r.w, r.pos, r.word_idx) for r in got] == [(1, "a", 0, 0), (1, "b", 1, 1), (1, "c", 0, 2), (1, "d", 0, 3), (2, "x", 0, 0)]
