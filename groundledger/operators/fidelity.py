@@ -14,9 +14,11 @@ def preserved(raw: DataFrame, refined: DataFrame) -> DataFrame:
     f = refined.select("meeting_id", "seg_id", F.col("text").alias("_after"))
     rows = raw.select("meeting_id", "seg_id", "text").join(f, ["meeting_id", "seg_id"], "left")
     after = F.coalesce("_after", "text")
+    # Most lines are as they were, which says that nothing in them has changed.
+    same = lambda of: F.when(F.col("text") == after, True).otherwise(of(F.col("text")) == of(after))
     rows = rows.select(
-        "meeting_id", T.number_count(F.col("text")).alias("_n"), (T.numbers(F.col("text")) == T.numbers(after)).alias("_ns"),
-        T.negation_count(F.col("text")).alias("_g"), (T.negation_count(F.col("text")) == T.negation_count(after)).alias("_gs"),
+        "meeting_id", T.number_count(F.col("text")).alias("_n"), same(T.numbers).alias("_ns"),
+        T.negation_count(F.col("text")).alias("_g"), same(T.negation_count).alias("_gs"),
     )
     kept = lambda n, same: F.sum(F.when(F.col(same), F.col(n)).otherwise(0)).cast("long")
     return rows.groupBy(*KEYS).agg(
