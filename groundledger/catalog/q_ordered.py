@@ -12,7 +12,7 @@ WIDX = {"v_widx": "SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY
 
 
 def stt_words(t):
-    return ordered.settle(t.placed_words)
+    return t.settled_words
 
 
 def voiced(t):
@@ -332,7 +332,8 @@ def jn13(t):
 def jb3(t):
     w, second = stt_words(t), second_reading(t)
     spans = R.flag_risky_spans(t.segments.withColumnRenamed("ord", "stt_seg"), w, "seed")
-    return R.span_report(w, spans, second, R.cross_check(w, spans, second))
+    rows = R.readings(w, spans, second)
+    return R.span_report(w, spans, second, R.cross_check(w, spans, second, rows=rows), rows)
 
 
 @query("ag19_duration", "SELECT meeting_id, max(end_ms) AS duration_ms, count(*) FILTER (disputed) AS disputed_words FROM v_words GROUP BY meeting_id")
