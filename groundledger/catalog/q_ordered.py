@@ -192,14 +192,14 @@ _PIECES = {"v_pieces": """SELECT meeting_id, word_idx, w || CASE WHEN word_idx %
     ELSE w || CASE WHEN word_idx % 7 = 0 THEN '2' ELSE '' END END AS w FROM v_widx""", **WIDX}
 
 
-def pieces(t):
+def pieces(words):
     i = F.col("word_idx")
     w = (
         F.when((i % 7).isin(1, 2), F.concat(F.lit(","), (i % 10).cast("string"), F.lit("5")))
         .when(i % 7 == 3, "%").when(i % 7 == 5, "-air")
         .otherwise(F.concat("w", F.when(i % 7 == 0, "2").otherwise("")))
     )
-    return stt_words(t).withColumn("w", w)
+    return words.withColumn("w", w)
 
 
 @query("wn9_glue_pieces", """SELECT meeting_id, head AS first_idx, string_agg(w, '' ORDER BY word_idx) AS w, min(start_ms) AS start_ms,
@@ -209,7 +209,7 @@ def pieces(t):
       OR (w[1] = '%' AND regexp_matches(prev, '\\d$')), false) AS glue FROM
       (SELECT *, lag(w) OVER (PARTITION BY meeting_id ORDER BY word_idx) AS prev FROM v_pieces))) GROUP BY meeting_id, head""", _PIECES)
 def wn9(t):
-    w = pieces(t).withColumn("first_idx", F.col("word_idx"))
+    w = pieces(stt_words(t)).withColumn("first_idx", F.col("word_idx"))
     return A.glue_pieces(w).select("meeting_id", "first_idx", "w", "start_ms", "end_ms", "conf", "disputed")
 
 
@@ -304,7 +304,7 @@ def wn21(t):
 
 @query("jb1_assemble")
 def jb1(t):
-    w = pieces(t)
+    w = pieces(t.placed_words)
     u = w.where(F.col("word_idx") % 5 == 0).select(
         "meeting_id", "word_idx", F.lit(0.95).alias("conf"), F.lit(True).alias("disputed"), F.lit("x").alias("alt")
     )

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .. import constants as C
+from . import whole
 from .folds import cut_pieces
 from .intervals import forward_asof, overlap_pairs
 from .ordered import carry_in, chunk_of, dense_order, running_max, running_sum, settle, with_neighbours
 
 KEYS = ["meeting_id"]
 WORD_CHUNK = 16384
+#: Words (turns, patches) up to which a meeting goes through all steps in one call; no result depends on it.
+WHOLE = 1 << 17
 
 
 def place_words(stt_segments: DataFrame, n_words: Column) -> DataFrame:
@@ -95,6 +99,22 @@ def fill_missing_speakers(words: DataFrame) -> DataFrame:
     return b.withColumn("speaker", F.coalesce("speaker", chained, following)).select(*words.columns)
 
 
+def _fields(df: DataFrame, names: list[str], *more: StructField) -> StructType:
+    return StructType([*[StructField(n, df.schema[n].dataType) for n in names], *more])
+
+
+def _spoken(laid: DataFrame) -> DataFrame:
+    """Laid words with their speaker, still in order."""
+    return whole.run(laid, whole.speak, _fields(laid, [c for c in laid.columns if c != "_kind"]))
+
+
+def speak(words: DataFrame, turns: DataFrame) -> DataFrame:
+    """Words with the speaker of their turn or, between turns, of the words around them."""
+    short, long = whole.by_length(words, [turns], WHOLE)
+    out = _spoken(whole.lay(*short))
+    return out if long is None else out.unionByName(fill_missing_speakers(settle(assign_speakers(*long, ["word_idx"]))).select(*out.columns))
+
+
 def _glues(prev: Column, piece: Column) -> Column:
     last = F.substring(prev, -1, 1)
     digit = last.rlike(r"(?U)^\d$")
@@ -133,6 +153,15 @@ def glue_pieces(words: DataFrame) -> DataFrame:
     ).select(*words.columns)
 
 
+def _meets(words: DataFrame) -> DataFrame:
+    """Trimmed words with what ``_glues`` asks of either side: a piece meets the word before it if the two share a bit."""
+    w, last = F.trim("w"), F.substring(F.trim("w"), -1, 1)
+    bits = lambda *tests: sum((F.when(F.coalesce(t, F.lit(False)), 1 << k).otherwise(0) for k, t in enumerate(tests)), F.lit(0))
+    return words.withColumn(
+        "_starts", bits(w.rlike(r"(?U)^[,.]\d") | w.startswith("%"), w.rlike(r"(?U)^-\w"))
+    ).withColumn("_closes", bits(last.rlike(r"(?U)^\d$"), last.rlike(r"(?U)^[\p{L}\p{N}]$"))).withColumn("w", w)
+
+
 def ends_sentence(word: Column) -> Column:
     return word.rlike(C.SENTENCE_CLOSE) & ~F.lower(F.trim(word)).isin(*C.ABBREVIATIONS)
 
@@ -195,32 +224,74 @@ def line_heads(words: DataFrame) -> DataFrame:
     return cut.select("meeting_id", "word_idx", (F.col("start_ms") + F.col("_ms")).alias("end_ms"), "head")
 
 
+def _word_ends(words: DataFrame) -> DataFrame:
+    return words.withColumn("_ends", F.coalesce(ends_sentence(F.col("w")), F.lit(False)))
+
+
+def spoken_line_ends(words: DataFrame, turns: DataFrame) -> DataFrame:
+    """Lines of words without speakers: ``head`` as in ``cut_segments``, number of words and latest end."""
+    short, long = whole.by_length(words, [turns], WHOLE)
+    slim = lambda df: _word_ends(df).select("meeting_id", "word_idx", "stt_seg", "start_ms", "end_ms", "_ends")
+    spoken = _spoken(whole.lay(slim(short[0]), short[1]))
+    kinds = "meeting_id {}, head long, n_words long, end_ms long".format(words.schema["meeting_id"].dataType.simpleString())
+    out = whole.run(spoken, lambda rows: whole.line_ends(rows, _line_step), kinds)
+    if long is None:
+        return out
+    cut = cut_segments(settle(fill_missing_speakers(settle(assign_speakers(*long, ["word_idx"]))).select(
+        "meeting_id", "word_idx", "stt_seg", "w", "start_ms", "end_ms", "speaker")))
+    return out.unionByName(cut.groupBy("meeting_id", "head").agg(F.count(F.lit(1)).alias("n_words"), F.max("end_ms").alias("end_ms")))
+
+
 def number_segments(lines: DataFrame) -> DataFrame:
     """``S001``, ``S002``, ... in time order."""
     numbered = dense_order(lines, KEYS, ["head"], chunk_of("head", WORD_CHUNK))
     return numbered.withColumn("seg_id", F.format_string("S%03d", F.col("ord")))
 
 
-def assemble_transcript(words: DataFrame, updates: DataFrame | None, turns: DataFrame | None) -> DataFrame:
-    """Raw transcript lines from words (``word_idx``, ``stt_seg``), word patches and voice turns."""
+def _nested(words: DataFrame) -> DataFrame:
+    return words.withColumn("word", F.struct(
+        "word_idx", "w", "start_ms", "end_ms", "conf", F.coalesce("disputed", F.lit(False)).alias("disputed"), "alt"))
+
+
+def _whole_lines(words: DataFrame, updates: DataFrame | None, turns: DataFrame) -> DataFrame:
+    """Numbered lines of meetings of at most ``WHOLE`` words, from one shuffle of their words."""
+    laid = whole.lay(_meets(words), turns, updates)
+    glued = whole.run(laid, lambda rows: whole.glue(whole.speak(rows)), _fields(laid, [c for c in laid.columns if c not in ("_kind", "_starts", "_closes")]))
+    marked = _nested(_word_ends(glued)).select("meeting_id", "stt_seg", "start_ms", "end_ms", "speaker", "_ends", "word")
+    schema = _fields(marked, ["meeting_id"], StructField("ord", LongType()), *[marked.schema[c] for c in ("start_ms", "end_ms", "speaker")],
+                     StructField("words", ArrayType(marked.schema["word"].dataType)))
+    return whole.run(marked, lambda rows: whole.lines(rows, _line_step), schema)
+
+
+def _chunked_lines(words: DataFrame, updates: DataFrame | None, turns: DataFrame | None) -> DataFrame:
+    """Numbered lines of meetings of any length, chunk by chunk."""
     if updates is not None:
         words = apply_updates(words, updates)
     if turns is not None:
         words = settle(fill_missing_speakers(settle(assign_speakers(words, turns, ["word_idx"]))))
     elif "speaker" not in words.columns:
         words = words.withColumn("speaker", F.lit(None).cast("string"))
-    cut = cut_segments(settle(glue_pieces(words)))
-    word = F.struct(
-        "word_idx", "w", "start_ms", "end_ms", "conf", F.coalesce("disputed", F.lit(False)).alias("disputed"), "alt"
-    )
+    cut = _nested(cut_segments(settle(glue_pieces(words))))
     # A line holds at most MAX_SEGMENT_WORDS words, so the nested array is small.
     lines = settle(cut.groupBy("meeting_id", "head").agg(
         F.min("start_ms").alias("start_ms"), F.max_by("end_ms", "word_idx").alias("end_ms"),
-        F.min_by("speaker", "word_idx").alias("speaker"), F.array_sort(F.collect_list(word)).alias("words"),
+        F.min_by("speaker", "word_idx").alias("speaker"), F.array_sort(F.collect_list("word")).alias("words"),
     ))
+    return dense_order(lines, KEYS, ["head"], chunk_of("head", WORD_CHUNK)).drop("head")
+
+
+def assemble_transcript(words: DataFrame, updates: DataFrame | None, turns: DataFrame | None) -> DataFrame:
+    """Raw transcript lines from words (``word_idx``, ``stt_seg``), word patches and voice turns."""
+    if turns is None:
+        lines = _chunked_lines(words, updates, None)
+    else:
+        short, long = whole.by_length(words, [turns, *([] if updates is None else [updates])], WHOLE)
+        lines = _whole_lines(short[0], short[2] if len(short) > 2 else None, short[1])
+        if long is not None:
+            lines = lines.unionByName(_chunked_lines(long[0], long[2] if len(long) > 2 else None, long[1]).select(*lines.columns))
     text = F.trim(F.regexp_replace(F.array_join(F.transform("words", lambda w: F.trim(w["w"])), " "), r"(?U)\s+", " "))
-    return number_segments(lines).select(
-        "meeting_id", "ord", "seg_id", "start_ms", "end_ms", "speaker", text.alias("text"),
+    return lines.select(
+        "meeting_id", "ord", F.format_string("S%03d", F.col("ord")).alias("seg_id"), "start_ms", "end_ms", "speaker", text.alias("text"),
         F.transform("words", lambda w: w.dropFields("word_idx")).alias("words"),
     )
 
