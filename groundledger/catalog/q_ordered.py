@@ -225,8 +225,7 @@ CUT = {**FILL, "v_prev": """SELECT *, lag(speaker) OVER o AS ps, lag(end_ms) OVE
 
 @query("wn10_segment_cut", "SELECT meeting_id, head, count(*) AS n_words, max(end_ms) AS end_ms FROM v_cut GROUP BY meeting_id, head", CUT)
 def wn10(t):
-    w = ordered.settle(A.fill_missing_speakers(ordered.settle(A.assign_speakers(stt_words(t), t.turns, ["word_idx"]))))
-    return A.line_heads(w).groupBy("meeting_id", "head").agg(F.count(F.lit(1)).alias("n_words"), F.max("end_ms").alias("end_ms"))
+    return A.spoken_line_ends(t.placed_words, t.turns)
 
 
 def monologue(t):
