@@ -183,8 +183,9 @@ FILL = {**VOTES, "v_filled": """SELECT meeting_id, word_idx, ord, w, start_ms, e
 
 @query("wn8_fill_speakers", "SELECT meeting_id, word_idx, speaker FROM v_filled", FILL)
 def wn8(t):
-    w = ordered.settle(A.assign_speakers(stt_words(t), t.turns, ["word_idx"]))
-    return A.fill_missing_speakers(w).select("meeting_id", "word_idx", "speaker")
+    # A word's text and marks have no part in it.
+    w = t.placed_words.select("meeting_id", "word_idx", "start_ms", "end_ms")
+    return A.speak(w, t.turns).select("meeting_id", "word_idx", "speaker")
 
 
 _PIECES = {"v_pieces": """SELECT meeting_id, word_idx, w || CASE WHEN word_idx % 7 < 3 THEN '2' ELSE '' END AS w0, start_ms, end_ms, conf, disputed,
