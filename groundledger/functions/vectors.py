@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 
@@ -18,9 +20,13 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once a row; a lambda would work out what it names anew for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def unit(a: Column) -> Column:
-    n = F.greatest(norm(a), F.lit(1e-9))
-    return F.transform(_double(a), lambda x: x / n)
+    return _once(_double(a), lambda v: _once(F.greatest(norm(v), F.lit(1e-9)), lambda n: F.transform(v, lambda x: x / n)))
 
 
 def cosine(a: Column, b: Column) -> Column:

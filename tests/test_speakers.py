@@ -151,3 +151,17 @@ def test_similar_word_sets_are_all_found(spark):
     df = spark.createDataFrame([(1, t, t) for t in texts], "meeting_id long, class string, text string")
     got = {(r["class"], r["other"]) for r in items.similar_classes(df, ["meeting_id"]).collect()}
     assert got == {(a, b) for a in texts for b in texts if a == b or token_set_ratio(a, b) >= 90}
+
+
+def test_a_vector_is_measured_once_a_row(spark):
+    """Lengths grow with the entries of a vector, not with their square (a norm per entry took minutes here)."""
+    from time import monotonic
+
+    from groundledger.functions import vectors
+
+    rows = spark.range(400).select(F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda i: (i + F.col("id")).cast("double")).alias("v"))
+    began = monotonic()
+    got = rows.select(vectors.unit(F.col("v")).alias("u")).select(vectors.dot(F.col("u"), F.col("u")).alias("d")).agg(F.min("d"), F.max("d")).first()
+    assert abs(got[0] - 1) < 1e-9 and abs(got[1] - 1) < 1e-9
+    assert monotonic() - began < 30
+    assert spark.sql("SELECT CAST(NULL AS ARRAY<FLOAT>) AS v").select(vectors.unit(F.col("v"))).first()[0] is None
