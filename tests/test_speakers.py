@@ -154,7 +154,7 @@ def test_similar_word_sets_are_all_found(spark):
 
 
 def test_a_vector_is_measured_once_a_row(spark):
-    """Lengths grow with the entries of a vector, not with their square (a norm per entry took minutes here)."""
+    """Lengths grow with the entries of a vector, not with their square (63 s, not 4, with a norm per entry)."""
     from time import monotonic
 
     from groundledger.functions import vectors
