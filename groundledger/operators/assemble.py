@@ -9,7 +9,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from .. import constants as C
 from . import whole
 from .folds import cut_pieces
-from .intervals import forward_asof, overlap_pairs
+from .intervals import ROW, follow_marks, forward_asof, overlap_pairs
 from .ordered import carry_in, chunk_of, dense_order, running_max, running_sum, settle, with_neighbours
 
 KEYS = ["meeting_id"]
@@ -353,20 +353,19 @@ def normalize_provider(words: DataFrame, stt_segments: DataFrame) -> DataFrame:
     Words after the end of the last segment belong to it, besides its own words or spread text.
     """
     conf = F.round(F.exp(F.least(F.lit(0.0), F.coalesce("avg_logprob", F.lit(0.0)))), 4)
-    segs = stt_segments.withColumn("conf", conf)
-    timed = words.where(F.trim("w") != "").withColumn("w", F.trim("w"))
-    placed = words_to_segments(timed, segs).join(
-        segs.select("meeting_id", "stt_seg", "conf", (F.col("end_ms") - 1).alias("_until")), ["meeting_id", "stt_seg"])
-    timely = placed.where(F.col("start_ms") < F.col("_until"))
-    empty = segs.join(timely.select("meeting_id", "stt_seg").distinct(), ["meeting_id", "stt_seg"], "left_anti")
-    tokens = F.filter(F.split("text", r"(?U)\s+"), lambda x: x != "")
-    step = (F.col("end_ms") - F.col("start_ms")) / F.greatest(F.lit(1), F.size(tokens))
-    spread = empty.select("meeting_id", "stt_seg", "conf", F.posexplode(
-        F.transform(tokens, lambda w, k: F.struct(
-            w.alias("w"), F.floor(F.col("start_ms") + k * step).alias("start_ms"), F.floor(F.col("start_ms") + (k + 1) * step).alias("end_ms")))
-    ).alias("k", "x"))
-    cols = ["meeting_id", "stt_seg", "w", "start_ms", "end_ms", "conf"]
-    return placed.select(*cols).unionByName(spread.select("meeting_id", "stt_seg", "x.w", "x.start_ms", "x.end_ms", "conf"))
+    segs = stt_segments.select("meeting_id", F.col("stt_seg").alias("_seg"), "start_ms", "end_ms", "text", conf.alias("conf"))
+    timed = words.select("meeting_id", F.trim("w").alias("w"), "start_ms", "end_ms").where(F.col("w") != "")
+    marks = segs.withColumn("_until", F.col("end_ms") - 1).withColumnRenamed("conf", "_conf")
+    seen = follow_marks(timed, marks, KEYS, "start_ms", "_until", F.struct(F.col("_seg").alias("stt_seg"), F.col("_conf").alias("conf")))
+    # Words and spread texts leave in one pass: a word as a list of itself, a segment as the words of its text or not at all.
+    said = F.col("_kind") == ROW
+    tokens = F.when(said, F.array("w")).when(~F.col("_taken"), F.filter(F.split("text", r"(?U)\s+"), lambda x: x != ""))
+    laid = seen.where(F.col("_mark").isNotNull()).withColumn("_tokens", tokens)
+    step = (F.col("end_ms") - F.col("start_ms")) / F.greatest(F.lit(1), F.col("_n"))
+    at = lambda k, own: F.when(said, F.col(own)).otherwise(F.floor(F.col("start_ms") + k * step))
+    return laid.select(
+        "meeting_id", "_mark", "_kind", "start_ms", "end_ms", F.size("_tokens").alias("_n"), F.posexplode("_tokens").alias("k", "w")
+    ).select("meeting_id", "_mark.stt_seg", "w", at(F.col("k"), "start_ms").alias("start_ms"), at(F.col("k") + 1, "end_ms").alias("end_ms"), "_mark.conf")
 
 
 def language_code(name: Column) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .ordered import TIME_CHUNK_MS, carry_in, chunk_of, last_known, running_max, running_sum, settle
+from .ordered import TIME_CHUNK_MS, carry_in, chunk_of, running_max, running_sum, settle
 
 BUCKET_MS = 10_000
+MARK, ROW, BEHIND, AHEAD = 0, 1, 2, 3
 
 
 def _buckets(start: Column, end: Column, width: int) -> Column:
@@ -68,24 +69,51 @@ def budget_prefix(spans: DataFrame, keys: list[str], length: Column, budget: Col
     return used.where(F.col("_used") <= budget).drop("_used")
 
 
+def follow_marks(rows: DataFrame, marks: DataFrame, keys: list[str], at: str, mark_at: str, value: Column) -> DataFrame:
+    """``rows`` and ``marks`` in one table (``_kind`` ``ROW`` or ``MARK``), laid beside each other by one shuffle and no join.
+
+    A row's ``_mark`` is the ``value`` (a struct that tells marks apart) of the first mark whose ``mark_at`` is strictly after
+    ``at``, the smallest of several at one time, or of the last mark when none is. A mark is ``_taken`` if it is such a first
+    mark of a row. Rows without a time are left out; a mark without one is never taken.
+    """
+    rows = rows.withColumn("_t", F.col(at)).where(F.col("_t").isNotNull()).withColumn("_chunk", chunk_of("_t", TIME_CHUNK_MS))
+    marks = marks.withColumn("_t", F.col(mark_at)).withColumn("_chunk", chunk_of("_t", TIME_CHUNK_MS)).withColumn("_mark", value)
+    group, timed = [*keys, "_chunk"], F.struct("_t", "_mark")
+    # Rows are summed up by numbers alone, as aggregates of structs would sort them.
+    summary = rows.groupBy(*group).agg(F.max("_t").alias("_row")).unionByName(
+        marks.groupBy(*group).agg(F.min(timed).alias("_first"), F.max(timed).alias("_last")), allowMissingColumns=True)
+    summary = summary.groupBy(*group).agg(F.max("_row").alias("_row"), F.min("_first").alias("_first"), F.max("_last").alias("_last"))
+    every = Window.partitionBy(*keys)
+    before = every.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    after = every.orderBy(F.col("_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    row, mark = F.max("_row").over(before), F.max("_last").over(before)["_t"]
+    edges = summary.select(
+        *group, F.coalesce(F.min("_first").over(after), F.max("_last").over(every))["_mark"].alias("_mark"),
+        F.when(mark.isNull() | (row >= mark), row).alias("_t"))
+    # What lies outside a chunk travels as rows: the mark after it, and the row before it unless a mark lies between.
+    edges = edges.select(*group, "_t", "_mark", F.explode(F.when(F.col("_t").isNull(), F.array(F.lit(AHEAD))).otherwise(
+        F.array(F.lit(AHEAD), F.lit(BEHIND)))).alias("_kind"))
+    edges = edges.withColumn("_mark", F.when(F.col("_kind") == AHEAD, F.col("_mark"))).withColumn(
+        "_t", F.when(F.col("_kind") == BEHIND, F.col("_t")))
+    both = rows.withColumn("_kind", F.lit(ROW)).unionByName(marks.withColumn("_kind", F.lit(MARK)), allowMissingColumns=True)
+    # The order runs backward. At equal times the mark comes after the row, so a row never sees it ahead.
+    w = Window.partitionBy(*group).orderBy(F.col("_t").desc_nulls_first(), F.col("_kind").desc(), F.col("_mark").desc())
+    seen = both.unionByName(edges, allowMissingColumns=True).withColumn("_taken", F.coalesce(F.lead("_kind").over(w) != MARK, F.lit(False)))
+    seen = seen.withColumn("_mark", F.last("_mark", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return seen.where(F.col("_kind").isin(ROW, MARK)).drop("_t", "_chunk")
+
+
 def forward_asof(
     rows: DataFrame, marks: DataFrame, keys: list[str], at: str, mark_at: str, mark: str, name: str
 ) -> DataFrame:
     """Attach the first mark whose ``mark_at`` is strictly after the row's ``at``; last mark when none is."""
-    bucket = F.col("_t")
-    left = rows.withColumn("_t", F.col(at)).withColumn("_kind", F.lit(1)).withColumn(name, F.lit(None).cast("long"))
-    right = marks.select(
-        *keys, F.col(mark_at).alias("_t"), F.lit(0).alias("_kind"), F.col(mark).cast("long").alias(name)
-    )
-    both = left.unionByName(right, allowMissingColumns=True)
-    # Strictly after: at equal times the mark sorts before the row, so a row never sees it ahead.
-    seen = last_known(both, keys, ["_t", "_kind"], chunk_of(bucket, TIME_CHUNK_MS), F.col(name), "_next", following=True)
-    last = marks.groupBy(*keys).agg(F.max(F.struct(mark_at, mark))[mark].cast("long").alias("_last"))
-    found = seen.where(F.col("_kind") == 1).drop(name, "_t", "_kind").join(last, keys, "left")
-    return found.withColumn(name, F.coalesce("_next", "_last")).drop("_next", "_last")
+    slim = marks.select(*keys, F.col(mark_at).alias("_at"), F.col(mark).cast("long").alias("_no"))
+    seen = follow_marks(rows, slim, keys, at, "_at", F.struct("_no"))
+    return seen.where(F.col("_kind") == ROW).withColumn(name, F.col("_mark._no")).select(
+        *[c for c in rows.columns if c != name], name)
 
 
 __all__ = [
-    "overlap_pairs", "point_in_interval", "merge_overlaps", "island_starts", "budget_prefix", "forward_asof",
+    "overlap_pairs", "point_in_interval", "merge_overlaps", "island_starts", "budget_prefix", "follow_marks", "forward_asof",
     "carry_in",
 ]
