@@ -114,7 +114,7 @@ def jn23(t):
 def jb13(t):
     from .q_verify import proposals_of
 
-    raw = settle(t.segments_words)
+    raw = settle(t.segments)
     _, refined, p = record.apply_model_names(raw, raw, proposals_of(t))
     return refined.select("meeting_id", F.lit("line").alias("kind"), "seg_id", "speaker", "text").unionByName(
         p.sentences.select("meeting_id", F.col("section").alias("kind"), F.col("pos").cast("string").alias("seg_id"), F.col("topic").alias("speaker"), "text"))

@@ -211,9 +211,8 @@ def previous_speaker(segments: DataFrame) -> DataFrame:
     """Adds ``before``: the last earlier speaker who is not the line's own."""
     from .ordered import chunk_of, last_known, running_max
 
-    lagged = with_neighbours(segments, KEYS, "ord", 1, 0, lambda w: {"_p": F.lag("speaker").over(w)})
     # Runs of one speaker: the speaker before a run is the wanted one for each line of the run.
-    known = lagged.where(F.coalesce(F.col("speaker") != "", F.lit(False)))
+    known = segments.select("meeting_id", "seg_id", "ord", "speaker").where(F.coalesce(F.col("speaker") != "", F.lit(False)))
     prev = last_known(known, KEYS, ["ord"], chunk_of("ord"), F.col("speaker"), "_last", inclusive=False)
     prev = settle(prev.withColumn("_new", F.when(~F.col("_last").eqNullSafe(F.col("speaker")), F.struct("ord", "_last"))))
     runs = running_max(prev, KEYS, ["ord"], chunk_of("ord"), F.col("_new"), "_run")

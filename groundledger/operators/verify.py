@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import constants as C
 from ..functions import text as T
 from ..functions.fuzzy import partial_ratio
-from .guard import disputed_under
+from .guard import disputed_under, words_in_doubt
 from .ordered import chunk_of, dense_order, settle, with_neighbours
 
 KEYS = ["meeting_id"]
@@ -16,7 +16,9 @@ LINE = "struct<ord:bigint,seg_id:string,speaker:string,text:string>"
 
 
 def line_context(segments: DataFrame) -> DataFrame:
-    """Lines with the next line attached as ``nxt``."""
+    """Lines with the next line attached as ``nxt``; returned as they are if they have it."""
+    if "nxt" in segments.columns:
+        return segments
     slim = segments.select("meeting_id", "ord", "seg_id", "speaker", "text")
     line = F.struct("ord", "seg_id", "speaker", "text")
     return with_neighbours(slim, KEYS, "ord", 0, 1, lambda w: {"nxt": F.lead(line).over(w)})
@@ -146,6 +148,10 @@ def verify_sentences(sentences: DataFrame, segments: DataFrame) -> tuple[DataFra
     return out.where("_ok").drop("_ok"), out.where(~F.col("_ok")).drop("_ok")
 
 
+def _settled_context(segments: DataFrame) -> DataFrame:
+    return segments if "nxt" in segments.columns else settle(line_context(segments))
+
+
 def _last(cited: Column) -> Column:
     """The cited line that comes last in the transcript."""
     return F.array_max(F.transform(cited, lambda c: F.struct(c["ord"].alias("ord"), c["seg_id"].alias("seg_id"), c["speaker"].alias("speaker"),
@@ -159,8 +165,11 @@ def _with_line(cited: Column, line: Column) -> Column:
 
 
 def verify_decisions(decisions: DataFrame, proposals: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(decisions, open proposals, dropped)``: a decision needs a stated agreement, else it is a proposal."""
-    ctx = settle(line_context(segments))
+    """``(decisions, open proposals, dropped)``: a decision needs a stated agreement, else it is a proposal.
+
+    ``segments`` with ``nxt`` are taken as settled.
+    """
+    ctx = _settled_context(segments)
     d = quote_matches(known_evidence(decisions, ctx), F.col("agreement"), "_match")
     stated = T.cue(F.col("agreement"), C.AGREEMENT_CUE) & F.col("_match")
     line = F.try_element_at(F.filter("cited", lambda c: T.cue(c["text"], C.AGREEMENT_CUE) & ~T.cue(c["text"], C.PROPOSAL_CUE)), F.lit(1))
@@ -184,7 +193,7 @@ def verify_decisions(decisions: DataFrame, proposals: DataFrame, segments: DataF
     ))
     numbered = renumber(judged.where("outcome = 'decision'"), "D").select(
         "meeting_id", "id", "decision", "agreement", ids_of(F.col("cited")).alias("evidence_ids"), "first_ord", "pos")
-    opened = known_evidence(proposals, segments)
+    opened = known_evidence(proposals, ctx.drop("nxt"))
     alive = opened.where(F.size("cited") > 0).select(
         "meeting_id", "pos", "proposal", plain_lines(F.col("cited")).alias("cited"), F.lit(False).alias("demoted"))
     demoted = judged.where("outcome = 'demoted'").select(
@@ -202,6 +211,12 @@ def renumber(items: DataFrame, letter: str) -> DataFrame:
     return numbered.withColumn("id", F.concat(F.lit(letter), F.col("_n").cast("string"))).drop("_n")
 
 
+def pointed_ids(tasks: DataFrame) -> DataFrame:
+    """Every line id that the pointers of tasks name."""
+    ids = F.explode(F.array("owner_seg", "deadline_seg"))
+    return tasks.select("meeting_id", ids.alias("seg_id")).where(F.col("seg_id").isNotNull()).distinct()
+
+
 def pointer_lines(items: DataFrame, segments: DataFrame, seg_col: str, name: str) -> DataFrame:
     """Attach the line a pointer names, with its words."""
     line = segments.select("meeting_id", F.col("seg_id").alias(seg_col), F.struct("ord", "speaker", "text", "words").alias(name))
@@ -249,9 +264,18 @@ def spoken_owner(cited: Column) -> Column:
     )
 
 
-def verify_tasks(tasks: DataFrame, segments: DataFrame, diarized: bool = True) -> tuple[DataFrame, DataFrame]:
-    """``(tasks, dropped)``: owner and deadline come only from pointers into the transcript or from who spoke."""
-    ctx = settle(line_context(segments))
+def verify_tasks(
+    tasks: DataFrame, segments: DataFrame, diarized: bool = True, words: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """``(tasks, dropped)``: owner and deadline come only from pointers into the transcript or from who spoke.
+
+    ``words`` holds the words of the lines by ``meeting_id, seg_id`` if ``segments`` doesn't.
+    """
+    ctx = _settled_context(segments)
+    if words is not None:
+        ids = ["meeting_id", "seg_id"]
+        pointed = segments.join(pointed_ids(tasks), ids, "left_semi").select(*ids, "ord", "speaker", "text")
+        segments = settle(pointed.join(words.select(*ids, words_in_doubt(F.col("words")).alias("words")), ids))
     t = quote_matches(known_evidence(tasks, ctx), F.col("quote"), "_match")
     line = F.try_element_at(F.filter("cited", lambda c: T.cue(c["text"], C.TASK_CUE)), F.lit(1))["text"]
     t = t.withColumn("_line", line).withColumn("quote", F.when(~F.col("_match") & F.col("_line").isNotNull(), F.col("_line")).otherwise(F.col("quote")))
@@ -275,5 +299,5 @@ def verify_tasks(tasks: DataFrame, segments: DataFrame, diarized: bool = True) -
     kept = kept.withColumn("deadline", deadline).withColumn("_late", late)
     missed = (F.col("deadline") == C.UNSPECIFIED) & F.col("deadline_seg").isNotNull()
     flags = F.array_distinct(F.concat("_of", F.array_compact(F.array(F.when(missed, "deadline_downgraded"), F.when(missed, F.col("_late"))))))
-    done = renumber(settle(kept.withColumn("flags", flags)), "T")
+    done = renumber(settle(kept.select("meeting_id", "pos", "task", "owner", "deadline", "quote", "cited", flags.alias("flags"))), "T")
     return done.select("meeting_id", "id", "task", "owner", "deadline", "quote", ids_of(F.col("cited")).alias("evidence_ids"), "flags", "first_ord", "pos"), dropped

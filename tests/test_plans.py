@@ -36,3 +36,26 @@ def test_range_join_and_neighbours_need_no_window_over_a_whole_meeting(spark):
     p = plan(recheck.low_confidence_spans(w))
     windows = [ln for ln in p.splitlines() if "Window [" in ln or "WindowExec" in ln]
     assert windows and all("_chunk" in ln or "_bucket" in ln for ln in windows)
+
+
+def test_record_writes_words_twice_and_pointed_lines_once(spark, monkeypatch):
+    """What carries the words of all lines is most of the disk that a record takes."""
+    from groundledger.catalog.q_verify import whole_record
+    from groundledger.operators import guard, ordered, speakers, verify
+    from groundledger.plans import record
+
+    with_words = []
+
+    def noted(df):
+        out = ordered.settle(df)
+        if "words" in df.columns:
+            with_words.append(out.count())
+        return out
+
+    for module in (guard, record, speakers, verify):
+        monkeypatch.setattr(module, "settle", noted)
+    t = Tables(spark, SF)
+    lines = t.segments.count()
+    refined = whole_record(t).refined
+    assert with_words[:2] == [lines, lines] and len(with_words) == 3 and with_words[2] < lines / 2
+    assert refined.columns == t.segments_words.columns and refined.count() == lines
