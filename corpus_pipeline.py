@@ -32,8 +32,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the classifier, learned from the labels of what came in, takes for good ones."""
-    known = docs.where(fold("doc_id", 5) != 0).select("doc_id", "text")
-    model = quality.fit(quality.with_statistics(known).drop("text"), table(spark, sf_dir, "labels"))
+    labels = table(spark, sf_dir, "labels")
+    known = quality.labelled(docs.where(fold("doc_id", 5) != 0).select("doc_id", "text"), labels)
+    model = quality.fit(quality.with_statistics(known), labels)
     score, = free_names(docs, "score")
     return quality.score_texts(docs, model, name=score).where(F.col(score) >= QUALITY_SCORE).select(*docs.columns)
 

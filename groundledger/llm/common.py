@@ -21,14 +21,14 @@ BLANKS = " \t\n\x0b\x0c\r"
 Make = Callable[[], Callable[[list], list]]
 
 
-def with_columns(df: DataFrame, inputs: list[str], make: Make, fields: str) -> DataFrame:
-    """Add the columns ``fields`` (DDL), computed batch by batch in Python.
+def with_columns(df: DataFrame, inputs: list[str], make: Make, fields: str, without: tuple[str, ...] = ()) -> DataFrame:
+    """Add the columns ``fields`` (DDL), computed batch by batch in Python; columns ``without`` are read, but not sent back.
 
     ``make()`` runs once per task and returns a function from the lists of input values to the lists (or Arrow arrays)
     of new values. String inputs arrive as UTF-8 bytes. A column of ``df`` named like a new one is replaced.
     """
     new = StructType.fromDDL(fields)
-    kept = [f for f in df.schema.fields if f.name not in new.names]
+    kept = [f for f in df.schema.fields if f.name not in new.names and f.name not in without]
     names = [f.name for f in kept]
     extra = [c for c in inputs if c not in names]  # replaced by a new column, but read
     place = {c: i for i, c in enumerate([*names, *extra])}

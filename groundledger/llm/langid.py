@@ -79,9 +79,9 @@ class PieceIndex:
         mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         return (mixed >> np.uint64(64 - self.BITS)).astype(np.int64), (mixed & np.uint64((1 << self.BITS) - 1)).astype(np.int64)
 
-    def find(self, prefix: list[np.ndarray], i: int, j: int) -> np.ndarray:
-        """Rows of the substrings from ``i`` to ``j``, -1 where there is no such piece."""
-        h = prefix[j] - prefix[i] * self.power[j - i]
+    def find(self, prefix: list[np.ndarray], i: int, j: int, live: int) -> np.ndarray:
+        """Rows of the substrings from ``i`` to ``j`` of the first ``live`` words, -1 where there is no such piece."""
+        h = prefix[j][:live] - prefix[i][:live] * self.power[j - i]
         a, b = self._places(h)
         return np.where(self.keys[a] == h, self.rows[a], np.where(self.keys[b] == h, self.rows[b], -1))
 
@@ -104,32 +104,37 @@ class Model:
         return index, self.prob * LIFT ** np.array([*map(len, self.pieces), 1])[:, None]
 
     def word_scores(self, words: list[str]) -> np.ndarray:
-        """log P(word) per language: the forward sums of all words of one length together."""
+        """log P(word) per language: the forward sums of all words of a class of lengths together."""
         out = np.zeros((len(words), len(self.languages)))
         index, lifted = self._tables
-        by_length = defaultdict(list)
+        classes = defaultdict(list)  # up to 8, 16, 32, ... letters
         for i, w in enumerate(words):
-            by_length[len(w)].append(i)
-        for n, where in by_length.items():
-            points = np.array([words[i] for i in where], f"<U{n}").view("<u4").reshape(len(where), n).astype(np.uint64)
+            classes[max(3, (len(w) - 1).bit_length())].append(i)
+        for where in classes.values():
+            where = np.array(sorted(where, key=lambda i: -len(words[i])))  # so those not yet at their end come first
+            lengths = np.array([len(words[i]) for i in where])
+            most = int(lengths[0])
+            points = np.array([words[i] for i in where], f"<U{most}").view("<u4").reshape(len(where), most).astype(np.uint64)
             prefix = index.prefixes(np.hstack([np.full((len(where), 1), ord("▁"), np.uint64), points]))
             forward = deque([np.ones((len(where), len(self.languages)))], index.longest)  # of the last places
-            scale = -(n + 1) * math.log(LIFT)
-            for j in range(1, n + 2):
-                total = np.zeros((len(where), len(self.languages)))
+            scale = -(lengths[:, None] + 1) * math.log(LIFT)
+            for j in range(1, most + 2):
+                live = int(np.searchsorted(-lengths, 1 - j, "right"))
+                total = np.zeros((live, len(self.languages)))
                 for k in range(1, len(forward) + 1):
-                    row = index.find(prefix, j - k, j)
+                    row = index.find(prefix, j - k, j, live)
                     if k == 1:
-                        total += forward[-1] * lifted[row]  # -1 is the row of an unknown letter
+                        total += forward[-1][:live] * lifted[row]  # -1 is the row of an unknown letter
                     elif len(hit := np.flatnonzero(row >= 0)):
                         total[hit] += forward[-k][hit] * lifted[row[hit]]
                 forward.append(total)
                 if j % STRETCH == 0:
-                    most = np.maximum(np.max(forward, axis=0), 1e-300)
-                    scale = scale + np.log(most)
+                    top = np.maximum(np.max([f[:live] for f in forward], axis=0), 1e-300)
+                    scale = scale[:live] + np.log(top)
                     for f in forward:
-                        f /= most
-            out[where] = np.log(np.maximum(forward[-1], 1e-300)) + scale
+                        f[:live] /= top
+                ended = slice(int(np.searchsorted(-lengths, -j, "right")), live)
+                out[where[ended]] = np.log(np.maximum(total[ended], 1e-300)) + scale[ended]
         return out
 
 
@@ -185,7 +190,7 @@ def fit(docs: DataFrame, path: str, per_language: int = 1000, smoothing: float =
     drawn = drawn.select("doc_id", "lang").distinct()
     if len(languages) * per_language <= 1_000_000:
         drawn = F.broadcast(drawn)  # at most that many rows of an id and a name
-    sample = rows.join(drawn, ["doc_id", "lang"], "left_semi").select("lang", "text")
+    sample = settle(rows.join(drawn, ["doc_id", "lang"], "left_semi").select("lang", "text"))  # read twice, few of all texts
     pieces = {p: i for i, p in enumerate(vocabulary(path))}
     counts = np.full((len(pieces) + 1, len(languages)), smoothing)
     column = {name: i for i, name in enumerate(languages)}
@@ -237,32 +242,29 @@ def _usual(sample: DataFrame, model: Model) -> np.ndarray:
 
 
 class _Texts:
-    """Summed scores of white-space delimited chunks, kept by chunk; the last column counts letters."""
+    """Summed scores of the words of texts, kept by word; the last column counts letters."""
 
-    def __init__(self, model: Model, most: int = 150_000) -> None:
+    def __init__(self, model: Model, most: int = 300_000) -> None:
         self.model = model
         self.rows = np.zeros((0, len(model.languages) + 1))
         self.used = 0
         self.memo = Memo(self._solve, most)
 
-    def _solve(self, chunks: list[bytes]) -> list[int]:
+    def _solve(self, words: list[str]) -> range:
         if not self.memo.known:
             self.used = 0
-        runs = [parts(c.decode("utf-8", "replace")) for c in chunks]
-        words = list({w for ws in runs for w in ws})
-        at = {w: i for i, w in enumerate(words)}
-        score = np.hstack([self.model.word_scores(words), np.array([len(w) for w in words], float)[:, None]]) if words else None
-        if self.used + len(chunks) > len(self.rows):
-            more = np.zeros((max(65_536, 2 * len(self.rows), self.used + len(chunks)), self.rows.shape[1]))
+        if self.used + len(words) > len(self.rows):
+            more = np.zeros((max(65_536, 2 * len(self.rows), self.used + len(words)), self.rows.shape[1]))
             more[:self.used] = self.rows[:self.used]
             self.rows = more
-        for k, ws in enumerate(runs, self.used):
-            self.rows[k] = 0.0 if not ws else score[at[ws[0]]] if len(ws) == 1 else score[[at[w] for w in ws]].sum(0)
-        self.used += len(chunks)
-        return list(range(self.used - len(chunks), self.used))
+        new = range(self.used, self.used + len(words))
+        self.rows[new, :-1] = self.model.word_scores(words)
+        self.rows[new, -1] = list(map(len, words))
+        self.used += len(words)
+        return new
 
     def __call__(self, texts: list) -> list:
-        cut = [(t or b"").split() for t in texts]
+        cut = [parts((t or b"").decode("utf-8", "replace")) for t in texts]
         self.memo.know(set().union(*cut))
         names, scores, surprises = [], [], []
         for ws in cut:

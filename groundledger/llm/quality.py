@@ -14,8 +14,10 @@ label 1 (0.5 without labels). Repeated rows are scored alike; an empty table giv
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,8 @@ FEATURES = (
 )
 _SYMBOLS, _SHOUTS, _DIGITS, _STOPS, _BARS = b"#*$%&<>@^~{}[]\\=+_", b"!?", b"0123456789", b".,;:", b"|"
 _CAPITALS = bytes(range(65, 91))
+#: Labels whose ids are broadcast (16 bytes each).
+FEW = 2_000_000
 
 
 def statistics(text: bytes | None) -> list[float]:
@@ -39,12 +43,10 @@ def statistics(text: bytes | None) -> list[float]:
         return [0.0] * len(FEATURES)
     chars = sum(map(len, words))
     rows = [r for r in raw.split(b"\n") if r.strip()]
-    seen: dict[bytes, int] = {}
-    for w in words:
-        seen[w] = seen.get(w, 0) + 1
+    seen = Counter(words)
     without = lambda these: chars and math.sqrt((len(raw) - len(raw.translate(None, these))) / chars)
     pairs = set(zip(words, words[1:]))
-    again = sum(map(bytes.__eq__, words, words[1:]))
+    again = sum(map(eq, words, words[1:]))
     return [
         math.log1p(n), math.log(chars / n), without(_SYMBOLS), without(_SHOUTS), without(_CAPITALS), without(_DIGITS),
         math.log(n / len(seen)), math.sqrt(again / n), math.log1p(n - 1) - math.log1p(len(pairs)),
@@ -54,8 +56,8 @@ def statistics(text: bytes | None) -> list[float]:
 
 
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``stats``."""
-    return with_columns(docs, [text], lambda: lambda texts: [[statistics(t) for t in texts]], "stats array<double>")
+    """``stats`` in place of the text."""
+    return with_columns(docs, [text], lambda: lambda texts: [[statistics(t) for t in texts]], "stats array<double>", without=(text,))
 
 
 @dataclass
@@ -99,10 +101,23 @@ def _moments(labelled: DataFrame) -> dict[int, np.ndarray]:
     return {c: m.reshape(width, width) for c, m in out.items()}
 
 
+def _known(labels: DataFrame, label: str, doc_id: str) -> DataFrame:
+    return labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label")).where(F.col("_label").isin(0, 1))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", few: int = FEW) -> DataFrame:
+    """The rows of ``docs`` that :func:`fit` learns from, found before texts are read in Python; all rows if the labels are more
+    than ``few``, as only a broadcast join is cheaper than the statistics it saves."""
+    known = _known(labels, label, doc_id)
+    if known.limit(few + 1).count() > few:
+        return docs
+    return docs.join(F.broadcast(known.select("_id").distinct()), docs[doc_id] == F.col("_id"), "left_semi")
+
+
 def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", pooled: float = 0.15, ridge: float = 0.02,
         doc_id: str = "doc_id") -> Model:
     """Learns from the rows of ``stats`` (``doc_id, stats``) that have a label 0 or 1."""
-    lab = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label")).where(F.col("_label").isin(0, 1))
+    lab = _known(labels, label, doc_id)
     both = stats.join(lab, stats[doc_id] == lab["_id"]).select("_label", "stats")
     m = _moments(both)
     counts = {c: m[c][0, 0] if c in m else 0.0 for c in (0, 1)}

@@ -207,7 +207,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import settle
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    stats = settle(quality.with_statistics(docs).drop("text"))
+    stats = settle(quality.with_statistics(docs))
     model = quality.fit(stats.where(fold("doc_id", 5) != 0), table(spark, sf_dir, "labels"))
     scored = quality.score(stats, model)
     held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))

@@ -27,6 +27,8 @@ from .common import flat_rows, free_names, settle, with_columns
 from .components import components
 
 SEED = 42
+#: Ids and hashes of texts that are broadcast (about a hundred bytes each).
+FEW = 500_000
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 LENGTH, RADIUS = 23, 3
 #: Generator polynomial of the Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -53,11 +55,11 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
 
 
 def with_fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``fp``, the fingerprint as a signed long."""
+    """``fp``, the fingerprint as a signed long, in place of the text."""
     def make():
         return lambda texts: [pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))]
 
-    return with_columns(docs, [text], make, "fp long")
+    return with_columns(docs, [text], make, "fp long", without=(text,))
 
 
 def as_hex(fp: Column) -> Column:
@@ -160,7 +162,9 @@ def links(fingerprints: DataFrame, threshold: int = 3) -> DataFrame:
 
         return run
 
-    lists = flat_rows(fingerprints.select("fp"), make, "key long, fp long, role byte")
+    # A fingerprint makes about a hundred entries, so the few bytes of all of them are dealt to as many tasks as the entries are.
+    dealt = fingerprints.select("fp").repartition(int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    lists = flat_rows(dealt, make, "key long, fp long, role byte")
     lists = lists.repartition("key").sortWithinPartitions("key")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +193,7 @@ def _edges(pairs: np.ndarray) -> pa.RecordBatch:
 def _grouped(docs: DataFrame, threshold: int, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
     """``doc_id, copy, fp`` of every row, ``copy`` a hash of its text, and ``fp, root, component_id`` of every fingerprint."""
     ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("copy"), F.col(text).cast("string").alias("text"))
-    prints = settle(with_fingerprints(ids).select("doc_id", "copy", "fp"))
+    prints = settle(with_fingerprints(ids))
     unique = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(unique, threshold))
     rooted = unique.join(roots, unique["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -203,12 +207,28 @@ def near_duplicates(docs: DataFrame, threshold: int = 3, text: str = "text", doc
     return prints.join(of, "fp").select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, threshold: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def representatives(docs: DataFrame, threshold: int = 3, text: str = "text", doc_id: str = "doc_id", few: int = FEW) -> DataFrame:
     """One row of ``docs`` for each component: that of the smallest id, rows without an id last; among texts of one id the
-    one with the smallest hash. Repeated rows of it are one."""
+    one with the smallest hash. Repeated rows of it are one.
+
+    If at most ``few`` ids and hashes go or repeat, they are broadcast and no text is shuffled but those of repeated rows.
+    """
     prints, of = _grouped(docs, threshold, text, doc_id)
     first = prints.join(of, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "copy")).alias("_first"))
     own, copy = free_names(docs, "_id", "_copy")
     first = first.select(F.col("_first.doc_id").alias(own), F.col("_first.copy").alias(copy)).distinct()
-    same = docs[doc_id].eqNullSafe(first[own]) & (F.xxhash64(docs[text].cast("string")) == first[copy])
-    return docs.join(first, same, "left_semi").dropDuplicates([doc_id, text])
+
+    def rows_of(keys: DataFrame, how: str) -> DataFrame:
+        return docs.join(keys, docs[doc_id].eqNullSafe(keys[own]) & (F.xxhash64(docs[text].cast("string")) == keys[copy]), how)
+
+    seen = prints.groupBy(F.col("doc_id").alias(own), F.col("copy").alias(copy)).agg(F.count(F.lit(1)).alias("rows"))
+    stays = first.withColumnsRenamed({own: "_stays_id", copy: "_stays_copy"}).withColumn("stays", F.lit(True))
+    seen = seen.join(stays, seen[own].eqNullSafe(stays["_stays_id"]) & (seen[copy] == stays["_stays_copy"]), "left")
+    marked = settle(seen.where(F.col("stays").isNull() | (F.col("rows") > 1)).select(own, copy, "stays"))
+    total, repeated = marked.agg(F.count(F.lit(1)), F.count("stays")).first()
+    if total > few:
+        return rows_of(first, "left_semi").dropDuplicates([doc_id, text])
+    single = rows_of(F.broadcast(marked), "left_anti")
+    if not repeated:
+        return single
+    return single.unionByName(rows_of(F.broadcast(marked.where("stays")), "left_semi").dropDuplicates([doc_id, text]))

@@ -528,3 +528,39 @@ def test_pipeline_stages_on_odd_tables(spark, docs, empty):
         assert stage(spark, empty, "/root/testdata/sf0.001").count() == 0
     assert corpus_pipeline.pack(spark, empty, "").count() == 0
     assert stage(spark, docs, "/root/testdata/sf0.001").where("doc_id = 6").count() == 1
+
+
+def test_representatives_are_the_same_with_and_without_a_broadcast(spark):
+    """Copies, near copies, rows without an id, repeated rows, a null text: only rows that repeat are shuffled."""
+    long = " ".join(f"w{i}" for i in range(3000))
+    rows = [(1, long), (2, long), (3, long.replace("w7 ", "x7 ")), (None, "a b c"), (5, "a b c"), (None, "alone"), (7, "d e"), (7, "d e"), (8, None), (7, "f g h")]
+    docs = spark.createDataFrame([(*r, f"s{i}") for i, r in enumerate(rows)], "doc_id long, text string, source string")
+    told = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    got = simhash.representatives(docs)
+    assert told(got) == told(simhash.representatives(docs, few=0))
+    assert [told(got).count(x) for x in ((1, long), (2, long), (5, "a b c"), (None, "alone"), (7, "d e"), (7, "f g h"), (8, None))] == [1, 0, 1, 1, 1, 1, 1]
+    plan = simhash.representatives(docs.where("source <> 's7'"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_quality_reads_the_texts_of_labelled_rows_only(spark):
+    docs = spark.createDataFrame([(i, f"word{i} " * (i + 2)) for i in range(12)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2 if i < 8 else None) for i in range(1, 20)] + [(3, 0)], "doc_id long, quality int")
+    some = quality.labelled(docs, labels)
+    assert sorted(r.doc_id for r in some.collect()) == list(range(1, 8))
+    assert quality.labelled(docs, labels, few=3).count() == 12
+    ways = [quality.fit(quality.with_statistics(d), labels) for d in (some, docs)]
+    assert np.allclose(ways[0].inverse, ways[1].inverse) and np.allclose(ways[0].offset, ways[1].offset)
+
+
+def test_statistics_and_fingerprints_do_not_send_texts_back(spark):
+    docs = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
+    assert quality.with_statistics(docs).columns == ["doc_id", "stats"]
+    assert simhash.with_fingerprints(docs).columns == ["doc_id", "fp"]
+
+
+def test_language_keeps_a_word_once_whatever_stands_around_it():
+    pieces = {"▁": 0, "c": 1, "a": 2, "t": 3}
+    told = langid._Texts(langid.Model(["x", "y"], np.log([0.5, 0.5]), pieces, np.full((5, 2), 0.2), np.array([[-3.0, 0, 1, 1]] * 2)))
+    told([b"Cat cat, (CAT) cat's", b"cat " * 9 + b"s" * 70])
+    assert sorted(told.memo.known) == ["cat", "s", "s" * 70]
